@@ -101,6 +101,17 @@ CASES = [
 ]
 
 
+# A few selectors of moderate size, to save and read back.
+SAVED = [
+    ("ASIA|PROMO", "ENVELOPE(-150,-50,40,10)", ""),
+    ("EUROPE,ECONOMY", "POLYGON ((-12.5 -10.5, 4.25 33.5, 29.5 3.25, -12.5 -10.5))", ""),
+    ("", CASES[5][1], ""),
+    ("AFRICA", "ENVELOPE(170,-170,10,-10)", ""),
+    ("AMERICA", "ENVELOPE(-20,20,20,-20)", "nameLength <= 8,nameLength > 10"),
+    ("ATLANTIS", "ENVELOPE(-180,180,90,-90)", ""),
+]
+
+
 def saved_selectors(spark: SparkSession, folder: str) -> DataFrame:
     """The cases, and one selector for each supplier."""
     key = F.col("s_suppkey")

@@ -50,11 +50,6 @@ def monitored_tsv_line() -> Column:
     return tsv_line(monitored_fields())
 
 
-def selector_struct() -> Column:
-    """A selector as a JSON object; absent strings are left out of the text."""
-    return F.struct("uuid", "taxonSelector", "wktString", "traitSelector")
-
-
 def checklist_item() -> Column:
     return F.struct(F.col("taxonPath").alias("taxon"), F.col("recordCount").alias("recordcount"))
 
