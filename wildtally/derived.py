@@ -150,3 +150,36 @@ def rank_paths(spark: SparkSession, folder: str) -> DataFrame:
     return ranked_occurrences(spark, folder).select("id", rank_path().alias("taxonPath"))
 
 
+
+
+def varied_selectors(spark: SparkSession, folder: str) -> DataFrame:
+    """One selector per part, valid and not, some with a UUID of its own."""
+    key = F.col("p_partkey")
+    x, y = key * 37 % 380 - 190, key * 53 % 190 - 95
+    square = F.format_string(
+        "POLYGON ((%d.5 %d.25, %d.5 %d.25, %d.5 %d.5, %d.5 %d.25))", x, y, x + 9, y, x + 9, y + 7, x, y
+    )
+    taxa = (
+        F.when(key % 4 == 0, F.concat("p_type", F.lit(","), "p_name"))
+        .when(key % 4 == 1, F.concat("p_type", F.lit("|"), "p_brand"))
+        .when(key % 4 == 2, F.concat(F.lit(" *~+"), "p_name", F.lit("\u00e9")))
+        .otherwise("")
+    )
+    wkt = (
+        F.when(key % 7 == 0, F.format_string("ENVELOPE(%d,%d,%d,%d)", x, x + 11, y + 7, y))
+        .when(key % 7 == 1, F.format_string(" envelope ( %d.5, %d, %d, %d ) ", x, x + 11, y - 7, y))
+        .when(key % 7 == 2, square)
+        .when(key % 7 == 3, F.replace(square, F.lit(".5 "), F.lit(".75 ")))
+        .when(key % 7 == 4, F.concat(F.lit("DUCK"), F.substring(square, 8, 1000)))
+        .when(key % 7 == 5, F.format_string("POINT (%d %d)", x, y))
+        .otherwise(F.replace(square, F.lit("))"), F.lit(", 1 1))")))
+    )
+    full = F.format_string("%08X-0000-5000-8000-00000000ABCD", key)
+    given = F.when(key % 9 == 0, full).when(key % 9 == 1, F.substring(full, 1, 35))
+    return table(spark, folder, "part").select(
+        key.alias("key"),
+        taxa.alias("taxonSelector"),
+        wkt.alias("wktString"),
+        F.concat("p_name", F.lit(",longName")).alias("traitSelector"),
+        given.alias("givenUuid"),
+    )

@@ -16,12 +16,12 @@ _MANY_EDGES = 64
 _MARGIN = 1e-6
 
 
-def _index(degrees: Column, offset: int, size: int) -> Column:
+def _index(degrees: Column, offset: int, size) -> Column:
     return F.floor((degrees + offset) / size)
 
 
-def _id(level: int, cx: Column, cy: Column) -> Column:
-    return (F.lit(level * 1_000_000) + cy * 1000 + cx).cast("int")
+def _id(level, cx: Column, cy: Column) -> Column:
+    return (cy * 1000 + cx + level * 1_000_000).cast("int")
 
 
 def cell_of(lat: Column, lng: Column, level: int) -> Column:
@@ -44,30 +44,24 @@ def level_for(boxes: Column, edges: Column) -> Column:
 def cover(boxes: Column, level: Column) -> Column:
     """The distinct cells that touch any of the boxes, as array<struct<cell,x0,x1,y0,y1>>."""
 
-    def at(i):
-        size = SIZES[i]
+    size = F.element_at(F.array(*[F.lit(s) for s in SIZES]), level + 1)
 
-        def cells(b):
-            xs = F.sequence(_index(b["x0"], 180, size), _index(b["x1"], 180, size))
-            ys = F.sequence(_index(b["y0"], 90, size), _index(b["y1"], 90, size))
+    def cells(b):
+        xs = F.sequence(_index(b["x0"], 180, size), _index(b["x1"], 180, size))
+        ys = F.sequence(_index(b["y0"], 90, size), _index(b["y1"], 90, size))
 
-            def cell(cx, cy):
-                return F.struct(
-                    _id(i, cx, cy).alias("cell"),
-                    (cx * size - 180 - F.lit(_MARGIN)).alias("x0"),
-                    ((cx + 1) * size - 180 + F.lit(_MARGIN)).alias("x1"),
-                    (cy * size - 90 - F.lit(_MARGIN)).alias("y0"),
-                    ((cy + 1) * size - 90 + F.lit(_MARGIN)).alias("y1"),
-                )
+        def cell(cx, cy):
+            return F.struct(
+                _id(level, cx, cy).alias("cell"),
+                (cx * size - 180 - F.lit(_MARGIN)).alias("x0"),
+                ((cx + 1) * size - 180 + F.lit(_MARGIN)).alias("x1"),
+                (cy * size - 90 - F.lit(_MARGIN)).alias("y0"),
+                ((cy + 1) * size - 90 + F.lit(_MARGIN)).alias("y1"),
+            )
 
-            return F.flatten(F.transform(xs, lambda cx: F.transform(ys, lambda cy: cell(cx, cy))))
+        return F.flatten(F.transform(xs, lambda cx: F.transform(ys, lambda cy: cell(cx, cy))))
 
-        return F.array_distinct(F.flatten(F.transform(boxes, cells)))
-
-    covers = F.when(level == 0, at(0))
-    for i in range(1, len(SIZES)):
-        covers = covers.when(level == i, at(i))
-    return covers
+    return F.array_distinct(F.flatten(F.transform(boxes, cells)))
 
 
 def edges_for_cell(edges: Column, cell: Column) -> Column:

@@ -45,6 +45,11 @@ _BOX = "struct<x0:double,x1:double,y0:double,y1:double>"
 _EDGE = "struct<x1:double,y1:double,x2:double,y2:double>"
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value worked out once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _numbers(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(_N), F.lit(0)), lambda n: n.cast("double"))
 
@@ -62,6 +67,24 @@ def _rings(wkt: Column) -> Column:
     return F.transform(inner, lambda ring: F.transform(F.split(ring, ","), point))
 
 
+def _form(wkt: Column) -> Column:
+    envelope, polygon = wkt.rlike(_ENVELOPE), wkt.rlike(_POLYGON)
+    return F.when(envelope, "envelope").when(polygon, "polygon").when(wkt.rlike(_WKT), "other").otherwise("none")
+
+
+def _parsed(wkt: Column) -> Column:
+    """Form, and the numbers of an envelope or the rings of another shape."""
+    # The points of other shapes, without the numbers of envelopes and buffers in them.
+    points = F.regexp_replace(wkt, rf"(?i)ENVELOPE\s*{_BODIES['ENVELOPE']}|^\s*BUFFER\s*\(|,\s*{_N}\s*\)\s*\z", "")
+
+    def parts(form):
+        rings = F.when(form == "polygon", _rings(wkt)).when(form == "other", _rings(points))
+        numbers = F.when(form == "envelope", _numbers(wkt))
+        return F.struct(form.alias("form"), numbers.alias("numbers"), rings.alias("rings"))
+
+    return _let(_form(wkt), parts)
+
+
 def _closed(ring: Column) -> Column:
     return (F.size(ring) >= 4) & (F.get(ring, F.lit(0)) == F.element_at(ring, -1))
 
@@ -70,57 +93,51 @@ def _in_world(point: Column) -> Column:
     return point["x"].between(-180, 180) & point["y"].between(-90, 90)
 
 
-def _envelope_in_world(wkt: Column) -> Column:
-    x0, x1, y1, y0 = (F.get(_numbers(wkt), F.lit(i)) for i in range(4))
-    xs = x0.between(-180, 180) & x1.between(-180, 180)
-    return xs & (y0 >= -90) & (y1 <= 90) & (y0 <= y1)
+def _corners(parsed: Column):
+    x0, x1, y1, y0 = (F.get(parsed["numbers"], F.lit(i)) for i in range(4))
+    return x0, x1, y0, y1
 
 
-def valid_wkt(wkt: Column) -> Column:
-    """Well-formed, within the world, and with closed rings of four points or more."""
-    closed = F.forall(_rings(wkt), _closed)
-    buffered = F.regexp_replace(wkt, rf"(?i)^\s*BUFFER\s*\(|,\s*{_N}\s*\)\s*\z", "")
-    shape = F.when(wkt.rlike(r"(?i)^\s*BUFFER"), buffered).otherwise(wkt)
-    # Envelopes inside collections are checked by their form only.
-    points = F.regexp_replace(shape, rf"(?i)ENVELOPE\s*{_BODIES['ENVELOPE']}", "")
-    in_world = F.forall(F.flatten(_rings(points)), _in_world)
+def _valid(parsed: Column) -> Column:
+    x0, x1, y0, y1 = _corners(parsed)
+    envelope = x0.between(-180, 180) & x1.between(-180, 180) & (y0 >= -90) & (y1 <= 90) & (y0 <= y1)
+    in_world = F.forall(F.flatten(parsed["rings"]), _in_world)
+    form = parsed["form"]
     return (
-        F.when(~wkt.rlike(_WKT) | wkt.isNull(), F.lit(False))
-        .when(wkt.rlike(_ENVELOPE), _envelope_in_world(wkt))
-        .when(wkt.rlike(_POLYGON), in_world & closed)
-        .otherwise(in_world)
+        F.when(form == "envelope", envelope)
+        .when(form == "polygon", in_world & F.forall(parsed["rings"], _closed))
+        .when(form == "other", in_world)
+        .otherwise(False)
     )
 
 
-def supported_area(wkt: Column) -> Column:
-    """An area that points can be inside of."""
-    return valid_wkt(wkt) & (wkt.rlike(_ENVELOPE) | wkt.rlike(_POLYGON))
+def valid_wkt(wkt: Column) -> Column:
+    """Well-formed, within the world, and with closed rings of four points or more.
 
+    Envelopes and distances inside other shapes are checked by their form only.
+    """
+    return F.coalesce(_let(_parsed(wkt), _valid), F.lit(False))
 
-def _envelope_boxes(wkt: Column) -> Column:
-    x0, x1, y1, y0 = (F.get(_numbers(wkt), F.lit(i)) for i in range(4))
 
-    def box(a, b):
-        return F.struct(a.alias("x0"), b.alias("x1"), y0.alias("y0"), y1.alias("y1"))
+def _box(x0, x1, y0, y1):
+    return F.struct(x0.alias("x0"), x1.alias("x1"), y0.alias("y0"), y1.alias("y1"))
 
-    crossing = F.array(box(x0, F.lit(180.0)), box(F.lit(-180.0), x1))
-    return F.when(x0 > x1, crossing).otherwise(F.array(box(x0, x1)))
 
+def _envelope_boxes(parsed: Column) -> Column:
+    x0, x1, y0, y1 = _corners(parsed)
+    crossing = F.array(_box(x0, F.lit(180.0), y0, y1), _box(F.lit(-180.0), x1, y0, y1))
+    return F.when(x0 > x1, crossing).otherwise(F.array(_box(x0, x1, y0, y1)))
 
-def _polygon_boxes(wkt: Column) -> Column:
-    points = F.flatten(_rings(wkt))
-    xs, ys = F.transform(points, lambda p: p["x"]), F.transform(points, lambda p: p["y"])
-    return F.array(
-        F.struct(
-            F.array_min(xs).alias("x0"),
-            F.array_max(xs).alias("x1"),
-            F.array_min(ys).alias("y0"),
-            F.array_max(ys).alias("y1"),
-        )
-    )
 
+def _polygon_boxes(parsed: Column) -> Column:
+    def box(points):
+        xs, ys = F.transform(points, lambda p: p["x"]), F.transform(points, lambda p: p["y"])
+        return _box(F.array_min(xs), F.array_max(xs), F.array_min(ys), F.array_max(ys))
+
+    return F.array(_let(F.flatten(parsed["rings"]), box))
 
-def _polygon_edges(wkt: Column) -> Column:
+
+def _polygon_edges(parsed: Column) -> Column:
     def edge(p, q):
         return F.struct(p["x"].alias("x1"), p["y"].alias("y1"), q["x"].alias("x2"), q["y"].alias("y2"))
 
@@ -129,19 +146,34 @@ def _polygon_edges(wkt: Column) -> Column:
         return F.zip_with(F.slice(ring, F.lit(1), n), F.slice(ring, F.lit(2), n), edge)
 
     # A level edge never lies between two heights, so it is never crossed.
-    return F.filter(F.flatten(F.transform(_rings(wkt), edges)), lambda e: e["y1"] != e["y2"])
+    return F.filter(F.flatten(F.transform(parsed["rings"], edges)), lambda e: e["y1"] != e["y2"])
 
 
-def area_boxes(wkt: Column) -> Column:
-    """One bounding box, or two across the date line; null for an area that is not supported."""
-    return F.when(
-        supported_area(wkt), F.when(wkt.rlike(_ENVELOPE), _envelope_boxes(wkt)).otherwise(_polygon_boxes(wkt))
-    ).cast(f"array<{_BOX}>")
+def area(wkt: Column) -> Column:
+    """struct<valid, supported, boxes, edges>.
 
+    ``supported`` is an area that points can be inside of. ``boxes`` are its bounding box, or
+    two across the date line; ``edges`` those of all rings, null for an envelope.
+    """
 
-def area_edges(wkt: Column) -> Column:
-    """The edges of all rings; no edges for an envelope."""
-    return F.when(supported_area(wkt) & wkt.rlike(_POLYGON), _polygon_edges(wkt)).cast(f"array<{_EDGE}>")
+    def fields(parsed, valid):
+        envelope, polygon = (valid & (parsed["form"] == form) for form in ("envelope", "polygon"))
+        boxes = F.when(envelope, _envelope_boxes(parsed)).when(polygon, _polygon_boxes(parsed))
+        return F.struct(
+            valid.alias("valid"),
+            (envelope | polygon).alias("supported"),
+            boxes.cast(f"array<{_BOX}>").alias("boxes"),
+            F.when(polygon, _polygon_edges(parsed)).cast(f"array<{_EDGE}>").alias("edges"),
+        )
+
+    def of(parsed):
+        return _let(F.coalesce(_valid(parsed), F.lit(False)), lambda valid: fields(parsed, valid))
+
+    return _let(_parsed(F.coalesce(wkt, F.lit(""))), of)
+
+
+def supported_area(wkt: Column) -> Column:
+    return area(wkt)["supported"]
 
 
 def in_box(lat: Column, lng: Column, box: Column) -> Column:

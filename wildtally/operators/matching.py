@@ -22,23 +22,20 @@ from wildtally.functions.taxa import path_elements
 from wildtally.operators.sizes import BROADCAST_BYTES, fits
 from wildtally.operators.traits import with_traits
 from wildtally.selector import normalized, valid_only
+from wildtally.session import checkpoint
 
 
-def _prepared(selectors: DataFrame) -> DataFrame:
-    wkt = F.col("wktString")
-    areas = selectors.filter(shapes.supported_area(wkt)).select(
-        "uuid",
-        "traitSelector",
-        terms(F.col("taxonSelector")).alias("terms"),
-        shapes.area_boxes(wkt).alias("boxes"),
-        shapes.area_edges(wkt).alias("edges"),
+def _areas(selectors: DataFrame) -> DataFrame:
+    parsed = selectors.select(
+        "uuid", "traitSelector", terms(F.col("taxonSelector")).alias("terms"), shapes.area(F.col("wktString")).alias("a")
     )
+    areas = parsed.select("uuid", "traitSelector", "terms", "a.*").filter("supported")
     return areas.withColumn("level", cells.level_for(F.col("boxes"), F.col("edges")))
 
 
 def selector_keys(selectors: DataFrame) -> DataFrame:
     """One row per selector, cell and taxon term, with what is left to test there."""
-    covered = _prepared(selectors).select("*", F.explode(cells.cover(F.col("boxes"), F.col("level"))).alias("c"))
+    covered = _areas(selectors).select("*", F.explode(cells.cover(F.col("boxes"), F.col("level"))).alias("c"))
     cell, edges = F.col("c"), F.col("edges")
     center = (cell["y0"] + cell["y1"]) / 2, (cell["x0"] + cell["x1"]) / 2
     untouched = edges.isNotNull() & ~cells.touches_edge(edges, cell)
@@ -66,6 +63,7 @@ def _measure(keys: DataFrame):
         F.count("*").alias("n"),
         F.coalesce(F.sum(text + listed + shape), F.lit(0)).alias("bytes"),
         F.collect_set("level").alias("levels"),
+        F.coalesce(F.bool_or(F.col("traitSelector") != ""), F.lit(False)).alias("traits"),
     ).first()
 
 
@@ -80,8 +78,18 @@ def match_selectors(
     Selectors that are not valid, or whose area has no inside, match nothing. Trait lists need
     ``traits``; without it a selector with a trait list matches nothing.
     """
-    chosen = valid_only(normalized(selectors))
-    keys = selector_keys(chosen)
+    return match_prepared(occurrences, prepared(selectors), traits, broadcast_limit)
+
+
+def prepared(selectors: DataFrame) -> DataFrame:
+    """The valid selectors, normalised, with their UUID, each once."""
+    return checkpoint(valid_only(normalized(selectors)))
+
+
+def match_prepared(
+    occurrences: DataFrame, selectors: DataFrame, traits: DataFrame | None, broadcast_limit: int = BROADCAST_BYTES
+) -> DataFrame:
+    keys = checkpoint(selector_keys(selectors))
     size = _measure(keys)
     lat, lng = F.col("lat"), F.col("lng")
 
@@ -105,8 +113,8 @@ def match_selectors(
         F.col("term") == F.get(F.array_intersect("elements", "terms"), F.lit(0))
     )
     matched = candidates.filter(first_term & in_area)
-    if traits is None:
+    if size.traits and traits is None:
         matched = matched.filter(F.size(terms(F.col("traitSelector"))) == 0)
-    else:
-        matched = with_traits(matched, occurrences, traits, chosen, broadcast_limit)
+    elif size.traits:
+        matched = with_traits(matched, occurrences, traits, selectors, broadcast_limit)
     return matched.select(*occurrences.columns, "uuid")

@@ -6,11 +6,10 @@ from pyspark.sql import functions as F
 from wildtally import schemas
 from wildtally.functions.shapes import supported_area
 from wildtally.operators import aggregates, filters
-from wildtally.operators.matching import match_selectors
+from wildtally.operators.matching import match_prepared, match_selectors, prepared
 from wildtally.operators.sizes import measured
 from wildtally.operators.traits import trait_filter
-from wildtally.selector import InvalidSelector, Resolved, normalized, resolve, selectors_frame, valid_only
-from wildtally.session import checkpoint
+from wildtally.selector import InvalidSelector, Resolved, resolve, selectors_frame, with_uuid
 from wildtally.sources import tables
 
 READY = "ready"
@@ -40,7 +39,7 @@ def _one(occurrences: DataFrame, selector, traits):
     spark = occurrences.sparkSession
     found = resolve(spark, selector)
     rows = select_occurrences(occurrences, found, traits).withColumn("uuid", F.lit(found.uuid))
-    return rows, normalized(selectors_frame(spark, [found.selector]))
+    return rows, with_uuid(selectors_frame(spark, [found.selector]))
 
 
 def save_checklist(occurrences: DataFrame, selector, base: str, traits: DataFrame | None = None) -> None:
@@ -53,14 +52,14 @@ def save_checklists(
     occurrences: DataFrame, selectors: DataFrame, base: str, traits: DataFrame | None = None
 ) -> None:
     """Compute and save the checklists of many selectors in one pass."""
-    chosen = valid_only(normalized(selectors))
-    tables.save_checklists(generate_checklists(occurrences, chosen, traits), base, chosen)
+    chosen = prepared(selectors)
+    tables.save_checklists(aggregates.checklists(match_prepared(occurrences, chosen, traits)), base, chosen)
 
 
 def monitor_summary(selectors: DataFrame, counts: DataFrame) -> DataFrame:
-    """One row per valid selector; selectors that match nothing count 0."""
+    """One row per selector (valid, with ``uuid``); selectors that match nothing count 0."""
     status = F.when(supported_area(F.col("wktString")), READY).otherwise(NO_AREA)
-    rows = valid_only(normalized(selectors)).join(counts, "uuid", "left")
+    rows = selectors.join(counts, "uuid", "left")
     count = F.coalesce("itemCount", F.lit(0).cast("long"))
     return rows.select("uuid", count.alias("itemCount"), status.alias("status"), *schemas.SELECTOR.names)
 
@@ -95,13 +94,11 @@ def save_all_occurrences(
     occurrences: DataFrame, selectors: DataFrame, base: str, traits: DataFrame | None = None
 ) -> None:
     """The same for many selectors in one pass over the occurrences."""
-    chosen = valid_only(normalized(selectors))
-    _save(match_selectors(occurrences, chosen, traits), chosen, base)
+    chosen = prepared(selectors)
+    _save(match_prepared(occurrences, chosen, traits), chosen, base)
 
 
 def refresh_all(occurrences: DataFrame, base: str, traits: DataFrame | None = None) -> None:
     """Recompute every saved monitor from the occurrences."""
     spark = occurrences.sparkSession
-    # The summary is read here and overwritten at the end.
-    saved = checkpoint(tables.read_table(spark, base, tables.SUMMARY).select(*schemas.SELECTOR.names))
-    save_all_occurrences(occurrences, saved, base, traits)
+    save_all_occurrences(occurrences, tables.read_table(spark, base, tables.SUMMARY), base, traits)

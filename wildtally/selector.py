@@ -72,16 +72,15 @@ def resolve(spark: SparkSession, selector=None, uuid=None) -> Resolved:
         normalized(selectors_frame(spark, [Selector(*selector)]))
         .select(
             "*",
-            S.valid_selector(F.col("taxonSelector"), wkt).alias("valid"),
+            S.valid_taxa(F.col("taxonSelector")).alias("validTaxa"),
             S.terms(F.col("taxonSelector")).alias("taxa"),
             S.terms(F.col("traitSelector")).alias("traits"),
-            shapes.supported_area(wkt).alias("supported"),
-            shapes.area_boxes(wkt).alias("boxes"),
-            shapes.area_edges(wkt).alias("edges"),
+            shapes.area(wkt).alias("area"),
         )
+        .select("*", "area.*")
         .first()
     )
-    if not row.valid:
+    if not (row.validTaxa and row.valid):
         raise InvalidSelector(f"invalid selector: {selector!r}")
     return Resolved(
         row.uuid,

@@ -18,11 +18,14 @@ def read_traits(spark: SparkSession, pattern: str) -> DataFrame:
     return spark.read.schema(schemas.TRAIT).option("header", True).option("enforceSchema", False).csv(pattern)
 
 
-def read_id_lists(spark: SparkSession, root: str) -> DataFrame:
-    """Text files of occurrence ids, with or without a monitor UUID, below ``source=`` folders."""
+def read_id_lists(spark: SparkSession, root: str, name: str = "all.tsv") -> DataFrame:
+    """Text files of occurrence ids, with or without a monitor UUID, in ``source=*/<name>`` folders.
+
+    The folder names tell complete lists from previews; lists of one name are read together.
+    """
     schema = schemas.with_partitions(schemas.MONITORED, ["source"])
     reader = spark.read.schema(schema).option("sep", "\t").option("quote", "").option("basePath", root)
-    return reader.option("recursiveFileLookup", False).csv(f"{root}/source=*/*/*.tsv")
+    return reader.csv(f"{root}/source=*/{name}")
 
 
 def union_archives(archives: dict[str, DataFrame]) -> DataFrame:

@@ -5,10 +5,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from wildtally import schemas
-from wildtally.operators.matching import match_selectors
+from wildtally.operators.matching import match_prepared, prepared
 from wildtally.operators.sizes import measured
 from wildtally.plans.generate import save_summary
-from wildtally.session import checkpoint
 from wildtally.sources import tables
 
 
@@ -18,9 +17,9 @@ def add_batch(occurrences: DataFrame, base: str, load: str, traits: DataFrame |
     The same load again overwrites itself, so a replayed batch changes nothing.
     """
     spark = occurrences.sparkSession
-    # The summary is read here and overwritten at the end.
-    saved = checkpoint(tables.read_table(spark, base, tables.SUMMARY).select("uuid", *schemas.SELECTOR.names))
-    tables.add_occurrences(match_selectors(occurrences, saved, traits), base, load)
+    # The summary is overwritten at the end; this copy of its selectors stays.
+    saved = prepared(tables.read_table(spark, base, tables.SUMMARY))
+    tables.add_occurrences(match_prepared(occurrences, saved, traits), base, load)
     added = tables.read_table(spark, base, tables.OCCURRENCE).filter(F.col("load") == load)
     tables.add_monitored(added, base, load)
     touched = measured(added.select("uuid").distinct(), "uuid")
