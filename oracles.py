@@ -57,7 +57,7 @@ PARTS = (
     [(10.5, 10.5), (14.5, 10.5), (14.5, 16.5), (10.5, 10.5)],
     [(-14.5, 1.5), (-9.5, 1.5), (-9.5, 6.5), (-14.5, 1.5)],
 )
-SMALL = [(-12.5, -10.5), (4.25, 33.5), (29.5, 3.25), (-12.5, -10.5)]
+SMALL = [(-2.5, -0.5), (4.25, 8.5), (9.5, 3.25), (-2.5, -0.5)]
 
 # x0, x1, y0, y1 and edges of the literal selectors, by their WKT.
 SHAPES = {
@@ -70,8 +70,10 @@ SHAPES = {
     "ENVELOPE(170,-170,10,-10)": ((170, -170, -10, 10), NO_EDGES),
     "ENVELOPE(-60,60,30,-30)": ((-60, 60, -30, 30), NO_EDGES),
     "ENVELOPE(-90,90,60,-60)": ((-90, 90, -60, 60), NO_EDGES),
-    derived.SAVED[1][1]: ((-12.5, 29.5, -10.5, 33.5), edges_of(SMALL)),
-    "ENVELOPE(-20,20,20,-20)": ((-20, 20, -20, 20), NO_EDGES),
+    "ENVELOPE(-100,-70,35,20)": ((-100, -70, 20, 35), NO_EDGES),
+    derived.SAVED[1][1]: ((-2.5, 9.5, -0.5, 8.5), edges_of(SMALL)),
+    "ENVELOPE(178,-178,4,-4)": ((178, -178, -4, 4), NO_EDGES),
+    "ENVELOPE(-10,0,10,0)": ((-10, 0, 0, 10), NO_EDGES),
 }
 
 
@@ -183,15 +185,12 @@ def with_trait(t):
     )
 
 
-def day(bound=None):
-    return f"added // {DAY} * {DAY}"
-
-
 AFTER = f"added // {DAY} * {DAY} > epoch_ms(TIMESTAMP '1997-01-01')"
 BEFORE = f"added // {DAY} * {DAY} < epoch_ms(TIMESTAMP '1997-02-01 12:00:00')"
-IN_1997 = f"{AFTER} AND added // {DAY} * {DAY} < epoch_ms(TIMESTAMP '1998-01-01')"
+TO_2000 = f"{AFTER} AND added // {DAY} * {DAY} < epoch_ms(TIMESTAMP '2000-01-01')"
 
-FLAGSHIP = derived.SAVED[0]
+FLAGSHIP = derived.CASES[0]
+SAVED = derived.SAVED[0]
 ISO = "%Y-%m-%dT%H:%M:%S.%gZ"
 
 
@@ -299,13 +298,13 @@ CASE_STATUS = """SELECT w.taxonSelector, w.wktString, w.traitSelector, w.uuid, {
 FROM (SELECT *, {uuid} AS uuid FROM wanted) w LEFT JOIN ({saved}) m ON w.uuid = m.uuid"""
 
 
-def status_query(columns, saved):
+def status_query(columns, saved, selectors=derived.SAVED):
     wanted = " UNION ALL ".join(
         f"SELECT {text(t)} AS taxonSelector, {text(w)} AS wktString, {text(r)} AS traitSelector" for t, w, r in derived.CASES
     )
     uuid = uuid_of(NORM_T, "wktString", NORM_R)
     select = CASE_STATUS.format(columns=columns, uuid=uuid, saved=saved)
-    base = matching(select, derived.SAVED)
+    base = matching(select, selectors)
     extra = f"{SUPPLIERS}, wanted AS (SELECT taxonSelector, wktString, traitSelector FROM suppliers UNION ALL {wanted}), "
     return base.replace("WITH ", f"WITH {extra}", 1)
 
@@ -376,9 +375,9 @@ ORACLES = {
     "monitors": MONITORS,
     "monitor_of": matching(MONITOR_ROWS, [derived.SAVED[1]]),
     "monitors_of": status_query("m.status, CAST(m.recordCount AS VARCHAR) AS recordCount", MONITOR_ROWS),
-    "status_of": matching(f"SELECT status FROM ({MONITOR_ROWS})", [FLAGSHIP]),
+    "status_of": matching(f"SELECT status FROM ({MONITOR_ROWS})", [SAVED]),
     "checklists_status": status_query(
-        "m.status", "SELECT DISTINCT uuid, 'ready' AS status FROM matched"
+        "m.status", "SELECT DISTINCT uuid, 'ready' AS status FROM matched", VALID_CASES
     ),
     "saved_checklist": selected(CHECKLIST, FLAGSHIP, "GROUP BY taxon"),
     "checklist": selected(CHECKLIST, FLAGSHIP, TOP),
@@ -392,17 +391,17 @@ ORACLES = {
         f"FROM (SELECT {CHECKLIST} FROM matched {TOP})",
         [FLAGSHIP],
     ),
-    "occurrences": selected(END, FLAGSHIP, f"{ORDER} 20", IN_1997),
+    "occurrences": selected(END, SAVED, f"{ORDER} 20", TO_2000),
     "saved_occurrences": selected(END, derived.SAVED[4]),
-    "occurrences_tsv": selected(TSV, FLAGSHIP, where=AFTER),
-    "occurrences_tsv_file": selected(TSV, FLAGSHIP) + f" UNION SELECT {header(TSV_HEADER)}",
+    "occurrences_tsv": selected(TSV, SAVED, where=AFTER),
+    "occurrences_tsv_file": selected(TSV, SAVED) + f" UNION SELECT {header(TSV_HEADER)}",
     "occurrences_json": matching(
-        f"SELECT '{{\"selector\":' || {json_selector(FLAGSHIP)} || ',\"status\":\"ready\",\"items\":[' || coalesce("
+        f"SELECT '{{\"selector\":' || {json_selector(SAVED)} || ',\"status\":\"ready\",\"items\":[' || coalesce("
         "string_agg(concat('{\"taxon\":\"', taxon, '\",\"lat\":', lat, ',\"lng\":', lng, ',\"start\":', start, ',\"end\":', start, "
         "',\"id\":\"', id, '\",\"added\":', added, ',\"source\":\"', source, '\"}'), ',' "
         "ORDER BY added, source, id, taxon, lat, lng, start), '') || ']}' AS json "
         f"FROM (SELECT * FROM matched WHERE {BEFORE} {ORDER} 20)",
-        [FLAGSHIP],
+        [SAVED],
     ),
     "monitors_json": matching(
         "SELECT concat('{\"selector\":{\"uuid\":\"', uuid, '\",\"taxonSelector\":\"', taxonSelector, '\",\"wktString\":\"', "

@@ -22,7 +22,8 @@ from wildtally.sources import inputs, sinks, tables
 from wildtally.streaming.refresh import refresh_stream
 
 TERMS = ["ASIA", "PROMO"]
-FLAGSHIP = derived.SAVED[0]
+FLAGSHIP = derived.CASES[0]
+SAVED = derived.SAVED[0]
 TRIANGLE = derived.CASES[3][1]
 HOLE = derived.CASES[4][1]
 TWO_PARTS = derived.CASES[5][1]
@@ -51,10 +52,9 @@ def store(spark: SparkSession, folder: str) -> str:
     key = (spark.sparkContext.applicationId, folder)
     if key not in _stores:
         base = scratch_dir(spark, "store")
-        chosen = selectors_frame(spark, derived.SAVED)
         records, traits = derived.occurrences(spark, folder), derived.traits(spark, folder)
-        generate.save_all_occurrences(records, chosen, base, traits)
-        generate.save_checklists(records, chosen, base, traits)
+        generate.save_all_occurrences(records, selectors_frame(spark, derived.SAVED), base, traits)
+        generate.save_checklists(records, selectors_frame(spark, derived.CASES), base, traits)
         _stores[key] = base
     return _stores[key]
 
@@ -370,7 +370,7 @@ def monitors_of(spark, folder):
 
 @query
 def status_of(spark, folder):
-    return Q.status_of(spark, store(spark, folder), FLAGSHIP)
+    return Q.status_of(spark, store(spark, folder), SAVED)
 
 
 @query
@@ -408,7 +408,7 @@ def checklist_json(spark, folder):
 
 @query
 def occurrences(spark, folder):
-    return Q.occurrences(spark, store(spark, folder), FLAGSHIP, added_after=AFTER, added_before="1998-01-01")
+    return Q.occurrences(spark, store(spark, folder), SAVED, added_after=AFTER, added_before="2000-01-01")
 
 
 @query
@@ -418,20 +418,20 @@ def saved_occurrences(spark, folder):
 
 @query
 def occurrences_tsv(spark, folder):
-    rows = Q.occurrences(spark, store(spark, folder), FLAGSHIP, added_after=AFTER, limit=None)
+    rows = Q.occurrences(spark, store(spark, folder), SAVED, added_after=AFTER, limit=None)
     return rows.select(lines.occurrence_tsv_line().alias("line"))
 
 
 @query
 def occurrences_tsv_file(spark, folder):
     path = scratch_dir(spark, "tsv")
-    sinks.write_occurrences_tsv(Q.occurrences(spark, store(spark, folder), FLAGSHIP, limit=None), path)
+    sinks.write_occurrences_tsv(Q.occurrences(spark, store(spark, folder), SAVED, limit=None), path)
     return spark.read.text(path).withColumnRenamed("value", "line").distinct()
 
 
 @query
 def occurrences_json(spark, folder):
-    return Q.occurrences_json(spark, store(spark, folder), FLAGSHIP, added_before=BEFORE)
+    return Q.occurrences_json(spark, store(spark, folder), SAVED, added_before=BEFORE)
 
 
 @query
