@@ -1,11 +1,9 @@
 """A fixed grid of square cells at four sizes, used as join key between points and areas.
 
-The number of cells is fixed (about 68,000 over all sizes), whatever the data.
+The number of cells is fixed (about 68,000 over all sizes), whatever the data. All functions
+give SQL text; their arguments are column names or SQL expressions.
 """
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 # Cell sizes in degrees; the last one takes in the whole world.
 SIZES = [1, 5, 30, 1000]
 # No cover of a bounding box has more than 6 cells on a side, except the 30 degree cover of
@@ -13,86 +11,60 @@ SIZES = [1, 5, 30, 1000]
 _SIDE = 5
 _MANY_EDGES = 64
 # Rounding never moves a point further than this from the cell it falls in.
-_MARGIN = 1e-6
+_MARGIN = "0.000001D"
 
 
-def _index(degrees: Column, offset: int, size) -> Column:
-    return F.floor((degrees + offset) / size)
+def _index(degrees: str, offset: int, size) -> str:
+    return f"floor(({degrees} + {offset}) / {size})"
 
 
-def _id(level, cx: Column, cy: Column) -> Column:
-    return (cy * 1000 + cx + level * 1_000_000).cast("int")
+def _id(level, cx: str, cy: str) -> str:
+    return f"CAST({cy} * 1000 + {cx} + {level} * 1000000 AS INT)"
 
 
-def cell_of(lat: Column, lng: Column, level: int) -> Column:
+def cell_of(lat: str, lng: str, level: int) -> str:
     """The cell of a point; null where a coordinate is null or off the map."""
     cell = _id(level, _index(lng, 180, SIZES[level]), _index(lat, 90, SIZES[level]))
-    return F.when(lng.between(-180, 180) & lat.between(-90, 90), cell)
+    return f"CASE WHEN {lng} BETWEEN -180 AND 180 AND {lat} BETWEEN -90 AND 90 THEN {cell} END"
 
 
-def level_for(boxes: Column, edges: Column) -> Column:
+def level_for(boxes: str, edges: str) -> str:
     """The finest level with few cells per area; a level finer for polygons with many edges."""
-    extents = F.transform(boxes, lambda b: F.greatest(b["x1"] - b["x0"], b["y1"] - b["y0"]))
-    extent = F.array_max(extents)
-    level = F.lit(len(SIZES) - 1)
-    for i in reversed(range(len(SIZES) - 1)):
-        level = F.when(extent <= SIZES[i] * _SIDE, i).otherwise(level)
-    finer = F.size(F.coalesce(edges, F.array())) > _MANY_EDGES
-    return F.when(finer, F.greatest(level - 1, F.lit(0))).otherwise(level)
+    extent = f"array_max(transform({boxes}, b -> greatest(b.x1 - b.x0, b.y1 - b.y0)))"
+    steps = " ".join(f"WHEN {extent} <= {size * _SIDE} THEN {i}" for i, size in enumerate(SIZES[:-1]))
+    level = f"CASE {steps} ELSE {len(SIZES) - 1} END"
+    return f"greatest({level} - CASE WHEN size({edges}) > {_MANY_EDGES} THEN 1 ELSE 0 END, 0)"
 
 
-def cover(boxes: Column, level: Column) -> Column:
+def cover(boxes: str, level: str) -> str:
     """The distinct cells that touch any of the boxes, as array<struct<cell,x0,x1,y0,y1>>."""
-
-    size = F.element_at(F.array(*[F.lit(s) for s in SIZES]), level + 1)
-
-    def cells(b):
-        xs = F.sequence(_index(b["x0"], 180, size), _index(b["x1"], 180, size))
-        ys = F.sequence(_index(b["y0"], 90, size), _index(b["y1"], 90, size))
-
-        def cell(cx, cy):
-            return F.struct(
-                _id(level, cx, cy).alias("cell"),
-                (cx * size - 180 - F.lit(_MARGIN)).alias("x0"),
-                ((cx + 1) * size - 180 + F.lit(_MARGIN)).alias("x1"),
-                (cy * size - 90 - F.lit(_MARGIN)).alias("y0"),
-                ((cy + 1) * size - 90 + F.lit(_MARGIN)).alias("y1"),
-            )
-
-        return F.flatten(F.transform(xs, lambda cx: F.transform(ys, lambda cy: cell(cx, cy))))
-
-    return F.array_distinct(F.flatten(F.transform(boxes, cells)))
+    size = f"element_at(array({', '.join(map(str, SIZES))}), {level} + 1)"
+    xs = f"sequence({_index('b.x0', 180, size)}, {_index('b.x1', 180, size)})"
+    ys = f"sequence({_index('b.y0', 90, size)}, {_index('b.y1', 90, size)})"
+    cell = f"""named_struct('cell', {_id(level, 'cx', 'cy')},
+      'x0', cx * {size} - 180 - {_MARGIN}, 'x1', (cx + 1) * {size} - 180 + {_MARGIN},
+      'y0', cy * {size} - 90 - {_MARGIN}, 'y1', (cy + 1) * {size} - 90 + {_MARGIN})"""
+    cells = f"flatten(transform({xs}, cx -> transform({ys}, cy -> {cell})))"
+    return f"array_distinct(flatten(transform({boxes}, b -> {cells})))"
+
+
+def _beside(cell: str) -> str:
+    """An edge at the height of the cell that does not end to the left of it."""
+    return (
+        f"least(e.y1, e.y2) <= {cell}.y1 AND greatest(e.y1, e.y2) >= {cell}.y0 AND greatest(e.x1, e.x2) >= {cell}.x0"
+    )
 
 
-def edges_for_cell(edges: Column, cell: Column) -> Column:
+def edges_for_cell(edges: str, cell: str) -> str:
     """The edges that a ray from a point of the cell can cross."""
+    return f"filter({edges}, e -> {_beside(cell)})"
 
-    def near(e):
-        low, high = F.least(e["y1"], e["y2"]), F.greatest(e["y1"], e["y2"])
-        return (low <= cell["y1"]) & (high >= cell["y0"]) & (F.greatest(e["x1"], e["x2"]) >= cell["x0"])
-
-    return F.filter(edges, near)
 
-
-def touches_edge(edges: Column, cell: Column) -> Column:
+def touches_edge(edges: str, cell: str) -> str:
     """Might an edge pass through the cell? (By bounding box, so at times yes for a no.)"""
+    return f"exists({edges}, e -> {_beside(cell)} AND least(e.x1, e.x2) <= {cell}.x1)"
 
-    def near(e):
-        return (
-            (F.least(e["y1"], e["y2"]) <= cell["y1"])
-            & (F.greatest(e["y1"], e["y2"]) >= cell["y0"])
-            & (F.least(e["x1"], e["x2"]) <= cell["x1"])
-            & (F.greatest(e["x1"], e["x2"]) >= cell["x0"])
-        )
-
-    return F.exists(edges, near)
 
-
-def within_box(cell: Column, box: Column) -> Column:
+def within_box(cell: str, box: str) -> str:
     """Is the whole cell inside the box?"""
-    return (
-        (box["x0"] <= cell["x0"])
-        & (box["x1"] >= cell["x1"])
-        & (box["y0"] <= cell["y0"])
-        & (box["y1"] >= cell["y1"])
-    )
+    return f"({box}.x0 <= {cell}.x0 AND {box}.x1 >= {cell}.x1 AND {box}.y0 <= {cell}.y0 AND {box}.y1 >= {cell}.y1)"

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from wildtally.functions.shapes import valid_wkt
-from wildtally.functions.text import NOT_BLANK, or_empty, strip
+from wildtally.functions.text import or_empty, stripped_parts
 
 # Fixed value: the name space of selector identifiers.
 NAMESPACE = _uuid.UUID("40d05094-803d-5bfa-b1e1-48975d2035fc")
@@ -69,12 +69,11 @@ def valid_taxa(taxa: Column) -> Column:
     return F.coalesce(taxa.rlike(r"^[a-zA-Z,|\s]*\z"), F.lit(False))
 
 
-def valid_selector(taxa: Column, wkt: Column) -> Column:
-    """The trait list is not checked."""
-    return valid_taxa(taxa) & valid_wkt(wkt)
+def valid_selector(taxa: str, wkt: str) -> Column:
+    """By the names of the two columns. The trait list is not checked."""
+    return valid_taxa(F.col(taxa)) & valid_wkt(wkt)
 
 
 def terms(selector: Column) -> Column:
     """The distinct stripped terms of a list, commas or bars between them."""
-    parts = F.split(normalize_list(F.coalesce(selector, F.lit(""))), r"\|", -1)
-    return F.array_distinct(F.filter(F.transform(parts, strip), lambda t: t.rlike(NOT_BLANK)))
+    return stripped_parts(normalize_list(selector))

@@ -1,5 +1,7 @@
 """Areas in WKT, as expressions over a column of WKT text.
 
+The longer ones are SQL text: arguments are column names or SQL expressions.
+
 Decisions, in one place:
 
 * x is the longitude and y the latitude, in degrees, on a plane.
@@ -14,7 +16,7 @@ Decisions, in one place:
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from wildtally.functions.text import strip
+from wildtally.functions.text import BLANK
 
 _N = r"[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?"
 _POINT = rf"{_N}(?:\s+{_N}){{1,3}}"
@@ -41,157 +43,110 @@ _WKT = rf"(?i)^\s*(?:{_SHAPE}|GEOMETRYCOLLECTION\s*(?:EMPTY|{_list(_SHAPE)})|BUF
 _ENVELOPE = rf"(?i)^\s*ENVELOPE\s*{_BODIES['ENVELOPE']}\s*\z"
 _POLYGON = rf"(?i)^\s*(?:POLYGON\s*{_BODIES['POLYGON']}|MULTIPOLYGON\s*{_BODIES['MULTIPOLYGON']})\s*\z"
 
-_BOX = "struct<x0:double,x1:double,y0:double,y1:double>"
-_EDGE = "struct<x1:double,y1:double,x2:double,y2:double>"
-
 
-def _let(value: Column, body) -> Column:
-    """``body(value)`` with the value worked out once, however often the body uses it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+def _let(value: str, name: str, body: str) -> str:
+    """``body`` with ``name`` for the value, worked out once however often the body uses it."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
 
 
-def _numbers(text: Column) -> Column:
-    return F.transform(F.regexp_extract_all(text, F.lit(_N), F.lit(0)), lambda n: n.cast("double"))
+def _numbers(text: str) -> str:
+    return f"transform(regexp_extract_all({text}, r'{_N}', 0), n -> CAST(n AS DOUBLE))"
 
 
-def _rings(wkt: Column) -> Column:
+def _rings(wkt: str) -> str:
     """Point lists, as array<array<struct<x,y>>>: whatever stands between innermost brackets."""
-
-    def point(text):
-        parts = F.split(strip(text), r"\s+")
-        return F.struct(
-            F.get(parts, F.lit(0)).cast("double").alias("x"), F.get(parts, F.lit(1)).cast("double").alias("y")
-        )
-
-    inner = F.regexp_extract_all(wkt, F.lit(r"\(([^()]*)\)"), F.lit(1))
-    return F.transform(inner, lambda ring: F.transform(F.split(ring, ","), point))
+    parts = rf"split(regexp_replace(p, r'^{BLANK}+|{BLANK}+\z', ''), r'\s+')"
+    point = _let(parts, "c", "named_struct('x', CAST(get(c, 0) AS DOUBLE), 'y', CAST(get(c, 1) AS DOUBLE))")
+    return rf"transform(regexp_extract_all({wkt}, r'\(([^()]*)\)', 1), r -> transform(split(r, ','), p -> {point}))"
 
 
-def _form(wkt: Column) -> Column:
-    envelope, polygon = wkt.rlike(_ENVELOPE), wkt.rlike(_POLYGON)
-    return F.when(envelope, "envelope").when(polygon, "polygon").when(wkt.rlike(_WKT), "other").otherwise("none")
+def _form(wkt: str) -> str:
+    return (
+        f"CASE WHEN {wkt} RLIKE r'{_ENVELOPE}' THEN 'envelope' WHEN {wkt} RLIKE r'{_POLYGON}' THEN 'polygon' "
+        f"WHEN {wkt} RLIKE r'{_WKT}' THEN 'other' ELSE 'none' END"
+    )
 
 
-def _parsed(wkt: Column) -> Column:
+def _parsed(wkt: str) -> str:
     """Form, and the numbers of an envelope or the rings of another shape."""
     # The points of other shapes, without the numbers of envelopes and buffers in them.
-    points = F.regexp_replace(wkt, rf"(?i)ENVELOPE\s*{_BODIES['ENVELOPE']}|^\s*BUFFER\s*\(|,\s*{_N}\s*\)\s*\z", "")
-
-    def parts(form):
-        rings = F.when(form == "polygon", _rings(wkt)).when(form == "other", _rings(points))
-        numbers = F.when(form == "envelope", _numbers(wkt))
-        return F.struct(form.alias("form"), numbers.alias("numbers"), rings.alias("rings"))
+    extra = rf"(?i)ENVELOPE\s*{_BODIES['ENVELOPE']}|^\s*BUFFER\s*\(|,\s*{_N}\s*\)\s*\z"
+    points = f"regexp_replace({wkt}, r'{extra}', '')"
+    rings = f"CASE form WHEN 'polygon' THEN {_rings(wkt)} WHEN 'other' THEN {_rings(points)} END"
+    numbers = f"CASE WHEN form = 'envelope' THEN {_numbers(wkt)} END"
+    return _let(_form(wkt), "form", f"named_struct('form', form, 'numbers', {numbers}, 'rings', {rings})")
 
-    return _let(_form(wkt), parts)
 
+# Corners of an envelope, in their order in the text.
+_X0, _X1, _Y1, _Y0 = (f"get(s.numbers, {i})" for i in range(4))
+_VALID = f"""coalesce(CASE s.form
+  WHEN 'envelope' THEN {_X0} BETWEEN -180 AND 180 AND {_X1} BETWEEN -180 AND 180
+                       AND {_Y0} >= -90 AND {_Y1} <= 90 AND {_Y0} <= {_Y1}
+  WHEN 'none' THEN false
+  ELSE forall(flatten(s.rings), q -> q.x BETWEEN -180 AND 180 AND q.y BETWEEN -90 AND 90)
+       AND (s.form = 'other' OR forall(s.rings, r -> size(r) >= 4 AND get(r, 0) = element_at(r, -1)))
+  END, false)"""
 
-def _closed(ring: Column) -> Column:
-    return (F.size(ring) >= 4) & (F.get(ring, F.lit(0)) == F.element_at(ring, -1))
 
-
-def _in_world(point: Column) -> Column:
-    return point["x"].between(-180, 180) & point["y"].between(-90, 90)
-
-
-def _corners(parsed: Column):
-    x0, x1, y1, y0 = (F.get(parsed["numbers"], F.lit(i)) for i in range(4))
-    return x0, x1, y0, y1
-
-
-def _valid(parsed: Column) -> Column:
-    x0, x1, y0, y1 = _corners(parsed)
-    envelope = x0.between(-180, 180) & x1.between(-180, 180) & (y0 >= -90) & (y1 <= 90) & (y0 <= y1)
-    in_world = F.forall(F.flatten(parsed["rings"]), _in_world)
-    form = parsed["form"]
-    return (
-        F.when(form == "envelope", envelope)
-        .when(form == "polygon", in_world & F.forall(parsed["rings"], _closed))
-        .when(form == "other", in_world)
-        .otherwise(False)
-    )
-
-
-def valid_wkt(wkt: Column) -> Column:
+def valid_wkt(wkt: str) -> Column:
     """Well-formed, within the world, and with closed rings of four points or more.
 
     Envelopes and distances inside other shapes are checked by their form only.
     """
-    return F.coalesce(_let(_parsed(wkt), _valid), F.lit(False))
-
-
-def _box(x0, x1, y0, y1):
-    return F.struct(x0.alias("x0"), x1.alias("x1"), y0.alias("y0"), y1.alias("y1"))
-
+    return F.expr(_let(_parsed(f"coalesce({wkt}, '')"), "s", _VALID))
 
-def _envelope_boxes(parsed: Column) -> Column:
-    x0, x1, y0, y1 = _corners(parsed)
-    crossing = F.array(_box(x0, F.lit(180.0), y0, y1), _box(F.lit(-180.0), x1, y0, y1))
-    return F.when(x0 > x1, crossing).otherwise(F.array(_box(x0, x1, y0, y1)))
 
+def _box(x0: str, x1: str, y0: str, y1: str) -> str:
+    return f"named_struct('x0', {x0}, 'x1', {x1}, 'y0', {y0}, 'y1', {y1})"
 
-def _polygon_boxes(parsed: Column) -> Column:
-    def box(points):
-        xs, ys = F.transform(points, lambda p: p["x"]), F.transform(points, lambda p: p["y"])
-        return _box(F.array_min(xs), F.array_max(xs), F.array_min(ys), F.array_max(ys))
 
-    return F.array(_let(F.flatten(parsed["rings"]), box))
+def _ends(axis: str):
+    values = f"transform(ps, q -> q.{axis})"
+    return f"array_min({values})", f"array_max({values})"
 
 
-def _polygon_edges(parsed: Column) -> Column:
-    def edge(p, q):
-        return F.struct(p["x"].alias("x1"), p["y"].alias("y1"), q["x"].alias("x2"), q["y"].alias("y2"))
+_ENVELOPE_BOXES = f"""CASE WHEN {_X0} > {_X1}
+  THEN array({_box(_X0, '180D', _Y0, _Y1)}, {_box('-180D', _X1, _Y0, _Y1)})
+  ELSE array({_box(_X0, _X1, _Y0, _Y1)}) END"""
+_POLYGON_BOXES = f"array({_let('flatten(s.rings)', 'ps', _box(*_ends('x'), *_ends('y')))})"
+# A level edge never lies between two heights, so it is never crossed.
+_POLYGON_EDGES = """filter(flatten(transform(s.rings, r ->
+  zip_with(slice(r, 1, size(r) - 1), slice(r, 2, size(r) - 1), (a, b) ->
+    named_struct('x1', a.x, 'y1', a.y, 'x2', b.x, 'y2', b.y)))), e -> e.y1 != e.y2)"""
 
-    def edges(ring):
-        n = F.size(ring) - 1
-        return F.zip_with(F.slice(ring, F.lit(1), n), F.slice(ring, F.lit(2), n), edge)
 
-    # A level edge never lies between two heights, so it is never crossed.
-    return F.filter(F.flatten(F.transform(parsed["rings"], edges)), lambda e: e["y1"] != e["y2"])
-
-
-def area(wkt: Column) -> Column:
+def area(wkt: str) -> Column:
     """struct<valid, supported, boxes, edges>.
 
     ``supported`` is an area that points can be inside of. ``boxes`` are its bounding box, or
     two across the date line; ``edges`` those of all rings, null for an envelope.
     """
+    fields = f"""named_struct(
+      'valid', valid,
+      'supported', valid AND s.form IN ('envelope', 'polygon'),
+      'boxes', CASE WHEN valid AND s.form = 'envelope' THEN {_ENVELOPE_BOXES}
+                    WHEN valid AND s.form = 'polygon' THEN {_POLYGON_BOXES} END,
+      'edges', CASE WHEN valid AND s.form = 'polygon' THEN {_POLYGON_EDGES} END)"""
+    return F.expr(_let(_parsed(f"coalesce({wkt}, '')"), "s", _let(_VALID, "valid", fields)))
 
-    def fields(parsed, valid):
-        envelope, polygon = (valid & (parsed["form"] == form) for form in ("envelope", "polygon"))
-        boxes = F.when(envelope, _envelope_boxes(parsed)).when(polygon, _polygon_boxes(parsed))
-        return F.struct(
-            valid.alias("valid"),
-            (envelope | polygon).alias("supported"),
-            boxes.cast(f"array<{_BOX}>").alias("boxes"),
-            F.when(polygon, _polygon_edges(parsed)).cast(f"array<{_EDGE}>").alias("edges"),
-        )
-
-    def of(parsed):
-        return _let(F.coalesce(_valid(parsed), F.lit(False)), lambda valid: fields(parsed, valid))
 
-    return _let(_parsed(F.coalesce(wkt, F.lit(""))), of)
-
-
-def supported_area(wkt: Column) -> Column:
+def supported_area(wkt: str) -> Column:
     return area(wkt)["supported"]
 
 
-def in_box(lat: Column, lng: Column, box: Column) -> Column:
-    return lng.between(box["x0"], box["x1"]) & lat.between(box["y0"], box["y1"])
+def in_box(lat: str, lng: str, box: str) -> str:
+    return f"({lng} BETWEEN {box}.x0 AND {box}.x1 AND {lat} BETWEEN {box}.y0 AND {box}.y1)"
 
 
-def crosses(lat, lng, x1, y1, x2, y2) -> Column:
+def crosses(lat: str, lng: str, x1, y1, x2, y2) -> str:
     """Does the ray from the point to larger x cross this edge?"""
-    return ((y1 > lat) != (y2 > lat)) & (lng < (x2 - x1) * (lat - y1) / (y2 - y1) + x1)
+    return f"((({y1}) > {lat}) != (({y2}) > {lat}) AND {lng} < (({x2}) - ({x1})) * ({lat} - ({y1})) / (({y2}) - ({y1})) + ({x1}))"
 
 
-def inside_edges(lat: Column, lng: Column, edges: Column) -> Column:
+def inside_edges(lat: str, lng: str, edges: str) -> str:
     """Even-odd rule: an odd number of edges is crossed."""
-    return F.aggregate(
-        edges,
-        F.lit(False),
-        lambda odd, e: odd != crosses(lat, lng, e["x1"], e["y1"], e["x2"], e["y2"]),
-    )
+    crossed = crosses(lat, lng, "e.x1", "e.y1", "e.x2", "e.y2")
+    return f"aggregate({edges}, false, (odd, e) -> odd != {crossed})"
 
 
 def bbox_wkt(north: Column, east: Column, south: Column, west: Column) -> Column:

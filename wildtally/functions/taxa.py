@@ -3,7 +3,7 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from wildtally.functions.text import NOT_BLANK, strip
+from wildtally.functions.text import NOT_BLANK, strip, stripped_parts
 
 RANKS = ["kingdom", "phylum", "class", "order", "family", "genus", "species"]
 
@@ -28,8 +28,7 @@ def last_taxon(taxon_path: Column) -> Column:
 
 def path_elements(taxon_path: Column) -> Column:
     """The distinct stripped parts of a path; no parts for a null path."""
-    parts = F.transform(path_parts(F.coalesce(taxon_path, F.lit(""))), strip)
-    return F.array_distinct(F.filter(parts, lambda part: part != ""))
+    return stripped_parts(taxon_path)
 
 
 def rank_path(*ranks: Column) -> Column:

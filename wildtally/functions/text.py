@@ -21,3 +21,9 @@ def or_empty(value: Column) -> Column:
 def tabbed(*values: Column) -> Column:
     """Values joined by TAB, nulls as empty text, nothing quoted or escaped."""
     return F.concat_ws("\t", *[or_empty(v) for v in values])
+
+
+def stripped_parts(text: Column) -> Column:
+    """The distinct parts between bars, each stripped, without the empty ones; none for null."""
+    parts = F.split(strip(F.coalesce(text, F.lit(""))), rf"{BLANK}*\|{BLANK}*", -1)
+    return F.array_distinct(F.array_remove(parts, ""))

@@ -38,27 +38,31 @@ def taxon_filter(occurrences: DataFrame, terms: list[str]) -> DataFrame:
     return occurrences.filter(taxon_condition(F.col("taxon"), terms))
 
 
-def area_condition(lat: Column, lng: Column, boxes: list, edges: list) -> Column:
+def _number(value: float) -> str:
+    return f"{float(value)!r}D"
+
+
+def area_condition(boxes: list, edges: list, lat: str = "lat", lng: str = "lng") -> Column:
     """Inside one of the boxes and, for a polygon, inside its edges.
 
     The box comparisons are with plain numbers and reach the Parquet scan.
     """
-    inside = F.lit(False)
-    for i, box in enumerate(boxes):
-        condition = lng.between(box["x0"], box["x1"]) & lat.between(box["y0"], box["y1"])
-        inside = condition if i == 0 else inside | condition
+    def span(name, box, axis):
+        return f"{name} >= {_number(box[axis + '0'])} AND {name} <= {_number(box[axis + '1'])}"
+
+    inside = " OR ".join(f"({span(lng, box, 'x')} AND {span(lat, box, 'y')})" for box in boxes) or "false"
     if not edges:
-        return inside
+        return F.expr(inside)
+    corners = [[_number(e[k]) for k in ("x1", "y1", "x2", "y2")] for e in edges]
     if len(edges) > _MANY_EDGES:
-        literal = F.array(*[F.struct(*[F.lit(e[k]).alias(k) for k in ("x1", "y1", "x2", "y2")]) for e in edges])
-        return inside & shapes.inside_edges(lat, lng, literal)
-    crossed = [
-        shapes.crosses(lat, lng, *[F.lit(e[k]) for k in ("x1", "y1", "x2", "y2")]) for e in edges
-    ]
+        listed = ", ".join("named_struct('x1', {}, 'y1', {}, 'x2', {}, 'y2', {})".format(*c) for c in corners)
+        return F.expr(f"({inside}) AND {shapes.inside_edges(lat, lng, f'array({listed})')}")
+    # Odd or even by pairs, so that the expression stays flat.
+    crossed = [shapes.crosses(lat, lng, *c) for c in corners]
     while len(crossed) > 1:
-        pairs = [a != b for a, b in zip(crossed[::2], crossed[1::2])]
+        pairs = [f"({a} != {b})" for a, b in zip(crossed[::2], crossed[1::2])]
         crossed = pairs + crossed[len(pairs) * 2 :]
-    return inside & crossed[0]
+    return F.expr(f"({inside}) AND {crossed[0]}")
 
 
 def area_filter(occurrences: DataFrame, wkt: str) -> DataFrame:
@@ -68,7 +72,7 @@ def area_filter(occurrences: DataFrame, wkt: str) -> DataFrame:
 def selector_area_filter(occurrences: DataFrame, selector: Resolved) -> DataFrame:
     if not selector.supported:
         raise InvalidSelector(f"unsupported area: {selector.selector.wktString!r}")
-    return occurrences.filter(area_condition(F.col("lat"), F.col("lng"), selector.boxes, selector.edges))
+    return occurrences.filter(area_condition(selector.boxes, selector.edges))
 
 
 def added_partition_filter(rows: DataFrame, after: str | None = None, before: str | None = None) -> DataFrame:

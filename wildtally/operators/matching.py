@@ -26,44 +26,47 @@ from wildtally.session import checkpoint
 
 
 def _areas(selectors: DataFrame) -> DataFrame:
+    # A trait list without a term restricts nothing: it is null from here on.
+    restricting = F.when(F.size(terms(F.col("traitSelector"))) > 0, F.col("traitSelector"))
     parsed = selectors.select(
-        "uuid", "traitSelector", terms(F.col("taxonSelector")).alias("terms"), shapes.area(F.col("wktString")).alias("a")
+        "uuid",
+        restricting.alias("traitSelector"),
+        terms(F.col("taxonSelector")).alias("terms"),
+        shapes.area("wktString").alias("a"),
     )
     areas = parsed.select("uuid", "traitSelector", "terms", "a.*").filter("supported")
-    return areas.withColumn("level", cells.level_for(F.col("boxes"), F.col("edges")))
+    return areas.withColumn("level", F.expr(cells.level_for("boxes", "edges")))
 
 
 def selector_keys(selectors: DataFrame) -> DataFrame:
     """One row per selector, cell and taxon term, with what is left to test there."""
-    covered = _areas(selectors).select("*", F.explode(cells.cover(F.col("boxes"), F.col("level"))).alias("c"))
-    cell, edges = F.col("c"), F.col("edges")
-    center = (cell["y0"] + cell["y1"]) / 2, (cell["x0"] + cell["x1"]) / 2
-    untouched = edges.isNotNull() & ~cells.touches_edge(edges, cell)
-    covered = covered.filter(~untouched | shapes.inside_edges(*center, edges))
-    whole = F.when(edges.isNull(), F.exists(F.col("boxes"), lambda b: cells.within_box(cell, b))).otherwise(untouched)
-    covered = covered.withColumn("whole", whole)
-    return covered.select(
+    covered = _areas(selectors).withColumn("c", F.explode(F.expr(cells.cover("boxes", "level"))))
+    inside = shapes.inside_edges("(c.y0 + c.y1) / 2", "(c.x0 + c.x1) / 2", "edges")
+    covered = covered.withColumn("untouched", F.expr(f"edges IS NOT NULL AND NOT {cells.touches_edge('edges', 'c')}"))
+    covered = covered.filter(f"NOT untouched OR {inside}")
+    whole = f"CASE WHEN edges IS NULL THEN exists(boxes, b -> {cells.within_box('c', 'b')}) ELSE untouched END"
+    return covered.withColumn("whole", F.expr(whole)).selectExpr(
         "uuid",
         "traitSelector",
         "level",
-        cell["cell"].alias("cell"),
-        F.explode(F.when(F.size("terms") == 0, F.array(F.lit(""))).otherwise(F.col("terms"))).alias("term"),
+        "c.cell AS cell",
+        "explode(CASE WHEN size(terms) = 0 THEN array('') ELSE terms END) AS term",
         "terms",
         "whole",
-        F.when(~F.col("whole"), F.col("boxes")).alias("boxes"),
-        F.when(~F.col("whole"), cells.edges_for_cell(edges, cell)).alias("edges"),
+        "CASE WHEN NOT whole THEN boxes END AS boxes",
+        f"CASE WHEN NOT whole THEN {cells.edges_for_cell('edges', 'c')} END AS edges",
     )
 
 
 def _measure(keys: DataFrame):
-    text = F.octet_length("uuid") + F.octet_length("traitSelector") + F.octet_length("term")
+    text = F.octet_length("uuid") + F.coalesce(F.octet_length("traitSelector"), F.lit(0)) + F.octet_length("term")
     listed = F.octet_length(F.array_join("terms", "")) + 16 * F.size("terms")
     shape = F.coalesce(F.lit(40) * F.size("boxes"), F.lit(0)) + F.coalesce(F.lit(40) * F.size("edges"), F.lit(0))
     return keys.agg(
         F.count("*").alias("n"),
         F.coalesce(F.sum(text + listed + shape), F.lit(0)).alias("bytes"),
         F.collect_set("level").alias("levels"),
-        F.coalesce(F.bool_or(F.col("traitSelector") != ""), F.lit(False)).alias("traits"),
+        (F.count("traitSelector") > 0).alias("traits"),
     ).first()
 
 
@@ -91,30 +94,26 @@ def match_prepared(
 ) -> DataFrame:
     keys = checkpoint(selector_keys(selectors))
     size = _measure(keys)
-    lat, lng = F.col("lat"), F.col("lng")
-
-    levels = [cells.cell_of(lat, lng, level) for level in sorted(size.levels)] or [F.lit(None).cast("int")]
-    rows = occurrences.select("*", F.explode(F.array(*levels)).alias("cell"))
+    levels = [F.expr(cells.cell_of("lat", "lng", level)) for level in sorted(size.levels)] or [F.lit(None).cast("int")]
+    rows = occurrences.withColumn("elements", path_elements(F.col("taxon")))
+    rows = rows.select("*", F.explode(F.array(*levels)).alias("cell"))
     small = fits(size.n, size.bytes, broadcast_limit)
     if not small:
         # At most one row per grid cell there is.
         used = keys.select("cell").distinct()
         rows = rows.join(F.broadcast(used), "cell", "left_semi")
-    rows = rows.withColumn("elements", path_elements(F.col("taxon")))
     rows = rows.select("*", F.explode(F.concat(F.array(F.lit("")), F.col("elements"))).alias("term"))
 
     candidates = rows.join(F.broadcast(keys) if small else keys, ["cell", "term"])
-    in_area = F.col("whole") | (
-        F.exists("boxes", lambda b: shapes.in_box(lat, lng, b))
-        & (F.col("edges").isNull() | shapes.inside_edges(lat, lng, F.col("edges")))
+    in_area = (
+        f"whole OR (exists(boxes, b -> {shapes.in_box('lat', 'lng', 'b')}) "
+        f"AND (edges IS NULL OR {shapes.inside_edges('lat', 'lng', 'edges')}))"
     )
     # A path may hold several terms of one selector: only the first of them counts.
-    first_term = (F.size("terms") <= 1) | (
-        F.col("term") == F.get(F.array_intersect("elements", "terms"), F.lit(0))
-    )
-    matched = candidates.filter(first_term & in_area)
+    first_term = "size(terms) <= 1 OR term = get(array_intersect(elements, terms), 0)"
+    matched = candidates.filter(f"({first_term}) AND ({in_area})")
     if size.traits and traits is None:
-        matched = matched.filter(F.size(terms(F.col("traitSelector"))) == 0)
+        matched = matched.filter(F.col("traitSelector").isNull())
     elif size.traits:
         matched = with_traits(matched, occurrences, traits, selectors, broadcast_limit)
     return matched.select(*occurrences.columns, "uuid")

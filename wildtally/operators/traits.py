@@ -65,16 +65,14 @@ def qualifying_paths(
 def with_traits(
     rows: DataFrame, occurrences: DataFrame, traits: DataFrame, selectors: DataFrame, limit: int = BROADCAST_BYTES
 ) -> DataFrame:
-    """Rows of (taxon, traitSelector, ...) whose path qualifies; an empty list lets a row pass.
+    """Rows of (taxon, traitSelector, ...) whose path qualifies; a null list lets a row pass.
 
     ``occurrences`` is any table that holds every taxon path of ``rows``.
     """
-    restricted = selectors.filter(F.size(terms(F.col("traitSelector"))) > 0)
-    paths = checkpoint(qualifying_paths(occurrences, traits, restricted, limit))
+    paths = checkpoint(qualifying_paths(occurrences, traits, selectors, limit))
     paths = measured(paths.withColumn("qualifies", F.lit(True)), "taxon", "traitSelector", limit=limit)
     joined = rows.join(paths, ["taxon", "traitSelector"], "left")
-    free = F.size(terms(F.col("traitSelector"))) == 0
-    return joined.filter(free | F.col("qualifies")).select(*rows.columns)
+    return joined.filter(F.col("traitSelector").isNull() | F.col("qualifies")).select(*rows.columns)
 
 
 def trait_filter(

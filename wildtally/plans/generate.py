@@ -58,7 +58,7 @@ def save_checklists(
 
 def monitor_summary(selectors: DataFrame, counts: DataFrame) -> DataFrame:
     """One row per selector (valid, with ``uuid``); selectors that match nothing count 0."""
-    status = F.when(supported_area(F.col("wktString")), READY).otherwise(NO_AREA)
+    status = F.when(supported_area("wktString"), READY).otherwise(NO_AREA)
     rows = selectors.join(counts, "uuid", "left")
     count = F.coalesce("itemCount", F.lit(0).cast("long"))
     return rows.select("uuid", count.alias("itemCount"), status.alias("status"), *schemas.SELECTOR.names)

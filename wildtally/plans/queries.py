@@ -187,5 +187,5 @@ def search(ranked: DataFrame, name: str = "", bbox=None) -> DataFrame:
         north, east, south, west = bbox
         spans = [(west, east)] if west <= east else [(west, 180.0), (-180.0, east)]
         boxes = [{"x0": a, "x1": b, "y0": south, "y1": north} for a, b in spans]
-        rows = rows.filter(filters.area_condition(F.col("lat"), F.col("lng"), boxes, []))
+        rows = rows.filter(filters.area_condition(boxes, []))
     return rows

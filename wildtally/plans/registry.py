@@ -236,7 +236,7 @@ def selector_pick(spark, folder):
 @query
 def selector_valid(spark, folder):
     rows = derived.varied_selectors(spark, folder)
-    valid = S.valid_selector(F.col("taxonSelector"), F.col("wktString"))
+    valid = S.valid_selector("taxonSelector", "wktString")
     return rows.select("key", S.valid_taxa(F.col("taxonSelector")).alias("validTaxa"), valid.alias("valid"))
 
 

@@ -54,7 +54,7 @@ def with_uuid(selectors: DataFrame) -> DataFrame:
 
 
 def valid_only(selectors: DataFrame) -> DataFrame:
-    return selectors.filter(S.valid_selector(F.col("taxonSelector"), F.col("wktString")))
+    return selectors.filter(S.valid_selector("taxonSelector", "wktString"))
 
 
 def resolve(spark: SparkSession, selector=None, uuid=None) -> Resolved:
@@ -67,7 +67,6 @@ def resolve(spark: SparkSession, selector=None, uuid=None) -> Resolved:
         if row.uuid is None:
             raise InvalidSelector(f"not a complete UUID: {uuid!r}")
         return Resolved(row.uuid, None, [], [], False, [], [])
-    wkt = F.col("wktString")
     row = (
         normalized(selectors_frame(spark, [Selector(*selector)]))
         .select(
@@ -75,7 +74,7 @@ def resolve(spark: SparkSession, selector=None, uuid=None) -> Resolved:
             S.valid_taxa(F.col("taxonSelector")).alias("validTaxa"),
             S.terms(F.col("taxonSelector")).alias("taxa"),
             S.terms(F.col("traitSelector")).alias("traits"),
-            shapes.area(wkt).alias("area"),
+            shapes.area("wktString").alias("area"),
         )
         .select("*", "area.*")
         .first()
