@@ -70,7 +70,7 @@ SHAPES = {
     "ENVELOPE(170,-170,10,-10)": ((170, -170, -10, 10), NO_EDGES),
     "ENVELOPE(-60,60,30,-30)": ((-60, 60, -30, 30), NO_EDGES),
     "ENVELOPE(-90,90,60,-60)": ((-90, 90, -60, 60), NO_EDGES),
-    "ENVELOPE(-100,-70,35,20)": ((-100, -70, 20, 35), NO_EDGES),
+    "ENVELOPE(-90,-75,30,20)": ((-90, -75, 20, 30), NO_EDGES),
     derived.SAVED[1][1]: ((-2.5, 9.5, -0.5, 8.5), edges_of(SMALL)),
     "ENVELOPE(178,-178,4,-4)": ((178, -178, -4, 4), NO_EDGES),
     "ENVELOPE(-10,0,10,0)": ((-10, 0, 0, 10), NO_EDGES),

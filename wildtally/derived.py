@@ -109,7 +109,7 @@ CASES = [
 
 # A few selectors of small areas, to save and read back.
 SAVED = [
-    ("ASIA|PROMO", "ENVELOPE(-100,-70,35,20)", ""),
+    ("ASIA|PROMO", "ENVELOPE(-90,-75,30,20)", ""),
     ("EUROPE,ECONOMY", "POLYGON ((-2.5 -0.5, 4.25 8.5, 9.5 3.25, -2.5 -0.5))", ""),
     ("", CASES[5][1], ""),
     ("AFRICA", "ENVELOPE(178,-178,4,-4)", ""),

@@ -24,6 +24,13 @@ def tabbed(*values: Column) -> Column:
 
 
 def stripped_parts(text: Column) -> Column:
-    """The distinct parts between bars, each stripped, without the empty ones; none for null."""
-    parts = F.split(strip(F.coalesce(text, F.lit(""))), rf"{BLANK}*\|{BLANK}*", -1)
+    """The distinct parts between bars, each stripped, without the empty ones; none for null.
+
+    Most texts have no blanks to strip; and a plain bar, unlike a pattern, is not compiled again
+    for each row by ``split``.
+    """
+    text = F.coalesce(text, F.lit(""))
+    bare = F.regexp_replace(strip(text), rf"{BLANK}*\|{BLANK}*", "|")
+    padded = text.rlike(rf"(?:^|\|){BLANK}|{BLANK}(?:\||\z)")
+    parts = F.split(F.when(padded, bare).otherwise(text), r"\|", -1)
     return F.array_distinct(F.array_remove(parts, ""))

@@ -76,6 +76,11 @@ def save_summary(selectors: DataFrame, base: str) -> None:
     tables.save_summary(monitor_summary(selectors, aggregates.item_counts(rows)), base)
 
 
+def register_monitors(selectors: DataFrame, base: str) -> None:
+    """Save selectors, to be filled by the next refresh or by a stream; none of their records are lost."""
+    save_summary(prepared(selectors), base)
+
+
 def _save(rows: DataFrame, selectors: DataFrame, base: str) -> None:
     # The match runs once; ids and counts come from the saved records. The summary goes last:
     # a monitor is ready when its records are there.

@@ -331,12 +331,9 @@ def monitor_summary(spark, folder):
 
 @query
 def refresh_all(spark, folder):
-    base, traits = scratch_dir(spark, "refresh"), derived.traits(spark, folder)
-    records = derived.occurrences(spark, folder)
-    # First the records of one archive, then all of them.
-    selectors = selectors_frame(spark, derived.SAVED)
-    generate.save_all_occurrences(filters.source_filter(records, "gbif"), selectors, base, traits)
-    generate.refresh_all(records, base, traits)
+    base = scratch_dir(spark, "refresh")
+    generate.register_monitors(selectors_frame(spark, derived.SAVED), base)
+    generate.refresh_all(derived.occurrences(spark, folder), base, derived.traits(spark, folder))
     return Q.monitors(spark, base)
 
 
@@ -346,8 +343,8 @@ def stream_refresh(spark, folder):
     records = derived.occurrences(spark, folder)
     years = records.withColumn("year", F.year(F.timestamp_millis("added")))
     years.repartition("year").write.partitionBy("year").parquet(f"{base}/arrivals")
-    generate.save_all_occurrences(records.limit(0), selectors_frame(spark, derived.SAVED), base, traits)
-    running = refresh_stream(spark, f"{base}/arrivals", base, f"{base}/progress", "arrivals", traits, 2)
+    generate.register_monitors(selectors_frame(spark, derived.SAVED), base)
+    running = refresh_stream(spark, f"{base}/arrivals", base, f"{base}/progress", "arrivals", traits, 4)
     running.awaitTermination()
     return Q.monitors(spark, base)
 

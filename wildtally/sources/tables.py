@@ -141,7 +141,10 @@ def save_monitored(matched: DataFrame, base: str, selectors: DataFrame) -> None:
     spark = matched.sparkSession
     rows = _monitored_rows(matched, FULL_LOAD)
     chosen = selectors.select(F.col("uuid").alias("monitorUUID"))
-    old = read_table(spark, base, MONITORED)
+    old = _open(spark, base, MONITORED)
+    if old is None:
+        _write(rows, base, MONITORED)
+        return
     folders = _among(old, chosen).select(*PARTITIONS[MONITORED]).unionByName(rows.select(*PARTITIONS[MONITORED]))
     folders = checkpoint(folders.distinct())
     kept = _among(_among(old, chosen, "left_anti"), folders)
