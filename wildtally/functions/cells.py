@@ -56,8 +56,8 @@ def _beside(cell: str) -> str:
 
 
 def edges_for_cell(edges: str, cell: str) -> str:
-    """The edges that a ray from a point of the cell can cross."""
-    return f"filter({edges}, e -> {_beside(cell)})"
+    """The edges that a ray from a point of the cell can cross; never a level one."""
+    return f"filter({edges}, e -> e.y1 != e.y2 AND {_beside(cell)})"
 
 
 def touches_edge(edges: str, cell: str) -> str:

@@ -109,10 +109,9 @@ _ENVELOPE_BOXES = f"""CASE WHEN {_X0} > {_X1}
   THEN array({_box(_X0, '180D', _Y0, _Y1)}, {_box('-180D', _X1, _Y0, _Y1)})
   ELSE array({_box(_X0, _X1, _Y0, _Y1)}) END"""
 _POLYGON_BOXES = f"array({_let('flatten(s.rings)', 'ps', _box(*_ends('x'), *_ends('y')))})"
-# A level edge never lies between two heights, so it is never crossed.
-_POLYGON_EDGES = """filter(flatten(transform(s.rings, r ->
+_POLYGON_EDGES = """flatten(transform(s.rings, r ->
   zip_with(slice(r, 1, size(r) - 1), slice(r, 2, size(r) - 1), (a, b) ->
-    named_struct('x1', a.x, 'y1', a.y, 'x2', b.x, 'y2', b.y)))), e -> e.y1 != e.y2)"""
+    named_struct('x1', a.x, 'y1', a.y, 'x2', b.x, 'y2', b.y))))"""
 
 
 def area(wkt: str) -> Column:
@@ -143,8 +142,13 @@ def crosses(lat: str, lng: str, x1, y1, x2, y2) -> str:
     return f"((({y1}) > {lat}) != (({y2}) > {lat}) AND {lng} < (({x2}) - ({x1})) * ({lat} - ({y1})) / (({y2}) - ({y1})) + ({x1}))"
 
 
+def sloped(edges: str) -> str:
+    """A level edge never lies between two heights, so it is never crossed and can be left out."""
+    return f"filter({edges}, e -> e.y1 != e.y2)"
+
+
 def inside_edges(lat: str, lng: str, edges: str) -> str:
-    """Even-odd rule: an odd number of edges is crossed."""
+    """Even-odd rule: an odd number of (sloped) edges is crossed."""
     crossed = crosses(lat, lng, "e.x1", "e.y1", "e.x2", "e.y2")
     return f"aggregate({edges}, false, (odd, e) -> odd != {crossed})"
 

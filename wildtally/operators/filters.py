@@ -53,10 +53,13 @@ def area_condition(boxes: list, edges: list, lat: str = "lat", lng: str = "lng")
     inside = " OR ".join(f"({span(lng, box, 'x')} AND {span(lat, box, 'y')})" for box in boxes) or "false"
     if not edges:
         return F.expr(inside)
-    corners = [[_number(e[k]) for k in ("x1", "y1", "x2", "y2")] for e in edges]
-    if len(edges) > _MANY_EDGES:
+    # Level edges are never crossed.
+    corners = [[_number(e[k]) for k in ("x1", "y1", "x2", "y2")] for e in edges if e["y1"] != e["y2"]]
+    if len(corners) > _MANY_EDGES:
         listed = ", ".join("named_struct('x1', {}, 'y1', {}, 'x2', {}, 'y2', {})".format(*c) for c in corners)
         return F.expr(f"({inside}) AND {shapes.inside_edges(lat, lng, f'array({listed})')}")
+    if not corners:
+        return F.lit(False)
     # Odd or even by pairs, so that the expression stays flat.
     crossed = [shapes.crosses(lat, lng, *c) for c in corners]
     while len(crossed) > 1:

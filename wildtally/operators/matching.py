@@ -41,7 +41,7 @@ def _areas(selectors: DataFrame) -> DataFrame:
 def selector_keys(selectors: DataFrame) -> DataFrame:
     """One row per selector, cell and taxon term, with what is left to test there."""
     covered = _areas(selectors).withColumn("c", F.explode(F.expr(cells.cover("boxes", "level"))))
-    inside = shapes.inside_edges("(c.y0 + c.y1) / 2", "(c.x0 + c.x1) / 2", "edges")
+    inside = shapes.inside_edges("(c.y0 + c.y1) / 2", "(c.x0 + c.x1) / 2", shapes.sloped("edges"))
     covered = covered.withColumn("untouched", F.expr(f"edges IS NOT NULL AND NOT {cells.touches_edge('edges', 'c')}"))
     covered = covered.filter(f"NOT untouched OR {inside}")
     whole = f"CASE WHEN edges IS NULL THEN exists(boxes, b -> {cells.within_box('c', 'b')}) ELSE untouched END"

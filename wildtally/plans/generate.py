@@ -39,13 +39,13 @@ def _one(occurrences: DataFrame, selector, traits):
     spark = occurrences.sparkSession
     found = resolve(spark, selector)
     rows = select_occurrences(occurrences, found, traits).withColumn("uuid", F.lit(found.uuid))
-    return rows, with_uuid(selectors_frame(spark, [found.selector]))
+    return rows, with_uuid(selectors_frame(spark, [found.selector])), found.uuid
 
 
 def save_checklist(occurrences: DataFrame, selector, base: str, traits: DataFrame | None = None) -> None:
     """Compute and save the checklist of one selector."""
-    rows, selectors = _one(occurrences, selector, traits)
-    tables.save_checklists(aggregates.checklists(rows), base, selectors)
+    rows, selectors, uuid = _one(occurrences, selector, traits)
+    tables.save_checklists(aggregates.checklists(rows), base, selectors, uuid)
 
 
 def save_checklists(
@@ -64,35 +64,37 @@ def monitor_summary(selectors: DataFrame, counts: DataFrame) -> DataFrame:
     return rows.select("uuid", count.alias("itemCount"), status.alias("status"), *schemas.SELECTOR.names)
 
 
-def saved_occurrences(spark: SparkSession, base: str, selectors: DataFrame) -> DataFrame:
-    """The occurrence table cut down to these selectors."""
+def saved_occurrences(spark: SparkSession, base: str, selectors: DataFrame, uuid: str | None = None) -> DataFrame:
+    """The saved records of these selectors; ``uuid`` if it is one only."""
+    if uuid is not None:
+        return tables.read_selector(spark, base, tables.OCCURRENCE, uuid)
     wanted = measured(selectors.select("uuid"), "uuid")
     return tables.read_table(spark, base, tables.OCCURRENCE).join(wanted, "uuid", "left_semi")
 
 
-def save_summary(selectors: DataFrame, base: str) -> None:
+def save_summary(selectors: DataFrame, base: str, uuid: str | None = None) -> None:
     """Recount the saved records of these selectors; reads no column of them, row counts only."""
-    rows = saved_occurrences(selectors.sparkSession, base, selectors).select("uuid")
+    rows = saved_occurrences(selectors.sparkSession, base, selectors, uuid).select("uuid")
     tables.save_summary(monitor_summary(selectors, aggregates.item_counts(rows)), base)
 
 
 def register_monitors(selectors: DataFrame, base: str) -> None:
-    """Save selectors, to be filled by the next refresh or by a stream; none of their records are lost."""
+    """Save selectors before any record of them, for the next refresh or a stream to fill."""
     save_summary(prepared(selectors), base)
 
 
-def _save(rows: DataFrame, selectors: DataFrame, base: str) -> None:
+def _save(rows: DataFrame, selectors: DataFrame, base: str, uuid: str | None = None) -> None:
     # The match runs once; ids and counts come from the saved records. The summary goes last:
     # a monitor is ready when its records are there.
-    tables.save_occurrences(rows, base, selectors)
-    tables.save_monitored(saved_occurrences(rows.sparkSession, base, selectors), base, selectors)
-    save_summary(selectors, base)
+    tables.save_occurrences(rows, base, selectors, uuid)
+    tables.save_monitored(saved_occurrences(rows.sparkSession, base, selectors, uuid), base, selectors)
+    save_summary(selectors, base, uuid)
 
 
 def save_occurrences(occurrences: DataFrame, selector, base: str, traits: DataFrame | None = None) -> None:
     """Compute and save the occurrences, ids and summary of one selector."""
-    rows, selectors = _one(occurrences, selector, traits)
-    _save(rows, selectors, base)
+    rows, selectors, uuid = _one(occurrences, selector, traits)
+    _save(rows, selectors, base, uuid)
 
 
 def save_all_occurrences(

@@ -48,7 +48,7 @@ def checklist_tsv(spark, base, selector=None, uuid=None, limit=None, compute=Non
 
 
 def _saved_status(spark, base, found: Resolved) -> str | None:
-    row = tables.of_selector(tables.read_table(spark, base, tables.SUMMARY), found.uuid).select("status").first()
+    row = tables.read_selector(spark, base, tables.SUMMARY, found.uuid).select("status").first()
     return row.status if row else None
 
 
@@ -57,7 +57,7 @@ def _occurrences(spark, base, found, added_after, added_before, limit, compute):
     if status is None and compute is not None:
         rows = filters.added_filter(_computed(found, compute), added_after, added_before)
     else:
-        rows = tables.of_selector(tables.read_table(spark, base, tables.OCCURRENCE), found.uuid)
+        rows = tables.read_selector(spark, base, tables.OCCURRENCE, found.uuid)
         rows = filters.added_partition_filter(rows, added_after, added_before)
         if status != READY:
             rows = rows.limit(0)
@@ -82,7 +82,7 @@ def occurrences_tsv(
 
 def monitored_occurrences(spark, base, source, added_after=None, added_before=None, limit=None) -> DataFrame:
     """Ids of one archive's records that are part of any monitor."""
-    rows = filters.source_filter(tables.read_table(spark, base, tables.MONITORED), source)
+    rows = tables.read_source(spark, base, source)
     rows = filters.added_partition_filter(rows, added_after, added_before)
     return first_rows(tables.monitored_rows(rows), "monitored", limit)
 
@@ -105,7 +105,7 @@ def _selector_columns(found: Resolved):
 def monitor_of(spark, base, selector=None, uuid=None) -> DataFrame:
     """One monitor, or no row."""
     found = resolve(spark, selector, uuid)
-    row = tables.of_selector(tables.read_table(spark, base, tables.SUMMARY), found.uuid).limit(1)
+    row = tables.read_selector(spark, base, tables.SUMMARY, found.uuid).limit(1)
     return row.select(*_selector_columns(found), "status", F.col("itemCount").alias("recordCount"))
 
 

@@ -21,6 +21,7 @@ from wildtally import schemas
 from wildtally.functions.dates import day_partitions
 from wildtally.functions.selectors import selector_partitions
 from wildtally.functions.text import or_empty
+from wildtally.operators.filters import source_filter
 from wildtally.operators.sizes import measured
 from wildtally.schemas import DAY_PARTITION, SELECTOR_PARTITION
 from wildtally.session import checkpoint
@@ -40,29 +41,42 @@ PARTITIONS = {
 }
 
 
-def _open(spark: SparkSession, base: str, name: str) -> DataFrame | None:
+def _open(spark: SparkSession, base: str, name: str, folder: str = "") -> DataFrame | None:
     declared = schemas.with_partitions(_SCHEMAS[name], PARTITIONS[name])
+    reader = spark.read.schema(declared).option("basePath", f"{base}/{name}")
     try:
-        return spark.read.schema(declared).parquet(f"{base}/{name}")
+        return reader.parquet(f"{base}/{name}{folder}")
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         return None
 
 
-def read_table(spark: SparkSession, base: str, name: str) -> DataFrame:
-    """A saved table with its partition columns, as text; empty if nothing has been saved."""
-    rows = _open(spark, base, name)
+def read_table(spark: SparkSession, base: str, name: str, folder: str = "") -> DataFrame:
+    """A saved table with its partition columns, as text; empty if nothing has been saved.
+
+    Of a table with many folders, ``folder`` names the one to list; partition columns stay.
+    """
+    rows = _open(spark, base, name, folder)
     if rows is None:
         return spark.createDataFrame([], schemas.with_partitions(_SCHEMAS[name], PARTITIONS[name]))
     return rows
 
 
-def of_selector(rows: DataFrame, uuid: str) -> DataFrame:
-    """The rows of one selector: a filter on all its partition columns, so only its folder is listed and read."""
-    for name, value in selector_partitions(F.lit(uuid)).items():
-        rows = rows.filter(F.col(name) == value)
-    return rows
+def read_selector(spark: SparkSession, base: str, name: str, uuid: str) -> DataFrame:
+    """The rows of one selector; only its own folder is listed."""
+    return read_table(spark, base, name, _selector_folder(uuid)).filter(F.col("uuid") == uuid)
+
+
+def _selector_folder(uuid: str) -> str:
+    return f"/u0={uuid[0:2]}/u1={uuid[2:4]}/u2={uuid[4:6]}/uuid={uuid}"
+
+
+def read_source(spark: SparkSession, base: str, source: str) -> DataFrame:
+    """The ids of one archive; names that need quoting in a path are looked up in the whole table."""
+    plain = source.replace("-", "").replace("_", "").isalnum() and source.isascii()
+    folder = f"/source={source}" if plain else ""
+    return source_filter(read_table(spark, base, MONITORED, folder), source)
 
 
 def _write(rows: DataFrame, base: str, name: str) -> None:
@@ -84,15 +98,15 @@ def _among(rows: DataFrame, keys: DataFrame, how: str = "left_semi") -> DataFram
     return rows.join(renamed, reduce(and_, conditions), how)
 
 
-def _replace(rows: DataFrame, base: str, name: str, keys: DataFrame) -> None:
+def _replace(rows: DataFrame, base: str, name: str, keys: DataFrame, folder: str = "") -> None:
     """Write ``rows``; afterwards drop the folders among ``keys`` that held rows only before."""
     spark = rows.sparkSession
-    if _open(spark, base, name) is None:
+    if _open(spark, base, name, folder) is None:
         _write(rows, base, name)
         return
 
     def files():
-        located = read_table(spark, base, name).withColumn("_file", F.col("_metadata.file_path"))
+        located = read_table(spark, base, name, folder).withColumn("_file", F.col("_metadata.file_path"))
         return _among(located, keys).select("_file").distinct()
 
     before = checkpoint(files())
@@ -110,10 +124,14 @@ def _drop(folders: DataFrame) -> None:
         folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def save_checklists(checklists: DataFrame, base: str, selectors: DataFrame) -> None:
-    """(uuid, taxonPath, recordCount) of these selectors."""
+def _only(uuid: str | None) -> str:
+    return _selector_folder(uuid) if uuid else ""
+
+
+def save_checklists(checklists: DataFrame, base: str, selectors: DataFrame, uuid: str | None = None) -> None:
+    """(uuid, taxonPath, recordCount) of these selectors; ``uuid`` if it is one only."""
     rows = checklists.withColumns(selector_partitions(F.col("uuid")))
-    _replace(rows.select("taxonPath", "recordCount", *PARTITIONS[CHECKLIST]), base, CHECKLIST, selectors.select("uuid"))
+    _replace(rows.select("taxonPath", "recordCount", *PARTITIONS[CHECKLIST]), base, CHECKLIST, selectors.select("uuid"), _only(uuid))
 
 
 def _occurrence_rows(matched: DataFrame, load: str) -> DataFrame:
@@ -127,9 +145,9 @@ def _monitored_rows(matched: DataFrame, load: str) -> DataFrame:
     return rows.select(F.col("id").alias("occurrenceId"), "monitorUUID", *PARTITIONS[MONITORED])
 
 
-def save_occurrences(matched: DataFrame, base: str, selectors: DataFrame) -> None:
+def save_occurrences(matched: DataFrame, base: str, selectors: DataFrame, uuid: str | None = None) -> None:
     """Occurrences with the ``uuid`` of the selector they belong to."""
-    _replace(_occurrence_rows(matched, FULL_LOAD), base, OCCURRENCE, selectors.select("uuid"))
+    _replace(_occurrence_rows(matched, FULL_LOAD), base, OCCURRENCE, selectors.select("uuid"), _only(uuid))
 
 
 def save_monitored(matched: DataFrame, base: str, selectors: DataFrame) -> None:
@@ -167,7 +185,7 @@ def save_summary(summary: DataFrame, base: str) -> None:
 
 
 def checklist_rows(spark: SparkSession, base: str, uuid: str) -> DataFrame:
-    return of_selector(read_table(spark, base, CHECKLIST), uuid).select(*schemas.CHECKLIST.names)
+    return read_selector(spark, base, CHECKLIST, uuid).select(*schemas.CHECKLIST.names)
 
 
 def occurrence_rows(rows: DataFrame) -> DataFrame:
