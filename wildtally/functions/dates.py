@@ -13,7 +13,9 @@ def iso_millis(millis: Column) -> Column:
 
 def parse_utc(text: Column) -> Column:
     """ISO date or date-time; UTC where the text has no zone. Other text fails the query."""
-    return text.cast("timestamp")
+    # The cast wants seconds before a zone.
+    full = F.regexp_replace(text, r"(T\d{1,2}:\d{1,2})(Z|[+-][0-9:]+)$", "$1:00$2")
+    return full.cast("timestamp")
 
 
 def day_of(millis: Column) -> Column:
