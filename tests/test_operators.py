@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from conftest import DAY, MILLIS_2017_04_04, column
 from wildtally import schemas
 from wildtally.operators import aggregates, filters, limits
-from wildtally.operators.matching import match_selectors
+from wildtally.operators.matching import count_taxa, match_selectors, prepared, selector_index
 from wildtally.operators.traits import parsed_terms, trait_filter
 from wildtally.plans import generate
 from wildtally.plans.queries import search
@@ -102,6 +102,9 @@ def test_many_selectors(spark, records, traits, limit):
     matched = match_selectors(records, selectors_frame(spark, cases), traits, limit)
     groups = matched.groupBy("uuid").agg(F.sort_array(F.collect_list("id")).alias("ids"))
     assert sorted(column(groups, "ids")) == sorted(ids for ids in cases.values() if ids)
+    counted = count_taxa(records, selector_index(prepared(selectors_frame(spark, cases)), limit), traits)
+    by_taxon = {(r.uuid, r.taxon): r.n for r in counted.collect()}
+    assert by_taxon == {(r.uuid, r.taxon): r["count"] for r in matched.groupBy("uuid", "taxon").count().collect()}
     without = match_selectors(records, selectors_frame(spark, cases), None, limit)
     assert without.select("uuid").distinct().count() == 3
 

@@ -9,9 +9,9 @@ def checklist(occurrences: DataFrame) -> DataFrame:
     return occurrences.groupBy(F.col("taxon").alias("taxonPath")).agg(F.count("*").alias("recordCount"))
 
 
-def checklists(matched: DataFrame) -> DataFrame:
-    """Records per selector and taxon path, for rows matched with selectors."""
-    return matched.groupBy("uuid", F.col("taxon").alias("taxonPath")).agg(F.count("*").alias("recordCount"))
+def checklists(counted: DataFrame) -> DataFrame:
+    """Records per selector and taxon path, under the names of the checklist table."""
+    return counted.select("uuid", F.col("taxon").alias("taxonPath"), F.col("n").alias("recordCount"))
 
 
 def item_counts(matched: DataFrame) -> DataFrame:

@@ -13,6 +13,8 @@ What the key leaves open is decided by the exact area test. It is left out where
 is inside the area, and elsewhere sees only the edges that matter for the cell.
 """
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -70,6 +72,30 @@ def _measure(keys: DataFrame):
     ).first()
 
 
+class SelectorIndex(NamedTuple):
+    """Selectors as keys to match with, and what was measured on them."""
+
+    selectors: DataFrame
+    keys: DataFrame
+    levels: list
+    has_traits: bool
+    small: bool
+    limit: int
+
+
+def selector_index(selectors: DataFrame, broadcast_limit: int = BROADCAST_BYTES) -> SelectorIndex:
+    """Of selectors from ``prepared``."""
+    keys = checkpoint(selector_keys(selectors))
+    size = _measure(keys)
+    small = fits(size.n, size.bytes, broadcast_limit)
+    return SelectorIndex(selectors, keys, sorted(size.levels), size.traits, small, broadcast_limit)
+
+
+def prepared(selectors: DataFrame) -> DataFrame:
+    """The valid selectors, normalised, with their UUID, each once."""
+    return checkpoint(valid_only(normalized(selectors)))
+
+
 def match_selectors(
     occurrences: DataFrame,
     selectors: DataFrame,
@@ -81,30 +107,34 @@ def match_selectors(
     Selectors that are not valid, or whose area has no inside, match nothing. Trait lists need
     ``traits``; without it a selector with a trait list matches nothing.
     """
-    return match_prepared(occurrences, prepared(selectors), traits, broadcast_limit)
+    return match_index(occurrences, selector_index(prepared(selectors), broadcast_limit), traits)
 
 
-def prepared(selectors: DataFrame) -> DataFrame:
-    """The valid selectors, normalised, with their UUID, each once."""
-    return checkpoint(valid_only(normalized(selectors)))
+def count_taxa(occurrences: DataFrame, index: SelectorIndex, traits: DataFrame | None = None) -> DataFrame:
+    """(uuid, taxon, n): records per selector and taxon path.
 
+    Where the match needs a shuffle, equal records at equal points are counted before it.
+    """
+    if index.small:
+        return match_index(occurrences.select("taxon", "lat", "lng"), index, traits).groupBy("uuid", "taxon").agg(
+            F.count("*").alias("n")
+        )
+    points = occurrences.groupBy("taxon", "lat", "lng").agg(F.count("*").alias("_n"))
+    return match_index(points, index, traits).groupBy("uuid", "taxon").agg(F.sum("_n").alias("n"))
 
-def match_prepared(
-    occurrences: DataFrame, selectors: DataFrame, traits: DataFrame | None, broadcast_limit: int = BROADCAST_BYTES
-) -> DataFrame:
-    keys = checkpoint(selector_keys(selectors))
-    size = _measure(keys)
-    levels = [F.expr(cells.cell_of("lat", "lng", level)) for level in sorted(size.levels)] or [F.lit(None).cast("int")]
+
+def match_index(occurrences: DataFrame, index: SelectorIndex, traits: DataFrame | None = None) -> DataFrame:
+    keys = index.keys
+    levels = [F.expr(cells.cell_of("lat", "lng", level)) for level in index.levels] or [F.lit(None).cast("int")]
     rows = occurrences.withColumn("elements", path_elements(F.col("taxon")))
     rows = rows.select("*", F.explode(F.array(*levels)).alias("cell"))
-    small = fits(size.n, size.bytes, broadcast_limit)
-    if not small:
+    if not index.small:
         # At most one row per grid cell there is.
         used = keys.select("cell").distinct()
         rows = rows.join(F.broadcast(used), "cell", "left_semi")
     rows = rows.select("*", F.explode(F.concat(F.array(F.lit("")), F.col("elements"))).alias("term"))
 
-    candidates = rows.join(F.broadcast(keys) if small else keys, ["cell", "term"])
+    candidates = rows.join(F.broadcast(keys) if index.small else keys, ["cell", "term"])
     in_area = (
         f"whole OR (exists(boxes, b -> {shapes.in_box('lat', 'lng', 'b')}) "
         f"AND (edges IS NULL OR {shapes.inside_edges('lat', 'lng', 'edges')}))"
@@ -112,8 +142,8 @@ def match_prepared(
     # A path may hold several terms of one selector: only the first of them counts.
     first_term = "size(terms) <= 1 OR term = get(array_intersect(elements, terms), 0)"
     matched = candidates.filter(f"({first_term}) AND ({in_area})")
-    if size.traits and traits is None:
+    if index.has_traits and traits is None:
         matched = matched.filter(F.col("traitSelector").isNull())
-    elif size.traits:
-        matched = with_traits(matched, occurrences, traits, selectors, broadcast_limit)
+    elif index.has_traits:
+        matched = with_traits(matched, occurrences, traits, index.selectors, index.limit)
     return matched.select(*occurrences.columns, "uuid")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from wildtally import schemas
 from wildtally.functions.shapes import supported_area
 from wildtally.operators import aggregates, filters
-from wildtally.operators.matching import match_prepared, match_selectors, prepared
+from wildtally.operators.matching import count_taxa, match_index, prepared, selector_index
 from wildtally.operators.sizes import measured
 from wildtally.operators.traits import trait_filter
 from wildtally.selector import InvalidSelector, Resolved, resolve, selectors_frame, with_uuid
@@ -32,7 +32,7 @@ def generate_checklist(occurrences: DataFrame, selector, traits: DataFrame | Non
 
 
 def generate_checklists(occurrences: DataFrame, selectors: DataFrame, traits: DataFrame | None = None) -> DataFrame:
-    return aggregates.checklists(match_selectors(occurrences, selectors, traits))
+    return aggregates.checklists(count_taxa(occurrences, selector_index(prepared(selectors)), traits))
 
 
 def _one(occurrences: DataFrame, selector, traits):
@@ -45,7 +45,8 @@ def _one(occurrences: DataFrame, selector, traits):
 def save_checklist(occurrences: DataFrame, selector, base: str, traits: DataFrame | None = None) -> None:
     """Compute and save the checklist of one selector."""
     rows, selectors, uuid = _one(occurrences, selector, traits)
-    tables.save_checklists(aggregates.checklists(rows), base, selectors, uuid)
+    counted = rows.groupBy("uuid", "taxon").agg(F.count("*").alias("n"))
+    tables.save_checklists(aggregates.checklists(counted), base, selectors, uuid)
 
 
 def save_checklists(
@@ -53,7 +54,7 @@ def save_checklists(
 ) -> None:
     """Compute and save the checklists of many selectors in one pass."""
     chosen = prepared(selectors)
-    tables.save_checklists(aggregates.checklists(match_prepared(occurrences, chosen, traits)), base, chosen)
+    tables.save_checklists(aggregates.checklists(count_taxa(occurrences, selector_index(chosen), traits)), base, chosen)
 
 
 def monitor_summary(selectors: DataFrame, counts: DataFrame) -> DataFrame:
@@ -102,7 +103,7 @@ def save_all_occurrences(
 ) -> None:
     """The same for many selectors in one pass over the occurrences."""
     chosen = prepared(selectors)
-    _save(match_prepared(occurrences, chosen, traits), chosen, base)
+    _save(match_index(occurrences, selector_index(chosen), traits), chosen, base)
 
 
 def refresh_all(occurrences: DataFrame, base: str, traits: DataFrame | None = None) -> None:

@@ -18,12 +18,16 @@ def prepare(spark: SparkSession) -> SparkSession:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Only where no folder is set (local tests) a temporary one is made.
+    Only a local session without that setting gets a temporary one; on a cluster the folder has
+    to be shared, so there the setting is required.
     """
     context = spark.sparkContext
     shared = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    shared = shared or context.getCheckpointDir()
     if shared is None:
-        shared = context.getCheckpointDir() or tempfile.mkdtemp(prefix="wildtally-")
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a shared folder")
+        shared = tempfile.mkdtemp(prefix="wildtally-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared)
     return shared

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from wildtally import schemas
-from wildtally.operators.matching import match_prepared, prepared
+from wildtally.operators.matching import match_index, prepared, selector_index
 from wildtally.operators.sizes import measured
 from wildtally.plans.generate import save_summary
 from wildtally.sources import tables
@@ -19,7 +19,7 @@ def add_batch(occurrences: DataFrame, base: str, load: str, traits: DataFrame |
     spark = occurrences.sparkSession
     # The summary is overwritten at the end; this copy of its selectors stays.
     saved = prepared(tables.read_table(spark, base, tables.SUMMARY))
-    tables.add_occurrences(match_prepared(occurrences, saved, traits), base, load)
+    tables.add_occurrences(match_index(occurrences, selector_index(saved), traits), base, load)
     added = tables.read_table(spark, base, tables.OCCURRENCE).filter(F.col("load") == load)
     tables.add_monitored(added, base, load)
     touched = measured(added.select("uuid").distinct(), "uuid")
