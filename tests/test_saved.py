@@ -200,3 +200,9 @@ def test_inputs(spark, records, traits, tmp_path):
     assert [tuple(r) for r in got] == [("id1", None, "gbif"), ("id2", None, "gbif"), ("id3", "uuid", "other")]
     union = inputs.union_archives({"a": records.drop("source"), "b": records.drop("source", "start")})
     assert union.groupBy("source").agg(F.count("*"), F.count("start")).orderBy("source").collect() == [("a", 9, 9), ("b", 9, 0)]
+
+
+def test_json_file(spark, base, tmp_path):
+    sinks.write_json(Q.monitors_json(Q.monitors(spark, base)), str(tmp_path / "j"))
+    rows = spark.read.json(str(tmp_path / "j")).select("selector.taxonSelector", "status", "recordCount").collect()
+    assert sorted(map(tuple, rows)) == [("", "ready", 6), ("Anura", "ready", 3), ("Anura", "unsupported area", 0), ("Mammalia", "ready", 0)]
