@@ -373,6 +373,8 @@ ORACLES = {
     "refresh_all": MONITORS,
     "stream_refresh": MONITORS,
     "monitors": MONITORS,
+    "save_one_selector": selected(END, SAVED),
+    "save_one_checklist": selected(f"{LAST} AS taxonName, {CHECKLIST}", derived.CASES[4], "GROUP BY taxon"),
     "monitor_of": matching(MONITOR_ROWS, [derived.SAVED[1]]),
     "monitors_of": status_query("m.status, CAST(m.recordCount AS VARCHAR) AS recordCount", MONITOR_ROWS),
     "status_of": matching(f"SELECT status FROM ({MONITOR_ROWS})", [SAVED]),
@@ -423,3 +425,4 @@ ORACLES = {
     "checklist_on_the_spot": selected(CHECKLIST, derived.CASES[9], "GROUP BY taxon"),
     "occurrences_on_the_spot": selected(END, derived.CASES[9], where=f"{AFTER} AND {BEFORE}"),
 }
+ORACLES["monitors_json_file"] = ORACLES["monitors_json"]

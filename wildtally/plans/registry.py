@@ -349,6 +349,27 @@ def stream_refresh(spark, folder):
     return Q.monitors(spark, base)
 
 
+@query
+def save_one_selector(spark, folder):
+    base = scratch_dir(spark, "one")
+    generate.save_occurrences(derived.occurrences(spark, folder), SAVED, base, derived.traits(spark, folder))
+    return Q.occurrences(spark, base, SAVED, limit=None)
+
+
+@query
+def save_one_checklist(spark, folder):
+    base = scratch_dir(spark, "one")
+    generate.save_checklist(derived.occurrences(spark, folder), derived.CASES[4], base)
+    return Q.checklist_tsv(spark, base, derived.CASES[4])
+
+
+@query
+def monitors_json_file(spark, folder):
+    path = scratch_dir(spark, "json")
+    sinks.write_json(Q.monitors_json(Q.monitors(spark, store(spark, folder))), path)
+    return spark.read.text(path).withColumnRenamed("value", "json")
+
+
 @query
 def monitors(spark, folder):
     return Q.monitors(spark, store(spark, folder))
