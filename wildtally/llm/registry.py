@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wildtally.llm import near_dups
+from wildtally.llm import near_dups, substring_dups
 from wildtally.llm.tables import table
 
 _registered = {}
@@ -25,3 +25,8 @@ def oracle_sql():
 @query
 def op10_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_dups.components(table(spark, folder, "documents"))
+
+
+@query
+def op6_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substring_dups.remove_repeats(table(spark, folder, "documents"))[0]
