@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wildtally.llm import near_dups, substring_dups
+from wildtally.llm import near_dups, pieces, pii, substring_dups
 from wildtally.llm.tables import table
 
 _registered = {}
@@ -14,6 +14,12 @@ def query(function):
     return function
 
 
+def model_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 def queries():
     return dict(_registered)
 
@@ -30,3 +36,13 @@ def op10_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op6_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substring_dups.remove_repeats(table(spark, folder, "documents"))[0]
+
+
+@query
+def op7_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    return pieces.digests(table(spark, folder, "documents"), model_path())
+
+
+@query
+def op9_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.find(table(spark, folder, "documents"))
