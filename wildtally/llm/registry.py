@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wildtally.llm import near_dups, pieces, pii, substring_dups, toxicity
+from wildtally.llm import decontamination, near_dups, pieces, pii, substring_dups, toxicity
 from wildtally.llm.tables import table
 
 _registered = {}
@@ -52,3 +52,8 @@ def op9_pii(spark: SparkSession, folder: str) -> DataFrame:
 def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, folder, "labels")))
+
+
+@query
+def op3_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontamination.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
