@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wildtally.llm import decontamination, near_dups, pieces, pii, substring_dups, toxicity
+from wildtally.llm import decontamination, fingerprints, near_dups, pieces, pii, substring_dups, toxicity
 from wildtally.llm.tables import table
 
 _registered = {}
@@ -57,3 +57,11 @@ def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op3_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontamination.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query
+def op5_document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints.edits(table(spark, folder, "documents"))
+
+
+_oracles["op5_document_fingerprints"] = fingerprints.EDITS_SQL
