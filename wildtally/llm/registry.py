@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wildtally.llm import decontamination, fingerprints, near_dups, pieces, pii, substring_dups, toxicity
+from wildtally.llm import decontamination, fingerprints, licenses, near_dups, pieces, pii, substring_dups, toxicity
 from wildtally.llm.tables import table
 
 _registered = {}
@@ -65,3 +65,11 @@ def op5_document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _oracles["op5_document_fingerprints"] = fingerprints.EDITS_SQL
+
+
+@query
+def op1_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(licenses.with_paths(table(spark, folder, "documents")))
+
+
+_oracles["op1_license_scan"] = licenses.SCAN_SQL
