@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wildtally.llm import decontamination, fingerprints, licenses, near_dups, pieces, pii, substring_dups, toxicity
+from wildtally.llm import decontamination, fingerprints, licenses, main_text, near_dups, pieces, pii, substring_dups, toxicity
 from wildtally.llm.tables import table
 
 _registered = {}
@@ -73,3 +73,8 @@ def op1_license_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _oracles["op1_license_scan"] = licenses.SCAN_SQL
+
+
+@query
+def op4_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return main_text.extract(table(spark, folder, "pages"))
