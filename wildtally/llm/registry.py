@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wildtally.llm import decontamination, fingerprints, licenses, main_text, near_dups, pieces, pii, substring_dups, toxicity
+from wildtally.llm import decontamination, fingerprints, language_model, licenses, main_text, near_dups, pieces, pii, substring_dups, toxicity
 from wildtally.llm.tables import table
 
 _registered = {}
@@ -78,3 +78,8 @@ _oracles["op1_license_scan"] = licenses.SCAN_SQL
 @query
 def op4_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     return main_text.extract(table(spark, folder, "pages"))
+
+
+@query
+def op2_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    return language_model.train_and_score(table(spark, folder, "documents"))
