@@ -107,5 +107,5 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose doc_id is in no leak, with all their columns; rows without a doc_id stay."""
-    gone = written(leaks(docs, benchmark).select(F.col("doc_id").alias("gone")).distinct(), "gone")
-    return docs.join(measured(gone), F.col("doc_id").cast("long") == F.col("gone"), "left_anti")
+    gone = written(leaks(docs, benchmark).select("doc_id").distinct(), "gone")
+    return docs.join(measured(gone), "doc_id", "left_anti").select(*docs.columns)

@@ -125,7 +125,7 @@ def encoder(model: str) -> Encoder:
 _DIGESTS = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("n_bytes", pa.int64()), ("decoded_sha256", pa.string())])
 
 
-def _digested(model: str):
+def _digested(model: str, with_ids: bool):
     def digest(batches):
         tool = encoder(model)
         names = [str(i) for i in range(tool.library.get_piece_size())]
@@ -133,24 +133,25 @@ def _digested(model: str):
             texts = [text or "" for text in batch.column(1).to_pylist()]
             ids = tool.encode(texts)
             spans = [tool.spans(text, x) for text, x in zip(texts, ids)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array([len(x) for x in ids], pa.int64()),
-                    pa.array([hashlib.sha256(",".join([names[i] for i in x]).encode()).hexdigest() for x in ids], pa.string()),
-                    pa.array([int(x[-1, 1]) if len(x) else 0 for x in spans], pa.int64()),
-                    pa.array([hashlib.sha256(tool.decode(x).encode()).hexdigest() for x in ids], pa.string()),
-                ],
-                schema=_DIGESTS,
-            )
+            columns = [
+                batch.column(0),
+                pa.array([len(x) for x in ids], pa.int64()),
+                pa.array([hashlib.sha256(",".join([names[i] for i in x]).encode()).hexdigest() for x in ids], pa.string()),
+                pa.array([int(x[-1, 1]) if len(x) else 0 for x in spans], pa.int64()),
+                pa.array([hashlib.sha256(tool.decode(x).encode()).hexdigest() for x in ids], pa.string()),
+            ]
+            if with_ids:
+                columns.append(pa.array(ids, pa.list_(pa.int32())))
+            yield pa.RecordBatch.from_arrays(columns, schema=_DIGESTS.append(_ENCODED.field("ids")) if with_ids else _DIGESTS)
 
     return digest
 
 
-def digests(docs: DataFrame, model: str) -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, n_bytes`` (of the source, that the pieces span) ``, decoded_sha256`` of every row's text; see ``encoded``."""
+def digests(docs: DataFrame, model: str, with_ids: bool = False) -> DataFrame:
+    """``doc_id, n_tokens, ids_sha256, n_bytes`` (of the source, that the pieces span) ``, decoded_sha256`` of every row's text, and its ``ids`` on demand; see ``encoded``."""
     settings(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_digested(model), "doc_id long, n_tokens long, ids_sha256 string, n_bytes long, decoded_sha256 string")
+    ddl = "doc_id long, n_tokens long, ids_sha256 string, n_bytes long, decoded_sha256 string" + ", ids array<int>" * with_ids
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_digested(model, with_ids), ddl)
 
 
 _ENCODED = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("begins", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("decoded", pa.string())])
