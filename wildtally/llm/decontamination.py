@@ -61,7 +61,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     One row for each document and item of which at least NEEDED windows (all, if it has fewer) are
     found in consistent alignments. ``n_slots``: distinct item slot values met there, ``n_changed``:
-    those that meet another value, ``verbatim``: none does. Rows that share a doc_id (item_id) are
+    those that only meet another value, ``verbatim``: there are none of these. Rows that share a doc_id (item_id) are
     searched (searched for) as parts of one; rows without one are left out. Null, empty and short
     texts (under LITERALS tokens) hold nothing and are never found. An empty table on either side
     gives no rows. Other columns are not looked at.
