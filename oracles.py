@@ -376,7 +376,7 @@ ORACLES = {
     "save_one_selector": selected(END, SAVED),
     "save_one_checklist": selected(f"{LAST} AS taxonName, {CHECKLIST}", derived.CASES[4], "GROUP BY taxon"),
     "monitor_of": matching(MONITOR_ROWS, [derived.SAVED[1]]),
-    "monitors_of": status_query("m.status, CAST(m.recordCount AS VARCHAR) AS recordCount", MONITOR_ROWS),
+    "monitors_of": status_query("m.status, m.recordCount", MONITOR_ROWS),
     "status_of": matching(f"SELECT status FROM ({MONITOR_ROWS})", [SAVED]),
     "checklists_status": status_query(
         "m.status", "SELECT DISTINCT uuid, 'ready' AS status FROM matched", VALID_CASES
@@ -385,7 +385,7 @@ ORACLES = {
     "checklist": selected(CHECKLIST, FLAGSHIP, TOP),
     "checklist_tsv": selected(f"concat_ws(chr(9), {LAST}, taxon, count(*)) AS line", FLAGSHIP, "GROUP BY taxon"),
     "checklist_tsv_file": selected(f"concat_ws(chr(9), {LAST}, taxon, count(*)) AS line", FLAGSHIP, "GROUP BY taxon")
-    + f" UNION SELECT {header('taxonName taxonPath recordCount')}",
+    + f" UNION ALL SELECT {header('taxonName taxonPath recordCount')}",
     "checklist_json": matching(
         f"SELECT '{{\"selector\":' || {json_selector(FLAGSHIP)} || ',\"status\":\"ready\",\"items\":[' || "
         "string_agg('{\"taxon\":\"' || taxonPath || '\",\"recordcount\":' || recordCount || '}', ',' "
@@ -396,7 +396,7 @@ ORACLES = {
     "occurrences": selected(END, SAVED, f"{ORDER} 20", TO_2000),
     "saved_occurrences": selected(END, derived.SAVED[4]),
     "occurrences_tsv": selected(TSV, SAVED, where=AFTER),
-    "occurrences_tsv_file": selected(TSV, SAVED) + f" UNION SELECT {header(TSV_HEADER)}",
+    "occurrences_tsv_file": selected(TSV, SAVED) + f" UNION ALL SELECT {header(TSV_HEADER)}",
     "occurrences_json": matching(
         f"SELECT '{{\"selector\":' || {json_selector(SAVED)} || ',\"status\":\"ready\",\"items\":[' || coalesce("
         "string_agg(concat('{\"taxon\":\"', taxon, '\",\"lat\":', lat, ',\"lng\":', lng, ',\"start\":', start, ',\"end\":', start, "
@@ -420,9 +420,18 @@ ORACLES = {
     "monitored_tsv_file": matching(
         "SELECT id || chr(9) || uuid AS line FROM matched WHERE source = 'inaturalist'", derived.SAVED
     )
-    + f" UNION SELECT {header('occurrenceId monitorUUID')}",
+    + f" UNION ALL SELECT {header('occurrenceId monitorUUID')}",
     "id_list_input": of_occ("id AS occurrenceId, CAST(NULL AS VARCHAR) AS monitorUUID, source"),
     "checklist_on_the_spot": selected(CHECKLIST, derived.CASES[9], "GROUP BY taxon"),
     "occurrences_on_the_spot": selected(END, derived.CASES[9], where=f"{AFTER} AND {BEFORE}"),
 }
 ORACLES["monitors_json_file"] = ORACLES["monitors_json"]
+ORACLES["occurrences_tsv_plan"] = ORACLES["occurrences_tsv"]
+ORACLES["occurrences_by_uuid"] = selected(END, SAVED)
+ORACLES["occurrences_none"] = selected(END, SAVED, "LIMIT 0")
+ORACLES["checklist_exists"] = selected("count(*) > 0 AS saved, false AS never", FLAGSHIP)
+ORACLES["days_added_extremes"] = (
+    f"WITH {OCC}, days AS (SELECT CASE (start // {DAY}) % 5 WHEN 0 THEN '9999-12-31' WHEN 2 THEN '0000-01-01' "
+    "WHEN 4 THEN strftime(epoch_ms(added), '%Y-%m-%d') END AS day FROM occ) "
+    "SELECT day[1:4] AS y, day[6:7] AS m, day[9:10] AS d, count(*) AS n FROM days WHERE day IS NOT NULL GROUP BY ALL"
+)

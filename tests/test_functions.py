@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from wildtally.functions import lines
 from wildtally.functions import selectors as S
+from wildtally.operators import filters
 from wildtally.functions.dates import day_partitions, iso_millis, parse_utc
 from wildtally.functions.links import QUOTED, occurrence_url, quote_query
 from wildtally.functions.shapes import bbox_wkt
@@ -81,15 +82,32 @@ def test_dates(spark):
 
 
 def test_bad_date_fails(spark):
+    for text in ("2016-W05", "today", "now", "epoch", "06:30", "T06:30", " 2016 ", "2016-06-01 12:00", "20160601", ""):
+        with pytest.raises(Exception, match="not an ISO date"):
+            spark.createDataFrame([(text,)], "t string").select(parse_utc(F.col("t"))).collect()
     with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
-        spark.createDataFrame([("2016-W05",)], "t string").select(parse_utc(F.col("t"))).collect()
+        spark.createDataFrame([("2016-13-01",)], "t string").select(parse_utc(F.col("t"))).collect()
+
+
+def test_times_without_a_day(spark):
+    first, last = -62167219200000, 253402300799999
+    times = [first - 1, first, last, last + 1, 10**16, -(10**17)]
+    got = evaluate(spark, [(t,) for t in times], "added bigint", *day_partitions(F.col("added")).values())
+    none = (None, None, None)
+    assert got == [none, ("0000", "01", "01"), ("9999", "12", "31"), none, none, none]
+    assert evaluate(spark, [(last + 1,)], "m bigint", iso_millis(F.col("m"))) == [("10000-01-01T00:00:00.000Z",)]
+    rows = spark.createDataFrame([(t,) for t in times], "added bigint").withColumns(day_partitions(F.col("added")))
+    for after, before in [("0000-01-01", None), (None, "9999-12-31T12:00"), ("2000-01-01", "2001-01-01")]:
+        plain = filters.added_filter(rows, after, before).select("added").collect()
+        assert sorted(plain) == sorted(filters.added_partition_filter(rows, after, before).select("added").collect())
+        assert {r.added for r in plain} <= {first, last}
 
 
 def test_tsv_lines(spark):
     schema = "taxon string, lat double, lng double, start bigint, id string, added bigint, source string"
-    rest = "\t12.2\t11.1\t1970-01-01T00:00:00.123Z\tsome id\t1970-01-01T00:00:00.333Z\ta source\t"
+    rest = "\t-3.5\t40.25\t1970-01-01T00:00:00.007Z\tspecimen 8\t1970-01-02T00:00:00.000Z\tmuseum\t"
     cases = {"a taxon": "a taxon\ta taxon", "bla|": "bla\tbla|", "|": "\t|", "a||": "a\ta||", None: "\t"}
-    rows = [(t, 12.2, 11.1, 123, "some id", 333, "a source") for t in cases]
+    rows = [(t, -3.5, 40.25, 7, "specimen 8", 86400000, "museum") for t in cases]
     got = evaluate(spark, rows, schema, lines.occurrence_tsv_line())
     assert [g[0] for g in got] == [start + rest for start in cases.values()]
     got = evaluate(spark, [("donald", 1)], "taxonPath string, recordCount bigint", lines.checklist_tsv_line())

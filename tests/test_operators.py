@@ -105,8 +105,10 @@ def test_many_selectors(spark, records, traits, limit):
     counted = count_taxa(records, selector_index(prepared(selectors_frame(spark, cases)), limit), traits)
     by_taxon = {(r.uuid, r.taxon): r.n for r in counted.collect()}
     assert by_taxon == {(r.uuid, r.taxon): r["count"] for r in matched.groupBy("uuid", "taxon").count().collect()}
-    without = match_selectors(records, selectors_frame(spark, cases), None, limit)
-    assert without.select("uuid").distinct().count() == 3
+    with pytest.raises(InvalidSelector, match="trait list"):
+        match_selectors(records, selectors_frame(spark, cases), None, limit)
+    plain = match_selectors(records, selectors_frame(spark, [c for c in cases if not c[2]]), None, limit)
+    assert plain.select("uuid").distinct().count() == 3
 
 
 def test_hot_key_is_split(spark):

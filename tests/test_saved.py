@@ -1,3 +1,5 @@
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -134,6 +136,37 @@ def test_refresh_replaces_only_its_selectors(spark, records, traits, tmp_path):
     assert Q.checklist(spark, base, FROGS).count() == 0
 
 
+def files_of(base):
+    return {f: f.stat().st_mtime_ns for f in Path(base).rglob("*.parquet")}
+
+
+def test_saving_one_leaves_the_files_of_others(spark, records, traits, tmp_path):
+    first, second = str(tmp_path / "a"), str(tmp_path / "b")
+    generate.save_occurrences(records, ALL, first, traits)
+    before = files_of(first)
+    for _ in range(2):
+        generate.save_occurrences(records, FROGS, first, traits)
+    assert {f: t for f, t in files_of(first).items() if f in before} == before
+    for selector in (FROGS, ALL):
+        generate.save_occurrences(records, selector, second, traits)
+    assert monitored(spark, first) == monitored(spark, second) and counts(spark, first) == counts(spark, second)
+
+
+def test_no_refresh_without_traits(spark, records, traits, tmp_path):
+    base, heavy = str(tmp_path), ("Anura", "ENVELOPE(-180,180,90,-90)", "mass > 1")
+    generate.save_all_occurrences(records, selectors_frame(spark, [heavy, ALL]), base, traits)
+    before = files_of(base)
+    for refused in (
+        lambda: generate.refresh_all(records, base),
+        lambda: add_batch(records, base, "batch-0"),
+        lambda: generate.save_all_occurrences(records, selectors_frame(spark, [heavy]), base),
+        lambda: generate.save_checklists(records, selectors_frame(spark, [heavy]), base),
+    ):
+        with pytest.raises(InvalidSelector, match="trait list"):
+            refused()
+    assert files_of(base) == before
+
+
 def test_tables_without_load_level(spark, records, tmp_path):
     uuid = "55e4b0a0-bcd9-566f-99bc-357439011d85"
     folder = f"{tmp_path}/occurrence/u0=55/u1=e4/u2=b0/uuid={uuid}"
@@ -185,13 +218,33 @@ def test_tsv_files_are_verbatim(spark, tmp_path):
     rows = spark.createDataFrame([(' a "q" | b\tc ', 3), ("", 1), (None, 2)], "taxonPath string, recordCount bigint")
     sinks.write_checklist_tsv(rows.coalesce(1), str(tmp_path / "t"))
     lines = column(spark.read.text(str(tmp_path / "t")), "value")
-    assert lines == ["taxonName\ttaxonPath\trecordCount", ' b c \t a "q" | b c \t3', "\t\t1", "\t\t2"]
+    assert lines == ["taxonName\ttaxonPath\trecordCount", ' b c \t a "q" | b c \t3', "\t\t2", "\t\t1"]
+
+
+def test_tsv_files_of_several_parts(spark, tmp_path):
+    rows = spark.range(4000).selectExpr("concat('A|', id % 700) AS taxonPath", "id % 50 AS recordCount").repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sinks.write_checklist_tsv(rows, str(tmp_path / "t"))
+        sinks.write_checklist_tsv(rows.limit(0), str(tmp_path / "none"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    parts = sorted((tmp_path / "t").glob("part-*"))
+    lines = [line for part in parts for line in part.read_text().splitlines()]
+    assert len(parts) > 1 and lines[0] == "taxonName\ttaxonPath\trecordCount" and len(lines) == 4001
+    expected = sorted(((-r.recordCount, r.taxonPath) for r in rows.collect()))
+    assert [(-int(x[2]), x[1]) for x in (line.split("\t") for line in lines[1:])] == expected
+    assert "".join(p.read_text() for p in (tmp_path / "none").glob("part-*")) == lines[0] + "\n"
 
 
 def test_inputs(spark, records, traits, tmp_path):
     traits.write.option("header", True).csv(f"{tmp_path}/traitbank")
     read = inputs.read_traits(spark, f"{tmp_path}/traitbank/*.csv")
     assert sorted(map(str, read.collect())) == sorted(map(str, traits.collect()))
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad/t.csv").write_text("taxon,trait,value\nRana,mass,abc\n")
+    with pytest.raises(Exception, match="(?i)malformed"):
+        inputs.read_traits(spark, f"{tmp_path}/bad/*.csv").collect()
     for source, text in {"gbif": "id1\nid2\n", "other": "id3\tuuid\n"}.items():
         folder = tmp_path / f"ids/source={source}/all.tsv"
         folder.mkdir(parents=True)

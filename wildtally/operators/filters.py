@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wildtally.functions import shapes
-from wildtally.functions.dates import DAY_MILLIS, parse_utc
+from wildtally.functions.dates import DAY_MILLIS, FIRST_MILLIS, LAST_MILLIS, parse_utc
 from wildtally.functions.taxa import path_elements
 from wildtally.functions.text import BLANK
 from wildtally.selector import InvalidSelector, Resolved, resolve
@@ -96,8 +96,11 @@ def added_partition_filter(rows: DataFrame, after: str | None = None, before: st
 def added_filter(rows: DataFrame, after: str | None = None, before: str | None = None) -> DataFrame:
     """The same by the day of ``added``, for tables without day partitions.
 
-    Written as a plain range of ``added`` with constant bounds, which reaches the Parquet scan.
+    Written as a plain range of ``added`` with constant bounds, which reaches the Parquet scan. With a
+    bound, times outside the years 0000 to 9999 are dropped, as they are in no day partition.
     """
+    if after is not None or before is not None:
+        rows = rows.filter((F.col("added") >= FIRST_MILLIS) & (F.col("added") <= LAST_MILLIS))
     if after is not None:
         day = F.floor(F.unix_millis(parse_utc(F.lit(after))) / DAY_MILLIS) + 1
         rows = rows.filter(F.col("added") >= day * DAY_MILLIS)

@@ -23,7 +23,7 @@ from wildtally.functions.selectors import terms
 from wildtally.functions.taxa import path_elements
 from wildtally.operators.sizes import BROADCAST_BYTES, fits
 from wildtally.operators.traits import with_traits
-from wildtally.selector import normalized, valid_only
+from wildtally.selector import InvalidSelector, normalized, valid_only
 from wildtally.session import checkpoint
 
 
@@ -105,7 +105,7 @@ def match_selectors(
     """Each occurrence once per selector it belongs to: its columns, with ``uuid``.
 
     Selectors that are not valid, or whose area has no inside, match nothing. Trait lists need
-    ``traits``; without it a selector with a trait list matches nothing.
+    ``traits``; without it a selector with a trait list is refused.
     """
     return match_index(occurrences, selector_index(prepared(selectors), broadcast_limit), traits)
 
@@ -124,6 +124,9 @@ def count_taxa(occurrences: DataFrame, index: SelectorIndex, traits: DataFrame |
 
 
 def match_index(occurrences: DataFrame, index: SelectorIndex, traits: DataFrame | None = None) -> DataFrame:
+    """The same with an index; jobs run here already, but nothing is written before traits are known to be there."""
+    if index.has_traits and traits is None:
+        raise InvalidSelector("a trait list needs a table of traits")
     keys = index.keys
     levels = [F.expr(cells.cell_of("lat", "lng", level)) for level in index.levels] or [F.lit(None).cast("int")]
     rows = occurrences.withColumn("elements", path_elements(F.col("taxon")))
@@ -142,8 +145,6 @@ def match_index(occurrences: DataFrame, index: SelectorIndex, traits: DataFrame
     # A path may hold several terms of one selector: only the first of them counts.
     first_term = "size(terms) <= 1 OR term = get(array_intersect(elements, terms), 0)"
     matched = candidates.filter(f"({first_term}) AND ({in_area})")
-    if index.has_traits and traits is None:
-        matched = matched.filter(F.col("traitSelector").isNull())
-    elif index.has_traits:
+    if index.has_traits:
         matched = with_traits(matched, occurrences, traits, index.selectors, index.limit)
     return matched.select(*occurrences.columns, "uuid")

@@ -342,7 +342,7 @@ def stream_refresh(spark, folder):
     base, traits = scratch_dir(spark, "stream"), derived.traits(spark, folder)
     records = derived.occurrences(spark, folder)
     years = records.withColumn("year", F.year(F.timestamp_millis("added")))
-    years.repartition("year").write.partitionBy("year").parquet(f"{base}/arrivals")
+    years.hint("rebalance", "year").write.partitionBy("year").parquet(f"{base}/arrivals")
     generate.register_monitors(selectors_frame(spark, derived.SAVED), base)
     running = refresh_stream(spark, f"{base}/arrivals", base, f"{base}/progress", "arrivals", traits, 4)
     running.awaitTermination()
@@ -382,8 +382,7 @@ def monitor_of(spark, folder):
 
 @query
 def monitors_of(spark, folder):
-    rows = Q.monitors_of(spark, store(spark, folder), derived.saved_selectors(spark, folder))
-    return rows.withColumn("recordCount", F.col("recordCount").cast("string"))
+    return Q.monitors_of(spark, store(spark, folder), derived.saved_selectors(spark, folder))
 
 
 @query
@@ -416,7 +415,7 @@ def checklist_tsv(spark, folder):
 def checklist_tsv_file(spark, folder):
     path = scratch_dir(spark, "tsv")
     sinks.write_checklist_tsv(Q.checklist(spark, store(spark, folder), FLAGSHIP, limit=None), path)
-    return spark.read.text(path).withColumnRenamed("value", "line").distinct()
+    return spark.read.text(path).withColumnRenamed("value", "line")
 
 
 @query
@@ -440,11 +439,48 @@ def occurrences_tsv(spark, folder):
     return rows.select(lines.occurrence_tsv_line().alias("line"))
 
 
+@query
+def occurrences_tsv_plan(spark, folder):
+    """The plan's own columns, as one line for the comparison."""
+    rows = Q.occurrences_tsv(spark, store(spark, folder), SAVED, added_after=AFTER)
+    return rows.select(F.concat_ws("\t", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in rows.columns]).alias("line"))
+
+
+@query
+def occurrences_by_uuid(spark, folder):
+    uuid = Q.monitor_of(spark, store(spark, folder), SAVED).first().uuid
+    return Q.occurrences(spark, store(spark, folder), uuid=uuid, limit=None)
+
+
+@query
+def occurrences_none(spark, folder):
+    return Q.occurrences(spark, store(spark, folder), SAVED, limit=0)
+
+
+@query
+def checklist_exists(spark, folder):
+    saved, never = [Q.checklist_exists(spark, store(spark, folder), s) for s in (FLAGSHIP, ("Nothing", "ENVELOPE(0,1,1,0)", ""))]
+    return derived.saved_selectors(spark, folder).limit(1).select(F.lit(saved).alias("saved"), F.lit(never).alias("never"))
+
+
+@query
+def days_added_extremes(spark, folder):
+    """Times in and beyond the years with a day, and how both date filters see them."""
+    far = F.expr(
+        "CASE start DIV 86400000 % 5 WHEN 0 THEN 253402300799999 WHEN 1 THEN 253402300800000 "
+        "WHEN 2 THEN -62167219200000 WHEN 3 THEN -62167219200001 ELSE added END"
+    )
+    rows = derived.occurrences(spark, folder).withColumn("added", far)
+    rows = filters.added_filter(rows.withColumns(day_partitions(F.col("added"))), before="9999-12-31T12:00")
+    rows = filters.added_partition_filter(rows, before="9999-12-31T12:00")
+    return rows.groupBy("y", "m", "d").agg(F.count("*").alias("n"))
+
+
 @query
 def occurrences_tsv_file(spark, folder):
     path = scratch_dir(spark, "tsv")
     sinks.write_occurrences_tsv(Q.occurrences(spark, store(spark, folder), SAVED, limit=None), path)
-    return spark.read.text(path).withColumnRenamed("value", "line").distinct()
+    return spark.read.text(path).withColumnRenamed("value", "line")
 
 
 @query
@@ -472,7 +508,7 @@ def monitored_tsv(spark, folder):
 def monitored_tsv_file(spark, folder):
     path = scratch_dir(spark, "tsv")
     sinks.write_monitored_tsv(Q.monitored_occurrences(spark, store(spark, folder), "inaturalist"), path)
-    return spark.read.text(path).withColumnRenamed("value", "line").distinct()
+    return spark.read.text(path).withColumnRenamed("value", "line")
 
 
 @query

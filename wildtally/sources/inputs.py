@@ -14,8 +14,9 @@ def read_occurrences(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_traits(spark: SparkSession, pattern: str) -> DataFrame:
-    """CSV files of (taxon, trait, value) with a header line."""
-    return spark.read.schema(schemas.TRAIT).option("header", True).option("enforceSchema", False).csv(pattern)
+    """CSV files of (taxon, trait, value) with a header line; a value that is no number fails the query."""
+    reader = spark.read.schema(schemas.TRAIT).option("header", True).option("enforceSchema", False)
+    return reader.option("mode", "FAILFAST").csv(pattern)
 
 
 def read_id_lists(spark: SparkSession, root: str, name: str = "all.tsv") -> DataFrame:

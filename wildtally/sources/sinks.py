@@ -1,21 +1,15 @@
-"""Results as TSV and JSON files."""
+"""Results as TSV and JSON files.
+
+A TSV result is a folder of parts in order: the first line of the first part is the header, and the
+rows follow in the full order of their table, however many parts there are.
+"""
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wildtally.functions.lines import checklist_fields, monitored_fields, occurrence_fields
-
-# No quoting and no escaping: the writer's defaults would trim, quote and escape.
-_TSV = {
-    "sep": "\t",
-    "header": True,
-    "quote": "\u0000",
-    "escapeQuotes": False,
-    "emptyValue": "",
-    "nullValue": "",
-    "ignoreLeadingWhiteSpace": False,
-    "ignoreTrailingWhiteSpace": False,
-}
+from wildtally.functions.text import tabbed
+from wildtally.operators.limits import order_of
 
 
 def _one_line(value: Column) -> Column:
@@ -23,20 +17,25 @@ def _one_line(value: Column) -> Column:
     return F.translate(value.cast("string"), "\t\r\n", "   ")
 
 
-def _write_tsv(rows: DataFrame, fields: dict[str, Column], path: str) -> None:
-    rows.select(*[_one_line(c).alias(name) for name, c in fields.items()]).write.options(**_TSV).csv(path)
+def _write_tsv(rows: DataFrame, fields: dict[str, Column], path: str, kind: str) -> None:
+    """A range sort of all lines, the header's key before all others, so no task holds the whole file."""
+    line = tabbed(*[_one_line(c) for c in fields.values()])
+    lines = rows.select("*", line.alias("_line"), F.lit(1).alias("_place"))
+    header = rows.sparkSession.range(1).select(F.lit("\t".join(fields)).alias("_line"), F.lit(0).alias("_place"))
+    every = lines.unionByName(header, allowMissingColumns=True)
+    every.orderBy("_place", *order_of(kind)).select("_line").write.text(path)
 
 
 def write_checklist_tsv(rows: DataFrame, path: str) -> None:
-    _write_tsv(rows, checklist_fields(), path)
+    _write_tsv(rows, checklist_fields(), path, "checklist")
 
 
 def write_occurrences_tsv(rows: DataFrame, path: str) -> None:
-    _write_tsv(rows, occurrence_fields(), path)
+    _write_tsv(rows, occurrence_fields(), path, "occurrence")
 
 
 def write_monitored_tsv(rows: DataFrame, path: str) -> None:
-    _write_tsv(rows, monitored_fields(), path)
+    _write_tsv(rows, monitored_fields(), path, "monitored")
 
 
 def write_json(documents: DataFrame, path: str) -> None:

@@ -7,7 +7,9 @@ before its commit leaves the old data in place, and running it again gives the s
 
 ``load`` is the last partition level of the two record tables: ``full`` for a complete
 computation, ``batch-N`` for the N-th batch of a stream, so that a replayed batch overwrites
-itself. Tables without that level are read just as well.
+itself. In the table of ids, which is laid out by archive, the UUID of the selector follows after a
+dash: each selector owns its files there too, and saving one leaves those of all others alone.
+Tables without that level are read just as well.
 """
 
 from functools import reduce
@@ -98,16 +100,23 @@ def _among(rows: DataFrame, keys: DataFrame, how: str = "left_semi") -> DataFram
     return rows.join(renamed, reduce(and_, conditions), how)
 
 
-def _replace(rows: DataFrame, base: str, name: str, keys: DataFrame, folder: str = "") -> None:
-    """Write ``rows``; afterwards drop the folders among ``keys`` that held rows only before."""
+# The selector that a file belongs to, in its path.
+_OWNER = "/(?:uuid=|load=[^/]*-)([0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12})/"
+
+
+def _replace(rows: DataFrame, base: str, name: str, owners: DataFrame, folder: str = "") -> None:
+    """Write ``rows``; afterwards drop the folders of ``owners`` (uuid) that held rows only before."""
     spark = rows.sparkSession
     if _open(spark, base, name, folder) is None:
         _write(rows, base, name)
         return
 
     def files():
-        located = read_table(spark, base, name, folder).withColumn("_file", F.col("_metadata.file_path"))
-        return _among(located, keys).select("_file").distinct()
+        # A listing, one row per file; no content is read.
+        listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet")
+        paths = listed.load(f"{base}/{name}{folder}").select(F.col("path").alias("_file"))
+        owned = paths.withColumn("uuid", F.regexp_extract("_file", _OWNER, 1))
+        return _among(owned, owners.select("uuid")).select("_file")
 
     before = checkpoint(files())
     _write(rows, base, name)
@@ -140,7 +149,7 @@ def _occurrence_rows(matched: DataFrame, load: str) -> DataFrame:
 
 
 def _monitored_rows(matched: DataFrame, load: str) -> DataFrame:
-    columns = day_partitions(F.col("added")) | {"load": F.lit(load)}
+    columns = day_partitions(F.col("added")) | {"load": F.concat_ws("-", F.lit(load), F.col("uuid"))}
     rows = matched.withColumns(columns).withColumn("monitorUUID", F.col("uuid"))
     return rows.select(F.col("id").alias("occurrenceId"), "monitorUUID", *PARTITIONS[MONITORED])
 
@@ -151,22 +160,8 @@ def save_occurrences(matched: DataFrame, base: str, selectors: DataFrame, uuid:
 
 
 def save_monitored(matched: DataFrame, base: str, selectors: DataFrame) -> None:
-    """The ids of the same occurrences, by archive.
-
-    A folder holds the ids of many selectors, so those of other selectors are carried over in
-    every folder that is written again.
-    """
-    spark = matched.sparkSession
-    rows = _monitored_rows(matched, FULL_LOAD)
-    chosen = selectors.select(F.col("uuid").alias("monitorUUID"))
-    old = _open(spark, base, MONITORED)
-    if old is None:
-        _write(rows, base, MONITORED)
-        return
-    folders = _among(old, chosen).select(*PARTITIONS[MONITORED]).unionByName(rows.select(*PARTITIONS[MONITORED]))
-    folders = checkpoint(folders.distinct())
-    kept = _among(_among(old, chosen, "left_anti"), folders)
-    _replace(rows.unionByName(kept), base, MONITORED, folders)
+    """The ids of the same occurrences, by archive; reads and writes nothing of other selectors."""
+    _replace(_monitored_rows(matched, FULL_LOAD), base, MONITORED, selectors)
 
 
 def add_occurrences(matched: DataFrame, base: str, load: str) -> None:
