@@ -10,9 +10,12 @@ document under its rarest values (as many as the pair may differ in, and one mor
 large part of the corpus shares thus make no lists, unless a document consists mostly of them.
 
 Within a list nobody is compared with everybody. The list's most central document, the one whose
-values are most common, is compared with all others. Whoever is then in one component with it needs
-no further comparison there; the rest is compared again with the next centre, and what is left after
-``STAR_ROUNDS`` with the members of other components.
+values are most common, is compared with all others. Members of one component then need no further
+comparison; those outside the list's largest component are compared with the members of other
+components, as long as they are few. Documents of lists where they are not (the documents share a
+passage that is everywhere, and it makes up half of them) are listed again by their full sets. There the
+rule is exact: two sets are alike only if they meet among the rarest quarter of the larger and the
+rarest seventh of the smaller.
 """
 
 import numpy as np
@@ -23,14 +26,15 @@ from pyspark.sql import functions as F
 from wildtally.llm.components import connected
 from wildtally.llm.tables import settings, written
 from wildtally.llm.tokens import Words, blobs, slices
-from wildtally.operators.sizes import measured
+from wildtally.operators.sizes import measured, small_side
 
 SHINGLE = 5
 PERCENT = 75
 # Sketch size, and how many values two linked documents share at least if both sketches are full.
 # The number shared is at least binomial (K, 0.75): below SHARED with a chance of about 1e-10.
 K, SHARED = 128, 64
-STAR_ROUNDS = 3
+# Members outside its largest component that a list may have to be settled by comparisons.
+OUTSIDERS = 16
 # Full sets that are checked against one centre in one group.
 CHUNK = 128
 
@@ -84,17 +88,35 @@ def _full(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), blobs(parts)], schema=_SET)
 
 
-def _listed(classes: DataFrame) -> DataFrame:
-    """``v, id, n, score``: the lists. ``score``: how common a document's values are in all."""
-    values = classes.select("id", "n", F.explode("sketch").alias("v"))
+_MEMBERS = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("members", pa.list_(pa.int64()))])
+
+
+def _members(batches):
+    for batch in slices(batches):
+        rows, values = _sets(Words(batch.column(1), folded=True))
+        bounds = np.searchsorted(rows, np.arange(batch.num_rows + 1))
+        members = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values.view(np.int64)))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(bounds)), members], schema=_MEMBERS)
+
+
+def _listed(values: DataFrame, full: bool) -> DataFrame:
+    """The lists ``v, id, n, score, low`` of ``values`` (id, n, v): each document under its rarest values.
+
+    ``score``: how common a document's values are in all; ``low``: whether the value is among those
+    that it has to share with a larger set.
+    """
     often = written(values.groupBy("v").agg(F.count("*").alias("often")).filter("often > 1"), "often")
-    size = F.least(F.col("n"), F.lit(K))
-    needed = F.when(F.col("n") < K, F.ceil(F.lit(PERCENT) * F.col("n") / 100)).otherwise(F.lit(SHARED))
+    size, needed = F.col("n"), F.ceil(F.lit(PERCENT) * F.col("n") / 100)
+    if not full:
+        size = F.least(F.col("n"), F.lit(K))
+        needed = F.when(F.col("n") < K, needed).otherwise(F.lit(SHARED))
     per_doc = values.join(often, "v").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("often", "v"))).alias("have"))
-    room = size - needed + 1 - (size - F.size("have"))  # values found only here come first and need no list
-    kept = per_doc.withColumn("room", room.cast("int")).filter("room > 0")
+    alone = size - F.size("have")  # values found only here come first and need no list
+    kept = per_doc.withColumn("room", (size - needed + 1 - alone).cast("int")).filter("room > 0")
+    short = size - F.ceil(F.lit(2 * PERCENT) * size / (100 + PERCENT)) + 1 - alone if full else F.col("room")
     score = F.expr("aggregate(have, 0L, (s, x) -> s + x.often)")
-    return kept.select("id", "n", score.alias("score"), F.explode(F.slice("have", 1, F.col("room"))).alias("have")).selectExpr("have.v AS v", "id", "n", "score")
+    kept = kept.select("id", "n", score.alias("score"), short.alias("short"), F.posexplode(F.slice("have", 1, F.col("room"))).alias("at", "have"))
+    return kept.selectExpr("have.v AS v", "id", "n", "score", "at < short AS low")
 
 
 def _alike(a: str, b: str, slack: bool):
@@ -140,9 +162,12 @@ def _shared(a: np.ndarray, b: np.ndarray) -> int:
 
 def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a: centre, b) that the sketches let through and full sets confirm."""
+    pairs = written(pairs.distinct(), "pairs")
+    many = pairs.count()
     sketches = classes.select("id", F.struct("n", "sketch").alias("s"))
-    pairs = pairs.join(sketches.selectExpr("id AS a", "s AS x"), "a").join(sketches.selectExpr("id AS b", "s AS y"), "b")
-    pairs = written(pairs.filter(_alike("x", "y", True)).select("a", "b").distinct(), "pairs")
+    pairs = sketches.selectExpr("id AS a", "s AS x").join(small_side(pairs, many, 0), "a")
+    pairs = sketches.selectExpr("id AS b", "s AS y").join(small_side(pairs, many, 8 * (K + 8) * many), "b")
+    pairs = written(pairs.filter(_alike("x", "y", True)).select("a", "b"), "alike")
     parts = pairs.groupBy("a").agg(F.count("*").alias("many")).withColumn("parts", F.ceil(F.col("many") / CHUNK))
     wanted = written(pairs.select(F.col("b").alias("doc_id")).unionAll(parts.select("a")).distinct(), "wanted")
     sets = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(measured(wanted), "doc_id", "left_semi")
@@ -153,6 +178,33 @@ def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     return rows.repartition("a", "part").sortWithinPartitions("a", "part", "rank").mapInArrow(_confirmed, "a long, b long")
 
 
+def _may_be():
+    """Whether sizes and places in the lists let ``id`` and ``a`` be alike."""
+    return _alike("n", "an", False) & F.expr("IF(n < an, low, IF(n > an, alow, low AND alow))")
+
+
+def _stars(lists: DataFrame) -> DataFrame:
+    """Pairs (a, b) of the most central member of each list and each other one that may be alike."""
+    centre = F.max_by(F.struct(F.col("id").alias("a"), F.col("n").alias("an"), F.col("low").alias("alow")), F.struct("score", -F.col("id")))
+    picked = written(lists.groupBy("v").agg(centre.alias("c"), F.count("*").alias("many")).filter("many > 1").select("v", "c.*"), "centres")
+    return lists.join(picked, "v").filter(F.expr("id != a") & _may_be()).select("a", F.col("id").alias("b"))
+
+
+def _across(lists: DataFrame, component: DataFrame, limit: int | None) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) across the components of each list, and the ids of lists with more than ``limit`` outsiders."""
+    now = lists.join(component.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    now = written(now, "current")
+    sizes = now.groupBy("v", "component").agg(F.count("*").alias("c")).groupBy("v")
+    sizes = sizes.agg((F.sum("c") - F.max("c")).alias("outside"), F.max_by("component", F.struct("c", -F.col("component"))).alias("main")).filter("outside > 0")
+    hard = F.lit(False) if limit is None else F.col("outside") > limit
+    sizes = written(sizes.select("v", "main", hard.alias("hard")), "open")
+    rows = written(now.join(sizes, "v"), "members")
+    outside = rows.filter("NOT hard AND component != main")
+    others = rows.filter("NOT hard").selectExpr("v", "id AS a", "n AS an", "low AS alow", "component AS ac")
+    pairs = outside.join(others, "v").filter(F.expr("component != ac AND (ac = main OR component < ac)") & _may_be())
+    return pairs.selectExpr("greatest(a, id) AS a", "least(a, id) AS b"), rows.filter("hard").select("id").distinct()
+
+
 def components(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs`` (doc_id, text).
 
@@ -168,42 +220,26 @@ def components(docs: DataFrame) -> DataFrame:
     known = rows.filter("n > 0 AND doc_id IS NOT NULL")
     classes = known.groupBy("set_key", "n").agg(F.min("doc_id").alias("id"), F.min_by("sketch", "doc_id").alias("sketch"))
     classes = written(classes, "classes")
-    lists = written(_listed(classes), "lists")
-    # Documents of one class, and rows of one doc_id, hang together without a comparison.
-    ids = known.join(classes.select("set_key", "n", "id"), ["set_key", "n"]).selectExpr("doc_id AS a", "id AS b").filter("a != b").distinct()
-    links = written(ids, "ids")
+    lists = written(_listed(classes.select("id", "n", F.explode("sketch").alias("v")), False), "lists")
+    links = written(_links(_stars(lists), classes, docs), "links")
     component = connected(links)
-    best = F.max_by("id", F.struct("score", -F.col("id")))
-    for turn in range(STAR_ROUNDS + 1):
-        current = written(lists.join(component.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id")), "current")
-        mixed = current.groupBy("v").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("v")
-        if turn == 0:
-            open_rows = current.join(mixed, "v")
-            pick = open_rows.groupBy("v").agg(best.alias("a"))
-        else:  # the members that are in no component with an earlier centre
-            open_rows = current.join(mixed, "v").join(centres.selectExpr("v", "of AS centre_of"), "v").join(  # noqa: F821
-                component.selectExpr("node AS centre_of", "component AS settled"), "centre_of", "left"
-            )
-            loose = open_rows.filter("component != coalesce(settled, centre_of)")
-            pick = loose.groupBy("v").agg(best.alias("a"))
-        if turn < STAR_ROUNDS:
-            centre = written(pick.join(current.selectExpr("id AS a", "v", "n AS an", "component AS ac"), ["v", "a"]), "centres")
-            if centre.isEmpty():
-                break
-            pairs = current.join(centre, "v").filter("component != ac").filter(_alike("n", "an", False)).select("a", F.col("id").alias("b")).distinct()
-            centres = centre.selectExpr("v", "a AS of")
-        else:
-            others = current.selectExpr("v", "id AS a", "n AS an", "component AS ac")
-            pairs = loose.join(others, "v").filter("component != ac").filter(_alike("n", "an", False)).selectExpr("greatest(a, id) AS a", "least(a, id) AS b").distinct()
-        found = written(_links(pairs, classes, docs), "found")
-        if not found.isEmpty():
-            links = written(links.unionAll(found), "links")
-            component = connected(links)
+    pairs, hard = _across(lists, component, OUTSIDERS)
+    links = written(links.unionAll(_links(pairs, classes, docs)), "links")
+    hard = measured(written(hard, "hard"))
+    if not hard.isEmpty():
+        texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(hard, "id", "left_semi")
+        sets = texts.mapInArrow(_members, "id long, n long, members array<long>")
+        values = written(sets.select("id", "n", F.explode("members").alias("v")).distinct(), "values")
+        pairs, _ = _across(_listed(values, True), connected(links), None)
+        links = written(links.unionAll(_links(pairs, classes, docs)), "links")
+    # Documents of one class, and rows of one doc_id, hang together without a comparison.
+    same = known.join(classes.select("set_key", "n", "id"), ["set_key", "n"]).selectExpr("doc_id AS a", "id AS b").filter("a != b")
+    component = connected(links.unionAll(same))
     out = rows.select("doc_id", F.col("n").alias("n_shingles")).join(component.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.expr("coalesce(component, doc_id) <=> doc_id").alias("kept"))
 
 
 def without_near_dups(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` of which no near duplicate has a smaller doc_id; all columns stay."""
-    gone = written(components(docs).filter("NOT kept").select(F.col("doc_id").alias("gone")).distinct(), "gone")
-    return docs.join(measured(gone), F.col("doc_id").cast("long") == F.col("gone"), "left_anti")
+    gone = written(components(docs).filter("NOT kept").select("doc_id").distinct(), "gone")
+    return docs.join(measured(gone), "doc_id", "left_anti").select(*docs.columns)
