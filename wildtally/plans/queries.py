@@ -38,12 +38,12 @@ def _checklist(spark, base, found, limit, compute):
 
 
 def checklist(spark, base, selector=None, uuid=None, limit=PREVIEW, compute=None) -> DataFrame:
-    """(taxonPath, recordCount), most frequent first."""
+    """(taxonPath, recordCount); with a limit the most frequent first, without one in no order."""
     return _checklist(spark, base, resolve(spark, selector, uuid), limit, compute)
 
 
 def checklist_tsv(spark, base, selector=None, uuid=None, limit=None, compute=None) -> DataFrame:
-    """The same with the taxon name, under the column names of the TSV file."""
+    """The same with the taxon name, under the column names of the TSV file (which is written in order)."""
     return _named(checklist(spark, base, selector, uuid, limit, compute), lines.checklist_fields())
 
 

@@ -1,5 +1,6 @@
 """Session settings the library relies on, and the shared scratch folder."""
 
+import re
 import tempfile
 import uuid
 
@@ -25,7 +26,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     shared = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     shared = shared or context.getCheckpointDir()
     if shared is None:
-        if not context.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):  # local-cluster has executors of its own
             raise RuntimeError("spark.checkpoint.dir has to name a shared folder")
         shared = tempfile.mkdtemp(prefix="wildtally-")
     if context.getCheckpointDir() is None:
