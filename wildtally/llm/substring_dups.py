@@ -4,7 +4,8 @@ Every window is hashed (Rabin-Karp over word hashes) and dealt to a bucket by a
 windows are taken as equal if both agree. Hashes travel as packed blocks, one per buffer of documents
 and bucket: within a buffer only the earliest of equal windows is sent, so a passage that is everywhere
 arrives once per buffer. The task of a bucket finds the earliest window of each hash; the others are
-sent back to their documents, where covered words merge into maximal intervals.
+sent back, packed again, to the groups of their documents, where covered words merge into maximal
+intervals.
 
 Documents with the same word sequence are settled before: only the first of them sends windows.
 """
@@ -17,12 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wildtally.llm.tables import settings, written
-from wildtally.llm.tokens import SECOND_BASE, WORD_BASE, Words, slices
+from wildtally.llm.tokens import SECOND_BASE, WORD_BASE, Words, mixed, slices
 from wildtally.operators.sizes import measured
 
 WINDOW = 20
 # Windows that one task of a bucket sorts at a time, and windows that a mapper holds before it sends.
-BUCKET_WINDOWS, BUFFER_WINDOWS = 1_000_000, 1_500_000
+BUCKET_WINDOWS, BUFFER_WINDOWS = 500_000, 600_000
 
 _SEEN = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("text_key", pa.int64()), ("second_key", pa.int64()), ("kept_sha256", pa.string())])
 
@@ -42,8 +43,8 @@ def _seen(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words.counts()), *keys, pa.array(digests)], schema=_SEEN)
 
 
-# bucket; and for each document in it: doc_id, text_key, number of windows; and for each window: start, hash
-_BLOCK = pa.schema([("bucket", pa.int64()), ("docs", pa.binary()), ("starts", pa.binary()), ("hashes", pa.binary())])
+# bucket; and for each window: document (id as the difference to the one before, key), start, hash
+_BLOCK = pa.schema([("bucket", pa.int64()), ("docs", pa.binary()), ("hashes", pa.binary())])
 _REPEATS = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("starts", pa.binary())])
 
 
@@ -53,10 +54,16 @@ def _runs(owners: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, np.diff(np.concatenate([first, [len(owners)]]))
 
 
-def _packed(ids, owners, starts):
-    first, lengths = _runs(owners)
-    own = ids[owners[first]]
-    return np.column_stack([own, lengths]).astype(np.int64).tobytes(), starts.astype(np.uint32).tobytes()
+def _packed(own: np.ndarray, starts: np.ndarray) -> bytes:
+    """Documents (id, key) and starts of windows that are sorted by these."""
+    parts = np.diff(own[:, 0], prepend=0).tobytes(), own[:, 1].tobytes(), starts.astype(np.int64).tobytes()
+    return len(own).to_bytes(8, "little") + pa.compress(b"".join(parts), codec="zstd", asbytes=True)
+
+
+def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = int.from_bytes(blob[:8], "little")
+    steps, keys, starts = np.frombuffer(pa.decompress(blob[8:], 24 * n, codec="zstd", asbytes=True), dtype=np.int64).reshape(3, n)
+    return np.column_stack([np.cumsum(steps), keys]), starts
 
 
 def _blocks(buckets: int):
@@ -81,13 +88,13 @@ def _blocks(buckets: int):
         again &= ~same
         rows = []
         if again.any():
-            rows.append((turn % buckets, *_packed(ids, owners[again], starts[again]), b""))
+            rows.append((turn % buckets, _packed(ids[owners[again]], starts[again]), b""))
         fresh = np.flatnonzero(~again)
         fresh = fresh[np.argsort(bucket[fresh], kind="stable")]
         cuts = np.searchsorted(bucket[fresh], np.arange(buckets + 1))
         for k in np.flatnonzero(np.diff(cuts)):
             some = fresh[cuts[k] : cuts[k + 1]]
-            rows.append((int(k), *_packed(ids, owners[some], starts[some]), hashes[some].tobytes()))
+            rows.append((int(k), _packed(ids[owners[some]], starts[some]), hashes[some].tobytes()))
         return pa.RecordBatch.from_pylist([dict(zip(_BLOCK.names, r)) for r in rows], schema=_BLOCK)
 
     def blocks(batches):
@@ -97,7 +104,7 @@ def _blocks(buckets: int):
             at, hashes = words.windows(WINDOW)
             _, seconds = words.windows(WINDOW, SECOND_BASE)
             owners = words.rows()[at]
-            ids = np.column_stack([batch.column(0).to_numpy(zero_copy_only=False), words.whole().view(np.int64)])
+            ids = np.column_stack([batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 2)])
             held.append((ids, owners, at - words.bounds[:-1][owners], hashes, seconds))
             size += len(at)
             if size >= BUFFER_WINDOWS:
@@ -109,35 +116,50 @@ def _blocks(buckets: int):
     return blocks
 
 
-def _judged(table: pa.Table) -> pa.Table:
-    """The windows of one bucket that are not the earliest of their hash, per document."""
-    ids, starts, hashes, done = [], [], [], []
-    for docs, start, block in zip(*(table.column(k) for k in ("docs", "starts", "hashes"))):
-        run = np.frombuffer(docs.as_buffer(), dtype=np.int64).reshape(-1, 3)
-        own, begin = np.repeat(run[:, :2], run[:, 2], axis=0), np.frombuffer(start.as_buffer(), dtype=np.uint32)
-        block = np.frombuffer(block.as_buffer(), dtype=np.uint64)
-        if len(block):
-            ids.append(own), starts.append(begin), hashes.append(block)
-        else:
-            done.append((own, begin))
-    out = list(done)
-    if hashes:
-        own, begin, values = np.concatenate(ids), np.concatenate(starts), np.concatenate(hashes)
-        order = np.lexsort((begin, own[:, 0], values))
-        own, begin, values = own[order], begin[order], values[order]
-        first, lengths = _runs(values)
-        lead = np.repeat(first, lengths)
-        late = (own[:, 0] != own[lead, 0]) | (begin != begin[lead])
-        out.append((own[late], begin[late]))
-    own, begin = (np.concatenate([x[k] for x in out]) for k in (0, 1))
+_LATE = pa.schema([("part", pa.int64()), ("docs", pa.binary())])
+
+
+def _judged(parts: int):
+    def judge(table: pa.Table) -> pa.Table:
+        """The windows of one bucket that are not the earliest of their hash, by the part of their document."""
+        fresh, out = [], []
+        for docs, block in zip(table.column("docs"), table.column("hashes")):
+            own, begin = _unpacked(docs.as_py())
+            values = np.frombuffer(block.as_buffer(), dtype=np.uint64)
+            (fresh if len(values) else out).append((own, begin, values))
+        if fresh:
+            own, begin, values = (np.concatenate([x[k] for x in fresh]) for k in range(3))
+            order = np.lexsort((begin, own[:, 0], values))
+            own, begin, values = own[order], begin[order], values[order]
+            first, lengths = _runs(values)
+            lead = np.repeat(first, lengths)
+            late = (own[:, 0] != own[lead, 0]) | (begin != begin[lead])
+            out.append((own[late], begin[late]))
+        own, begin = (np.concatenate([x[k] for x in out]) for k in range(2))
+        part = (mixed(own[:, 0].astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+        order = np.lexsort((begin, own[:, 1], own[:, 0], part))
+        own, begin, part = own[order], begin[order], part[order]
+        rows = []
+        for a, n in zip(*_runs(part)):
+            rows.append({"part": int(part[a]), "docs": _packed(own[a : a + n], begin[a : a + n])})
+        return pa.Table.from_pylist(rows, schema=_LATE)
+
+    return judge
+
+
+def _merged(table: pa.Table) -> pa.Table:
+    """The late windows of each document of one part."""
+    own, begin = (np.concatenate(x) for x in zip(*(_unpacked(docs.as_py()) for docs in table.column("docs"))))
     order = np.lexsort((begin, own[:, 1], own[:, 0]))
     own, begin = own[order], begin[order]
-    first, lengths = _runs(own[:, 0]) if not len(own) else _runs_of_pairs(own)
-    parts = [begin[a : a + n].tobytes() for a, n in zip(first, lengths)]
-    return pa.Table.from_arrays([pa.array(own[first, 0]), pa.array(own[first, 1]), pa.array(parts, pa.binary())], schema=_REPEATS)
+    first, lengths = _runs_of_pairs(own)
+    starts = [begin[a : a + n].astype(np.uint32).tobytes() for a, n in zip(first, lengths)]
+    return pa.Table.from_arrays([pa.array(own[first, 0]), pa.array(own[first, 1]), pa.array(starts, pa.binary())], schema=_REPEATS)
 
 
 def _runs_of_pairs(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if not len(own):
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
     change = np.concatenate([[True], np.any(own[1:] != own[:-1], axis=1)])
     first = np.flatnonzero(change)
     return first, np.diff(np.concatenate([first, [len(own)]]))
@@ -169,9 +191,9 @@ _CUT = pa.schema(
 def _cut(batches):
     for batch in batches:
         out = []
-        for doc, key, text, blocks in zip(*(batch.column(i) for i in range(4))):
+        for doc, key, text, starts in zip(*(batch.column(i) for i in range(4))):
             words = (text.as_py() or "").encode().split()
-            spans = intervals(np.concatenate([np.frombuffer(x.as_buffer(), dtype=np.uint32) for x in blocks]))
+            spans = intervals(np.frombuffer(starts.as_buffer(), dtype=np.uint32))
             keep, at = [], 0
             for a, b in spans:
                 keep += words[at:a]
@@ -182,13 +204,13 @@ def _cut(batches):
         yield pa.RecordBatch.from_pylist([dict(zip(_CUT.names, r)) for r in out], schema=_CUT)
 
 
-_KEYED = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("text", pa.string())])
+_KEYED = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("text_key", pa.int64())])
 
 
 def _keyed(batches):
     for batch in slices(batches):
         keys = Words(batch.column(1)).whole().view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys), batch.column(1)], schema=_KEYED)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys)], schema=_KEYED)
 
 
 def remove_repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -209,19 +231,21 @@ def remove_repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     seen = written(texts.mapInArrow(_seen, "doc_id long, n_words long, text_key long, second_key long, kept_sha256 string"), "seen")
     firsts = seen.filter(F.col("n_words") >= WINDOW).groupBy("text_key", "second_key").agg(F.min("doc_id").alias("first"), F.count("*").alias("many")).filter("many > 1")
     copies = written(seen.join(firsts, ["text_key", "second_key"]).filter("doc_id != first").select("doc_id", "text_key").distinct(), "copies")
-    copy_ids = measured(copies.groupBy("doc_id").agg(F.count("*").alias("texts")).select("doc_id"))
     total = seen.agg(F.coalesce(F.sum("n_words"), F.lit(0)).alias("n")).first().n
     buckets = max(1, -(-total // BUCKET_WINDOWS))
-    if copies.join(seen.select("doc_id", F.col("text_key").alias("other")), "doc_id").filter("other != text_key").isEmpty():
-        sending = texts.join(copy_ids, "doc_id", "left_anti")
-    else:  # an id with several texts: the copies among them are found by text
-        sending = texts.mapInArrow(_keyed, _KEYED_DDL).join(copies, ["doc_id", "text_key"], "left_anti").select("doc_id", "text")
-    blocks = sending.mapInArrow(_blocks(buckets), "bucket long, docs binary, starts binary, hashes binary")
-    repeats = written(blocks.groupBy("bucket").applyInArrow(_judged, "doc_id long, text_key long, starts binary"), "repeats")
-    late = repeats.groupBy("doc_id", "text_key").agg(F.collect_list("starts").alias("blocks"))
+    several = written(seen.groupBy("doc_id").agg(F.min("text_key").alias("lo"), F.max("text_key").alias("hi")).filter("lo != hi").select("doc_id"), "several")
+    if several.isEmpty():  # then the id alone tells a document, and its key travels as 0
+        key = lambda rows: rows.withColumn("text_key", F.lit(0).cast("long"))
+        texts = key(texts).select("doc_id", "text", "text_key")
+        seen, copies = key(seen), key(copies)
+    else:
+        texts = texts.mapInArrow(_keyed, "doc_id long, text string, text_key long")
+    sending = texts.join(measured(copies), ["doc_id", "text_key"], "left_anti").select("doc_id", "text", "text_key")
+    blocks = sending.mapInArrow(_blocks(buckets), "bucket long, docs binary, hashes binary")
+    late = blocks.groupBy("bucket").applyInArrow(_judged(buckets), "part long, docs binary")
+    repeats = written(late.groupBy("part").applyInArrow(_merged, "doc_id long, text_key long, starts binary"), "repeats")
     touched = measured(written(repeats.select("doc_id").distinct(), "touched"))
-    keyed = texts.join(touched, "doc_id", "left_semi").mapInArrow(_keyed, _KEYED_DDL)
-    cut = keyed.join(late, ["doc_id", "text_key"]).select("doc_id", "text_key", "text", "blocks").mapInArrow(
+    cut = texts.join(touched, "doc_id", "left_semi").join(repeats, ["doc_id", "text_key"]).select("doc_id", "text_key", "text", "starts").mapInArrow(
         _cut, "doc_id long, text_key long, n_removed long, kept_sha256 string, kept string, removed array<struct<from: long, to: long>>"
     )
     cut = written(cut, "cut")
@@ -237,5 +261,3 @@ def remove_repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     return out, cut.select(given, "n_removed", "kept", "removed")
 
-
-_KEYED_DDL = "doc_id long, text_key long, text string"
