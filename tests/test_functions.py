@@ -117,6 +117,7 @@ def test_tsv_lines(spark):
     assert [g[0] for g in got] == ["some id\t", "another id\tsomeUUID"]
 
 
+# Selectors and their identifiers.
 DUCKS_AND_FROGS = (
     "Anas|Anura",
     "POLYGON ((-72.147216796875 41.492120839687786, -72.147216796875 43.11702412135048, "

@@ -9,6 +9,9 @@ from wildtally.functions.taxa import last_taxon, taxon_name
 from wildtally.functions.text import or_empty, tabbed
 
 
+# The column names of the TSV files, below, and the keys of the JSON items.
+
+
 def checklist_fields(path=None, count=None) -> dict[str, Column]:
     path = F.col("taxonPath") if path is None else path
     count = F.col("recordCount") if count is None else count

@@ -66,6 +66,7 @@ def pick_uuid(uuid: Column, taxa: Column, wkt: Column, traits: Column) -> Column
 
 def valid_taxa(taxa: Column) -> Column:
     """Letters, commas, bars and white space only; an empty list is valid."""
+    # Fixed value: the form of a list.
     return F.coalesce(taxa.rlike(r"^[a-zA-Z,|\s]*\z"), F.lit(False))
 
 

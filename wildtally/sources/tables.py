@@ -28,6 +28,7 @@ from wildtally.operators.sizes import measured
 from wildtally.schemas import DAY_PARTITION, SELECTOR_PARTITION
 from wildtally.session import checkpoint
 
+# The names of the tables.
 CHECKLIST = "checklist"
 OCCURRENCE = "occurrence"
 SUMMARY = "occurrence-summary"
