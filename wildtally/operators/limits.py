@@ -26,7 +26,8 @@ def first_rows(rows: DataFrame, kind: str, limit: int | None) -> DataFrame:
     """The first ``limit`` rows in the full order of the table, so that the answer repeats.
 
     No limit means all rows, without a sort. A small limit is a top-k. A large one is a range
-    sort whose rows are counted per partition, so no task ever holds the whole answer.
+    sort whose rows are counted per partition, so no task ever holds the whole answer; the sort
+    runs here already, and its rows come in no order.
     """
     if limit is None:
         return rows
@@ -39,9 +40,9 @@ def first_rows(rows: DataFrame, kind: str, limit: int | None) -> DataFrame:
 
 def _first_of_sorted(rows: DataFrame, limit: int) -> DataFrame:
     # The id holds the partition in its upper bits and the row's place in it below. The
-    # checkpoint fixes the ids: they are read twice.
-    ids = checkpoint(rows.withColumn("_id", F.monotonically_increasing_id()))
+    # checkpoint fixes the ids: they are read twice. No partition can give more than ``limit`` rows.
     part, place = F.shiftright("_id", 33), F.col("_id").bitwiseAND((1 << 33) - 1)
+    ids = checkpoint(rows.withColumn("_id", F.monotonically_increasing_id()).filter(place < limit))
     sizes = ids.groupBy(part.alias("_part")).agg(F.count("*").alias("_size"))
     # One row per partition of the sort: bounded by the number of shuffle partitions.
     before = F.coalesce(
