@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from wildtally.llm.components import connected
 from wildtally.llm.tables import settings, written
 from wildtally.llm.tokens import Words, blobs, slices
-from wildtally.operators.sizes import measured, small_side
+from wildtally.operators.sizes import measured
 
 SHINGLE = 5
 PERCENT = 75
@@ -163,10 +163,9 @@ def _shared(a: np.ndarray, b: np.ndarray) -> int:
 def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a: centre, b) that the sketches let through and full sets confirm."""
     pairs = written(pairs.distinct(), "pairs")
-    many = pairs.count()
     sketches = classes.select("id", F.struct("n", "sketch").alias("s"))
-    pairs = sketches.selectExpr("id AS a", "s AS x").join(small_side(pairs, many, 0), "a")
-    pairs = sketches.selectExpr("id AS b", "s AS y").join(small_side(pairs, many, 8 * (K + 8) * many), "b")
+    pairs = sketches.selectExpr("id AS a", "s AS x").join(pairs, "a")
+    pairs = sketches.selectExpr("id AS b", "s AS y").join(pairs, "b")
     pairs = written(pairs.filter(_alike("x", "y", True)).select("a", "b"), "alike")
     parts = pairs.groupBy("a").agg(F.count("*").alias("many")).withColumn("parts", F.ceil(F.col("many") / CHUNK))
     wanted = written(pairs.select(F.col("b").alias("doc_id")).unionAll(parts.select("a")).distinct(), "wanted")
