@@ -42,6 +42,24 @@ def test_brute_force(spark, monkeypatch, limits):
     assert told(near_dups.components(frame(spark, rows))) == brute(rows)
 
 
+def lost(spark, sizes):
+    """Of pairs of documents, one the beginning of the other, with set ``sizes``: those alike by 0.75 and not linked."""
+    rows, expected = [], []
+    for i, (a, b) in enumerate(sizes):
+        text = [f"p{i}w{j}" for j in range(b + near_dups.SHINGLE - 1)]
+        rows += [(2 * i, " ".join(text[: a + near_dups.SHINGLE - 1])), (2 * i + 1, " ".join(text))]
+        expected.append(100 * a >= 75 * b)
+    component = dict(tuples(near_dups.components(frame(spark, rows)), "doc_id", "component_id"))
+    linked = [component[2 * i] == component[2 * i + 1] for i in range(len(sizes))]
+    assert not any(y and not x for x, y in zip(expected, linked))
+    return [s for s, x, y in zip(sizes, expected, linked) if x and not y]
+
+
+def test_smaller_than_the_sketch(spark):
+    sizes = [(a, b) for a in range(110, 128) for b in range(128, 176) if 0.74 * b <= a <= 0.8 * b]
+    assert lost(spark, sizes * 3) == []
+
+
 def test_odd_ids(spark):
     rows = [(7, "a b c d e f"), (7, "a b c d e f"), (7, "x y z"), (9, "X y z"), (None, "a b c d e f"), (None, None)]
     found = tuples(near_dups.components(frame(spark, rows)), "doc_id", "n_shingles", "component_id", "kept")

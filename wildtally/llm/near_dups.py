@@ -109,7 +109,7 @@ def _listed(values: DataFrame, full: bool) -> DataFrame:
     size, needed = F.col("n"), F.ceil(F.lit(PERCENT) * F.col("n") / 100)
     if not full:
         size = F.least(F.col("n"), F.lit(K))
-        needed = F.when(F.col("n") < K, needed).otherwise(F.lit(SHARED))
+        needed = F.when(F.col("n") < K, F.least(needed, F.lit(SHARED))).otherwise(F.lit(SHARED))  # a larger set's sketch holds a part of it only
     per_doc = values.join(often, "v").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("often", "v"))).alias("have"))
     alone = size - F.size("have")  # values found only here come first and need no list
     kept = per_doc.withColumn("room", (size - needed + 1 - alone).cast("int")).filter("room > 0")
