@@ -60,6 +60,11 @@ def test_smaller_than_the_sketch(spark):
     assert lost(spark, sizes * 3) == []
 
 
+def test_sketches_past_half_of_the_values(spark):
+    sizes = [(a, b) for a in range(128, 200, 3) for b in range(170, 261) if 0.75 * b <= a <= 0.76 * b]
+    assert lost(spark, sizes * 10) == []
+
+
 def test_odd_ids(spark):
     rows = [(7, "a b c d e f"), (7, "a b c d e f"), (7, "x y z"), (9, "X y z"), (None, "a b c d e f"), (None, None)]
     found = tuples(near_dups.components(frame(spark, rows)), "doc_id", "n_shingles", "component_id", "kept")

@@ -68,7 +68,8 @@ def _sketched(batches):
         tops = np.minimum(bounds[:-1] + K, bounds[1:])
         offsets = np.concatenate([[0], np.cumsum(tops - bounds[:-1])])
         first = np.repeat(bounds[:-1] - offsets[:-1], np.diff(offsets)) + np.arange(offsets[-1])
-        sketch = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values[first].view(np.int64)))
+        signed = (values[first] ^ np.uint64(1 << 63)).view(np.int64)  # Spark sorts them in the order in which they were taken
+        sketch = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(signed))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(bounds)), blobs(keys), sketch], schema=_SKETCHED)
 
 
