@@ -43,6 +43,28 @@ def test_disguised():
         assert pii.plain(clean) == [] and pii.disguised(clean, []) == []
 
 
+def test_each_disguise_alone():
+    cases = {
+        "ask john.smith at example.com": [("email", "john.smith at example.com")],
+        "ask john.smith at example . com": [("email", "john.smith at example . com")],
+        "ask john.smith@example . com": [("email", "john.smith@example . com")],
+        "ask john.smith @ example.com": [("email", "john.smith @ example.com")],
+        "ask john@mail dot example dot it": [("email", "john@mail dot example dot it")],
+        "ask john at example dot it": [("email", "john at example dot it")],
+        "ask john at example dot museum today": [("email", "john at example dot museum")],
+        "ask jo (at) b.it": [("email", "jo (at) b.it")],
+        "one point two point three point four": [("ip", "one point two point three point four")],
+        "call plus 4 nine 1 five 1 two 3 four 5 six now": [("phone", "plus 4 nine 1 five 1 two 3 four 5 six")],
+        "four-1-one-1-one-1-one-1-one-1-one-1-one-1-one-1": [("card", "four-1-one-1-one-1-one-1-one-1-one-1-one-1-one-1")],
+    }
+    for text, expected in cases.items():
+        for around in ("{}", "{} and (at) last", "{} é"):
+            found = [(k, around.format(text)[a:b]) for k, a, b in pii.disguised(around.format(text), [])]
+            assert found == expected, text
+    for clean in ["look at the dot in the middle", "met me at noon dot dot dot then", "stay at this dot and go", " " * 300_000, "a.b@" * 20_000, "a at " + "b." * 50_000]:
+        assert pii.disguised(clean, []) == []
+
+
 def test_rows(spark):
     rows = [(1, "a@b.cd and 10.0.0.1, x (at) y (dot) zz"), (2, None), (3, ""), (None, "+1 (234) 555-1234"), (1, "clean"), (4, "1" * 50_000 + "@" + "." * 50_000)]
     found = {(r.doc_id, r.spans): r for r in pii.find(frame(spark, rows)).collect()}

@@ -76,16 +76,19 @@ class Aligned:
         self.ends = self.starts + 1 if ends is None else ends
 
     def rewrite(self, pattern: re.Pattern, write) -> "Aligned":
-        """Replace each match by ``write(match)``, all of whose characters stand for the whole match; None leaves it."""
+        """Replace each match by ``write(match)``; None leaves it."""
+        return self.replace((m.start(), m.end(), write(m)) for m in pattern.finditer(self.text))
+
+    def replace(self, edits) -> "Aligned":
+        """Replace each (start, end, new), in order; all characters of ``new`` stand for the whole span."""
         parts, starts, ends, at = [], [], [], 0
-        for m in pattern.finditer(self.text):
-            new = write(m)
-            if new is None or m.start() == m.end():
+        for a, b, new in edits:
+            if new is None or a == b:
                 continue
-            parts += [self.text[at : m.start()], new]
-            starts += [self.starts[at : m.start()], np.full(len(new), self.starts[m.start()])]
-            ends += [self.ends[at : m.start()], np.full(len(new), self.ends[m.end() - 1])]
-            at = m.end()
+            parts += [self.text[at:a], new]
+            starts += [self.starts[at:a], np.full(len(new), self.starts[a])]
+            ends += [self.ends[at:a], np.full(len(new), self.ends[b - 1])]
+            at = b
         if not parts:
             return self
         return Aligned("".join(parts) + self.text[at:], np.concatenate([*starts, self.starts[at:]]), np.concatenate([*ends, self.ends[at:]]))
@@ -102,10 +105,15 @@ _SPELLED = "|".join(_WORDS)
 _RUN = re.compile(rf"(?i)(?<!\w)(?:plus[ -])?(?:{_SPELLED}|[0-9]+)(?:(?: ?[-,.] ?| )(?:{_SPELLED}|dot|point|[0-9]+))+(?!\w)")
 _SPELLED_WORD = re.compile(rf"(?i)\b(?:{_SPELLED})\b")
 _TOKEN = re.compile(r"[A-Za-z]+|[0-9]+")
-_BRACKETED = re.compile(r"(?i)\s*[(\[{<]\s*(at|dot)\s*[)\]}>]\s*")
+# White space before a bracket is only looked at from its start: long runs of it cost no more than others.
+_BRACKETED = re.compile(r"(?i)(?:(?<!\s)\s++)?[(\[{<]\s*(at|dot)\s*[)\]}>]\s*")
+# After a spelled dot any letters are a top-level domain, unless the word before it makes it a thing ("at the dot and").
+_THING = "(?:the|an?|this|that|these|those|each|every|some|any|one|my|your|his|her|its|our|their|which|what|dot)(?![a-z0-9-])"
 _BARE = re.compile(
-    r"(?i)(?<![\w.%+-])([a-z0-9._%+-]+)(?: at | ?@ ?)((?:[a-z0-9-]+(?: dot |\.))*[a-z0-9-]+(?: dot | \. |\.)(?:com|org|net|edu|gov|info|io|de|fr|es|uk|eu))(?![\w-])"
+    r"(?i)(?<![\w.%+-])([a-z0-9._%+-]+)(?: at | ?@ ?)((?:[a-z0-9-]+(?: dot |\.))*"
+    rf"(?:[a-z0-9-]+(?: dot | \. |\.)(?:com|org|net|edu|gov|info|io|de|fr|es|uk|eu)|(?!{_THING})[a-z0-9-]+ dot (?!dot(?![\w-]))[a-z]{{2,63}}))(?![\w-])"
 )
+_JOINT = re.compile(r"(?i) at | ?@ ?| dot | \. ")
 
 
 def _looked(m):
@@ -138,26 +146,16 @@ def normalised(text: str) -> Aligned:
     if not _HINT.search(out.text):
         return out
     # Only the words between the parts of an address are rewritten, so the parts keep their places.
-    spans = [(m.start(), m.end()) for m in _BARE.finditer(out.text) if "@" not in m[1] and not re.fullmatch(r"[^@]+@[a-z0-9.-]+", m[0], re.I)]
-    for a, b in reversed(spans):
-        inner = Aligned(out.text[a:b], out.starts[a:b], out.ends[a:b])
-        inner = inner.rewrite(re.compile(r"(?i) at | ?@ ?"), lambda m: "@").rewrite(re.compile(r"(?i) dot | \. "), lambda m: ".")
-        out = Aligned(
-            out.text[:a] + inner.text + out.text[b:],
-            np.concatenate([out.starts[:a], inner.starts, out.starts[b:]]),
-            np.concatenate([out.ends[:a], inner.ends, out.ends[b:]]),
-        )
-    return out
+    spans = [m.span() for m in _BARE.finditer(out.text) if "@" not in m[1] and not re.fullmatch(r"[^@]+@[a-z0-9.-]+", m[0], re.I)]
+    joints = (m for a, b in spans for m in _JOINT.finditer(out.text, a, b))
+    return out.replace((m.start(), m.end(), "@" if m[0].strip().lower() in ("at", "@") else ".") for m in joints)
 
 
+# Every match of _BARE that is to be rewritten holds one of these.
 _HINT = re.compile(r"(?i) (?:at|dot|@|\.) | @|@ ")
-_DISGUISED = re.compile(rf"(?i){_STRANGE.pattern}|[(\[{{<]\s*(?:at|dot)\s*[)\]}}>]| dot | @|@ |\b(?:{_SPELLED})[ ,.-]+(?:{_SPELLED})\b")
-
 
 def disguised(text: str, known: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """Identifiers that show in the normalised text only, in source offsets."""
-    if not _DISGUISED.search(text):
-        return []
     form = normalised(text)
     if form.text == text:
         return []
