@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wildtally.llm import decontamination, fingerprints, language_model, licenses, main_text, near_dups, pieces, pii, substring_dups, toxicity
+from wildtally.llm import decontamination, fingerprints, language_model, licenses, main_text, near_dups, packing, pieces, pii, substring_dups, toxicity
 from wildtally.llm.tables import table
 
 _registered = {}
@@ -20,6 +20,13 @@ def model_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def word_vocabulary() -> str:
+    import public_tokenizers
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as file:
+        return file.read()
+
+
 def queries():
     return dict(_registered)
 
@@ -83,3 +90,8 @@ def op4_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op2_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
     return language_model.train_and_score(table(spark, folder, "documents"))
+
+
+@query
+def op13_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents"), word_vocabulary())
