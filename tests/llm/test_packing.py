@@ -76,12 +76,9 @@ def test_documents(spark, library, monkeypatch, ranges):
 
 CASES = {
     "uniform": lambda r: r.integers(1, 101, 3000),
-    "tiny": lambda r: r.integers(1, 4, 3000),
-    "one size": lambda r: np.full(1500, 34),
     "full": lambda r: np.full(300, 100),
-    "thirds": lambda r: r.integers(25, 55, 2000),
     "mixed": lambda r: np.concatenate([np.full(1000, 2), r.integers(45, 56, 500)]),
-    "single": lambda r: np.array([7]),
+    "short": lambda r: r.integers(1, 30, 900),
 }
 
 

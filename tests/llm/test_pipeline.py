@@ -44,5 +44,5 @@ def test_empty(spark, stage):
 
 
 def test_registered():
-    assert {q.split("_")[0] for q in driver.queries() if q.startswith("op")} == {f"op{i}" for i in range(1, 11)}
+    assert {q.split("_")[0] for q in driver.queries() if q.startswith("op")} == {f"op{i}" for i in range(1, 14)}
     assert decontamination.leaks and "pipeline" in driver.queries()

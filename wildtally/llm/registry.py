@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wildtally.llm import decontamination, fingerprints, language_model, licenses, main_text, near_dups, packing, pieces, pii, substring_dups, toxicity
+from wildtally.llm import conversation_trie, decontamination, fingerprints, language_model, licenses, main_text, manifest, near_dups, packing, pieces, pii, substring_dups, toxicity
 from wildtally.llm.tables import table
 
 _registered = {}
@@ -95,3 +95,19 @@ def op2_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op13_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), word_vocabulary())
+
+
+@query
+def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return manifest.manifest(table(spark, folder, "documents"))
+
+
+_oracles["op11_merkle_manifest"] = manifest.MANIFEST_SQL
+
+
+@query
+def op12_conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return conversation_trie.trie(table(spark, folder, "conversations"))
+
+
+_oracles["op12_conversation_trie"] = conversation_trie.TRIE_SQL
