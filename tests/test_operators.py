@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from conftest import DAY, MILLIS_2017_04_04, column
 from wildtally import schemas
+from wildtally.functions import cells
 from wildtally.operators import aggregates, filters, limits
 from wildtally.operators.matching import count_taxa, match_selectors, prepared, selector_index
 from wildtally.operators.traits import parsed_terms, trait_filter
@@ -46,6 +47,9 @@ def test_taxon_filter(spark, records):
     assert column(filters.taxon_filter(records, ["Anas", "Anura"]), "id") == ["a1", "a1", "a2", "b1", "b2"]
     assert column(filters.taxon_filter(records, ["Musca"]), "id") == ["c1", "c2", None]
     assert column(filters.taxon_filter(records, ["anas", "Mus", "Insecta|"]), "id") == []
+    # A term with a bar means the same however many there are: no element is equal to it.
+    for others in ([], [f"other {i}" for i in range(20)]):
+        assert column(filters.taxon_filter(records, ["Animalia|Insecta", *others]), "id") == []
     many = [f"x{i}" for i in range(30)] + ["Musca"]
     assert column(filters.taxon_filter(records, many), "id") == ["c1", "c2", None]
 
@@ -113,7 +117,7 @@ def test_many_selectors(spark, records, traits, limit):
 
 def test_hot_key_is_split(spark):
     """Half of all records in one cell, under one term: the shuffled match splits that partition."""
-    hot = spark.range(40000).selectExpr("'A|B' AS taxon", "1.5D AS lat", "2.5D AS lng", "id AS start", "CAST(id AS STRING) AS id", "0L AS added", "'s' AS source")
+    hot = spark.range(40000).selectExpr("'A|B' AS taxon", "1 + id / 40001D AS lat", "3 - id / 40001D AS lng", "id AS start", "CAST(id AS STRING) AS id", "0L AS added", "'s' AS source")
     other = hot.selectExpr("concat('A|', id % 50) AS taxon", "CAST(id % 60 AS DOUBLE) AS lat", "CAST(id % 170 AS DOUBLE) AS lng", "start", "concat('o', id) AS id", "added", "source")
     records = hot.unionByName(other).repartition(8)
     selectors = selectors_frame(spark, [("B", "ENVELOPE(2,3,2,1)", ""), ("A", "ENVELOPE(-1,30,30,-1)", "")] + [(str(i % 50), f"ENVELOPE({i},{i + 2},{i % 50 + 2},{i % 50})", "") for i in range(150)])
@@ -139,6 +143,20 @@ def test_hot_key_is_split(spark):
     assert sorted(shuffled) == sorted(broadcast)
 
 
+def test_thin_and_scattered_areas_have_no_world_cell(spark):
+    areas = ["ENVELOPE(-180,180,1,0)", "ENVELOPE(0,160,1,0)", "MULTIPOLYGON (((-90 0, -89 0, -89 1, -90 0)), ((90 0, 91 0, 91 1, 90 0)))"]
+    chosen = prepared(selectors_frame(spark, [("", wkt, "") for wkt in areas]))
+    assert chosen.rdd.getNumPartitions() > 1
+    found = {}
+    for row in selector_index(chosen).keys.collect():
+        found.setdefault(row.uuid, []).append(row.level)
+    assert len(found) == 3
+    for levels in found.values():
+        assert len(levels) <= cells.MAX_CELLS and max(levels) < cells.WORLD
+    # The two triangles of a degree each lie in a few cells of a degree.
+    assert any(set(levels) == {0} and len(levels) <= 12 for levels in found.values())
+
+
 def test_first_added(records):
     rows = {(r.source, r.id): r.added for r in aggregates.first_added(records).collect()}
     assert rows[("gbif", "a1")] == MILLIS_2017_04_04 and len(rows) == 8

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from wildtally.functions.taxa import rank_path
 from wildtally.selector import selectors_frame
+from wildtally.session import scratch_dir
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -40,15 +41,29 @@ def _columns():
     }
 
 
+_written: dict[tuple, str] = {}
+
+
+def _once(spark: SparkSession, folder: str, name: str, rows) -> DataFrame:
+    """Derived records as an archive: written in many parts by the first query of a session that needs them."""
+    key = (spark.sparkContext.applicationId, folder, name)
+    if key not in _written:
+        path = scratch_dir(spark, name)
+        # The source is one file of one row group: without a spread all later work on it is one task.
+        rows.repartition(4 * spark.sparkContext.defaultParallelism).write.parquet(path)
+        _written[key] = path
+    return spark.read.schema(rows.schema).parquet(_written[key])
+
+
 def occurrences(spark: SparkSession, folder: str) -> DataFrame:
-    return _ranked(spark, folder).select(*[c.alias(n) for n, c in _columns().items()])
+    return _once(spark, folder, "archive", _ranked(spark, folder).select(*[c.alias(n) for n, c in _columns().items()]))
 
 
 def ranked_occurrences(spark: SparkSession, folder: str) -> DataFrame:
     """Occurrences with one column per rank (some absent) and a flag for spatial issues."""
     columns = _columns()
     issue = F.when(F.col("l_linenumber") == 7, True).when(F.col("l_linenumber") != 6, False)
-    return _ranked(spark, folder).select(
+    rows = _ranked(spark, folder).select(
         F.col("r_name").alias("kingdom"),
         F.col("n_name").alias("phylum"),
         F.col("p_type").alias("class"),
@@ -61,6 +76,7 @@ def ranked_occurrences(spark: SparkSession, folder: str) -> DataFrame:
         columns["id"].alias("id"),
         issue.alias("hasSpatialIssue"),
     )
+    return _once(spark, folder, "ranked", rows)
 
 
 def traits(spark: SparkSession, folder: str) -> DataFrame:

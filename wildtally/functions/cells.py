@@ -1,15 +1,20 @@
-"""A fixed grid of square cells at four sizes, used as join key between points and areas.
+"""A fixed hierarchy of square cells, used as join key between points and areas.
 
-The number of cells is fixed (about 68,000 over all sizes), whatever the data. All functions
-give SQL text; their arguments are column names or SQL expressions.
+An area is covered from the world down: cells that lie inside it stay as large as they are, cells that its
+rim passes through are cut into smaller ones as long as the whole cover has few cells. So the number of
+cells is bounded whatever the shape, and thin or scattered areas have small cells where they are.
+
+The number of cells there are is fixed (about 68,000 over all sizes), whatever the data. All functions give
+SQL text; their arguments are column names or SQL expressions.
 """
 
-# Cell sizes in degrees; the last one takes in the whole world.
-SIZES = [1, 5, 30, 1000]
-# No cover of a bounding box has more than 6 cells on a side, except the 30 degree cover of
-# polygons wider than 150 degrees (13 x 7) and the covers of polygons with many edges.
-_SIDE = 5
-_MANY_EDGES = 64
+from wildtally.functions import shapes
+
+# Cell sizes in degrees, each a multiple of the one before; the last one takes in the whole world.
+SIZES = [1, 4, 16, 64, 1024]
+WORLD = len(SIZES) - 1
+# Cells of one area (a box, or all rings of a polygon) at most.
+MAX_CELLS = 64
 # Rounding never moves a point further than this from the cell it falls in.
 _MARGIN = "0.000001D"
 
@@ -28,24 +33,62 @@ def cell_of(lat: str, lng: str, level: int) -> str:
     return f"CASE WHEN {lng} BETWEEN -180 AND 180 AND {lat} BETWEEN -90 AND 90 THEN {cell} END"
 
 
-def level_for(boxes: str, edges: str) -> str:
-    """The finest level with few cells per area; a level finer for polygons with many edges."""
-    extent = f"array_max(transform({boxes}, b -> greatest(b.x1 - b.x0, b.y1 - b.y0)))"
-    steps = " ".join(f"WHEN {extent} <= {size * _SIDE} THEN {i}" for i, size in enumerate(SIZES[:-1]))
-    level = f"CASE {steps} ELSE {len(SIZES) - 1} END"
-    return f"greatest({level} - CASE WHEN size({edges}) > {_MANY_EDGES} THEN 1 ELSE 0 END, 0)"
-
-
-def cover(boxes: str, level: str) -> str:
-    """The distinct cells that touch any of the boxes, as array<struct<cell,x0,x1,y0,y1>>."""
-    size = f"element_at(array({', '.join(map(str, SIZES))}), {level} + 1)"
-    xs = f"sequence({_index('b.x0', 180, size)}, {_index('b.x1', 180, size)})"
-    ys = f"sequence({_index('b.y0', 90, size)}, {_index('b.y1', 90, size)})"
-    cell = f"""named_struct('cell', {_id(level, 'cx', 'cy')},
-      'x0', cx * {size} - 180 - {_MARGIN}, 'x1', (cx + 1) * {size} - 180 + {_MARGIN},
-      'y0', cy * {size} - 90 - {_MARGIN}, 'y1', (cy + 1) * {size} - 90 + {_MARGIN})"""
-    cells = f"flatten(transform({xs}, cx -> transform({ys}, cy -> {cell})))"
-    return f"array_distinct(flatten(transform({boxes}, b -> {cells})))"
+def _cell(level: int, cx: str, cy: str) -> str:
+    size = SIZES[level]
+    return f"""named_struct('level', {level}, 'cx', {cx}, 'cy', {cy}, 'cell', {_id(level, cx, cy)},
+      'x0', {cx} * {size} - 180 - {_MARGIN}, 'x1', ({cx} + 1) * {size} - 180 + {_MARGIN},
+      'y0', {cy} * {size} - 90 - {_MARGIN}, 'y1', ({cy} + 1) * {size} - 90 + {_MARGIN})"""
+
+
+def _with(cell: str, whole: str, edges: str) -> str:
+    fields = ", ".join(f"'{f}', {cell}.{f}" for f in ("level", "cx", "cy", "cell", "x0", "x1", "y0", "y1"))
+    return f"named_struct({fields}, 'whole', {whole}, 'edges', {edges})"
+
+
+def cover(box: str, edges: str) -> str:
+    """The cells of a box, or of a polygon with these edges (null for a box): finer along the rim while they are few."""
+    first = f"array({shapes.let(_cell(WORLD, '0L', '0L'), 'w', _with('w', 'false', edges))})"
+    state, steps = f"named_struct('done', filter({first}, c -> false), 'open', {first})", []
+    for level in range(WORLD, 0, -1):
+        now = f"s{level}"
+        steps.append((state, now))
+        # Cells that were too many to be cut once stay as they are.
+        few = f"forall({now}.open, c -> c.level = {level}) AND size({now}.done) + size(kids) <= {MAX_CELLS}"
+        cut = f"named_struct('done', concat({now}.done, filter(kids, k -> k.whole)), 'open', filter(kids, k -> NOT k.whole))"
+        state = shapes.let(_refined(f"{now}.open", box, level), "kids", f"CASE WHEN {few} THEN {cut} ELSE {now} END")
+    covered = shapes.let(state, "s", "concat(s.done, s.open)")
+    for value, name in reversed(steps):
+        covered = shapes.let(value, name, covered)
+    return covered
+
+
+def _refined(cells: str, box: str, level: int) -> str:
+    """The cells (of ``level``) cut into those of the next finer one that touch the area.
+
+    Each has the edges that a ray from one of its points can cross, taken from those of the cell around it,
+    so a rim of many edges is looked through once a level. Of a cell that no edge passes through, the
+    middle tells whether it is inside.
+    """
+    size, ratio = SIZES[level - 1], SIZES[level] // SIZES[level - 1]
+
+    def span(at: str, low: str, high: str, offset: int) -> str:
+        first = f"greatest({at} * {ratio}, {_index(low, offset, size)})"
+        return f"sequence({first}, greatest({first}, least({at} * {ratio} + {ratio - 1}, {_index(high, offset, size)})))"
+
+    xs, ys = span("c.cx", f"{box}.x0", f"{box}.x1", 180), span("c.cy", f"{box}.y0", f"{box}.y1", 90)
+    inside = shapes.inside_edges("(k.y0 + k.y1) / 2", "(k.x0 + k.x1) / 2", shapes.sloped("es"))
+    whole = f"CASE WHEN es IS NULL THEN {within_box('k', box)} ELSE NOT hit END"
+    judged = shapes.let(
+        f"filter(c.edges, e -> {_beside('k')})",
+        "es",
+        shapes.let(
+            f"exists(es, e -> {_through('k')})",
+            "hit",
+            f"CASE WHEN es IS NULL OR hit OR {inside} THEN {_with('k', whole, 'es')} END",
+        ),
+    )
+    kids = f"transform({xs}, cx -> transform({ys}, cy -> {shapes.let(_cell(level - 1, 'cx', 'cy'), 'k', judged)}))"
+    return f"filter(flatten(flatten(transform({cells}, c -> {kids}))), k -> k IS NOT NULL)"
 
 
 def _beside(cell: str) -> str:
@@ -55,14 +98,11 @@ def _beside(cell: str) -> str:
     )
 
 
-def edges_for_cell(edges: str, cell: str) -> str:
-    """The edges that a ray from a point of the cell can cross; never a level one."""
-    return f"filter({edges}, e -> e.y1 != e.y2 AND {_beside(cell)})"
-
-
-def touches_edge(edges: str, cell: str) -> str:
-    """Might an edge pass through the cell? (By bounding box, so at times yes for a no.)"""
-    return f"exists({edges}, e -> {_beside(cell)} AND least(e.x1, e.x2) <= {cell}.x1)"
+def _through(cell: str) -> str:
+    """Does an edge that is beside the cell pass through it? Not where all corners are on one side of its line."""
+    corners = [f"(e.x2 - e.x1) * ({cell}.{y} - e.y1) - (e.y2 - e.y1) * ({cell}.{x} - e.x1)" for x in ("x0", "x1") for y in ("y0", "y1")]
+    sides = ", ".join(corners)
+    return f"least(e.x1, e.x2) <= {cell}.x1 AND least({sides}) <= 0 AND greatest({sides}) >= 0"
 
 
 def within_box(cell: str, box: str) -> str:

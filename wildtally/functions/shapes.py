@@ -44,7 +44,7 @@ _ENVELOPE = rf"(?i)^\s*ENVELOPE\s*{_BODIES['ENVELOPE']}\s*\z"
 _POLYGON = rf"(?i)^\s*(?:POLYGON\s*{_BODIES['POLYGON']}|MULTIPOLYGON\s*{_BODIES['MULTIPOLYGON']})\s*\z"
 
 
-def _let(value: str, name: str, body: str) -> str:
+def let(value: str, name: str, body: str) -> str:
     """``body`` with ``name`` for the value, worked out once however often the body uses it."""
     return f"get(transform(array({value}), {name} -> {body}), 0)"
 
@@ -56,7 +56,7 @@ def _numbers(text: str) -> str:
 def _rings(wkt: str) -> str:
     """Point lists, as array<array<struct<x,y>>>: whatever stands between innermost brackets."""
     parts = rf"split(regexp_replace(p, r'^{BLANK}+|{BLANK}+\z', ''), r'\s+')"
-    point = _let(parts, "c", "named_struct('x', CAST(get(c, 0) AS DOUBLE), 'y', CAST(get(c, 1) AS DOUBLE))")
+    point = let(parts, "c", "named_struct('x', CAST(get(c, 0) AS DOUBLE), 'y', CAST(get(c, 1) AS DOUBLE))")
     return rf"transform(regexp_extract_all({wkt}, r'\(([^()]*)\)', 1), r -> transform(split(r, ','), p -> {point}))"
 
 
@@ -74,7 +74,7 @@ def _parsed(wkt: str) -> str:
     points = f"regexp_replace({wkt}, r'{extra}', '')"
     rings = f"CASE form WHEN 'polygon' THEN {_rings(wkt)} WHEN 'other' THEN {_rings(points)} END"
     numbers = f"CASE WHEN form = 'envelope' THEN {_numbers(wkt)} END"
-    return _let(_form(wkt), "form", f"named_struct('form', form, 'numbers', {numbers}, 'rings', {rings})")
+    return let(_form(wkt), "form", f"named_struct('form', form, 'numbers', {numbers}, 'rings', {rings})")
 
 
 # Corners of an envelope, in their order in the text.
@@ -93,7 +93,7 @@ def valid_wkt(wkt: str) -> Column:
 
     Envelopes and distances inside other shapes are checked by their form only.
     """
-    return F.expr(_let(_parsed(f"coalesce({wkt}, '')"), "s", _VALID))
+    return F.expr(let(_parsed(f"coalesce({wkt}, '')"), "s", _VALID))
 
 
 def _box(x0: str, x1: str, y0: str, y1: str) -> str:
@@ -108,7 +108,7 @@ def _ends(axis: str):
 _ENVELOPE_BOXES = f"""CASE WHEN {_X0} > {_X1}
   THEN array({_box(_X0, '180D', _Y0, _Y1)}, {_box('-180D', _X1, _Y0, _Y1)})
   ELSE array({_box(_X0, _X1, _Y0, _Y1)}) END"""
-_POLYGON_BOXES = f"array({_let('flatten(s.rings)', 'ps', _box(*_ends('x'), *_ends('y')))})"
+_POLYGON_BOXES = f"array({let('flatten(s.rings)', 'ps', _box(*_ends('x'), *_ends('y')))})"
 _POLYGON_EDGES = """flatten(transform(s.rings, r ->
   zip_with(slice(r, 1, size(r) - 1), slice(r, 2, size(r) - 1), (a, b) ->
     named_struct('x1', a.x, 'y1', a.y, 'x2', b.x, 'y2', b.y))))"""
@@ -126,7 +126,7 @@ def area(wkt: str) -> Column:
       'boxes', CASE WHEN valid AND s.form = 'envelope' THEN {_ENVELOPE_BOXES}
                     WHEN valid AND s.form = 'polygon' THEN {_POLYGON_BOXES} END,
       'edges', CASE WHEN valid AND s.form = 'polygon' THEN {_POLYGON_EDGES} END)"""
-    return F.expr(_let(_parsed(f"coalesce({wkt}, '')"), "s", _let(_VALID, "valid", fields)))
+    return F.expr(let(_parsed(f"coalesce({wkt}, '')"), "s", let(_VALID, "valid", fields)))
 
 
 def supported_area(wkt: str) -> Column:

@@ -20,10 +20,13 @@ _MANY_EDGES = 128
 def taxon_condition(taxon: Column, terms: list[str]) -> Column:
     """Any of the terms is an element of the taxon path, stripped, letter case as it is.
 
-    No terms select everything.
+    No terms select everything. A term that holds a bar is no element of any path and selects nothing.
     """
     if not terms:
         return F.lit(True)
+    terms = [t for t in terms if "|" not in t]
+    if not terms:
+        return F.lit(False)
     if len(terms) > _MANY_TERMS:
         return F.arrays_overlap(path_elements(taxon), F.array(*[F.lit(t) for t in terms]))
     listed = "|".join(_quoted(t) for t in terms)

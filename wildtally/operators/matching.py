@@ -1,16 +1,19 @@
 """Occurrences matched with many selectors at once.
 
-Every selector is spread over the grid cells its area touches, once per taxon term (or once
-under the empty term if it takes all taxa). Every occurrence looks up its own cell, at each
-cell size in use, under each element of its taxon path and under the empty term. So the match
-is an equi-join on a (cell, term) key and never compares all pairs:
-
-* selectors that fit the broadcast limit are broadcast, and the occurrences are not shuffled;
-* beyond it, occurrences are first cut down to the cells in use (a table of fixed maximum size)
-  and then joined by a shuffle, in which AQE splits hot keys.
-
-What the key leaves open is decided by the exact area test. It is left out where a whole cell
-is inside the area, and elsewhere sees only the edges that matter for the cell.
+Every selector is spread over the grid cells that cover its area (large inside, small along the rim), once
+per taxon term (or once under the empty term if it takes all taxa). Every occurrence looks up its own cell,
+at each cell size in use, under each element of its taxon path and under the empty term. So the match is an
+equi-join on a hash of (cell, term), which the join checks, and never compares all pairs:
+
+* cells that no selector uses are dropped before terms are looked at: a semi join with the cells in use, of
+  which there is a fixed number;
+* pairs of cell and term that no selector uses are dropped in the same pass, by a semi join with the hashes
+  in use, as long as these are few enough; so an occurrence is copied for its hits only;
+* selectors that fit the broadcast limit are broadcast, and the occurrences are not shuffled; beyond it both
+  sides are shuffled and AQE splits hot keys.
+
+What the key leaves open is decided by the exact area test: the box, or for polygons the edges that matter
+for the cell. It is left out where a whole cell is inside the area.
 """
 
 from typing import NamedTuple
@@ -22,12 +25,18 @@ from wildtally.functions import cells, shapes
 from wildtally.functions.selectors import terms
 from wildtally.functions.taxa import path_elements
 from wildtally.operators.sizes import BROADCAST_BYTES, fits
-from wildtally.operators.traits import with_traits
+from wildtally.operators.traits import wanted_traits, with_traits
 from wildtally.selector import InvalidSelector, normalized, valid_only
 from wildtally.session import checkpoint
 
+# Selectors whose covers one task works out, beyond one task per core.
+_SPREAD_ROWS = 256
+# A key row in memory: its fixed columns, the heads of its arrays and the entry of the hash table.
+_KEY_BYTES = 256
+
 
 def _areas(selectors: DataFrame) -> DataFrame:
+    """One row per box of a selector, or per polygon with all its edges."""
     # A trait list without a term restricts nothing: it is null from here on.
     restricting = F.when(F.size(terms(F.col("traitSelector"))) > 0, F.col("traitSelector"))
     parsed = selectors.select(
@@ -37,36 +46,39 @@ def _areas(selectors: DataFrame) -> DataFrame:
         shapes.area("wktString").alias("a"),
     )
     areas = parsed.select("uuid", "traitSelector", "terms", "a.*").filter("supported")
-    return areas.withColumn("level", F.expr(cells.level_for("boxes", "edges")))
+    return areas.select("uuid", "traitSelector", "terms", F.explode("boxes").alias("box"), "edges")
+
+
+def _key(cell: str, term: str) -> str:
+    return f"xxhash64({cell}, {term})"
 
 
 def selector_keys(selectors: DataFrame) -> DataFrame:
     """One row per selector, cell and taxon term, with what is left to test there."""
-    covered = _areas(selectors).withColumn("c", F.explode(F.expr(cells.cover("boxes", "level"))))
-    inside = shapes.inside_edges("(c.y0 + c.y1) / 2", "(c.x0 + c.x1) / 2", shapes.sloped("edges"))
-    covered = covered.withColumn("untouched", F.expr(f"edges IS NOT NULL AND NOT {cells.touches_edge('edges', 'c')}"))
-    covered = covered.filter(f"NOT untouched OR {inside}")
-    whole = f"CASE WHEN edges IS NULL THEN exists(boxes, b -> {cells.within_box('c', 'b')}) ELSE untouched END"
-    return covered.withColumn("whole", F.expr(whole)).selectExpr(
+    # An outer explode: Spark would work out the cover twice to leave out empty ones, and there are none but of flat shapes.
+    covered = _areas(selectors).withColumn("c", F.explode_outer(F.expr(cells.cover("box", "edges")))).filter("c IS NOT NULL")
+    rows = covered.selectExpr(
         "uuid",
         "traitSelector",
-        "level",
+        "c.level AS level",
         "c.cell AS cell",
         "explode(CASE WHEN size(terms) = 0 THEN array('') ELSE terms END) AS term",
-        "terms",
-        "whole",
-        "CASE WHEN NOT whole THEN boxes END AS boxes",
-        f"CASE WHEN NOT whole THEN {cells.edges_for_cell('edges', 'c')} END AS edges",
+        "CASE WHEN size(terms) > 1 THEN terms END AS terms",
+        "c.whole AS whole",
+        "CASE WHEN NOT c.whole AND edges IS NULL THEN box END AS box",
+        f"CASE WHEN NOT c.whole THEN {shapes.sloped('c.edges')} END AS edges",
     )
+    return rows.withColumn("key", F.expr(_key("cell", "term")))
 
 
 def _measure(keys: DataFrame):
     text = F.octet_length("uuid") + F.coalesce(F.octet_length("traitSelector"), F.lit(0)) + F.octet_length("term")
-    listed = F.octet_length(F.array_join("terms", "")) + 16 * F.size("terms")
-    shape = F.coalesce(F.lit(40) * F.size("boxes"), F.lit(0)) + F.coalesce(F.lit(40) * F.size("edges"), F.lit(0))
+    listed = F.coalesce(F.octet_length(F.array_join("terms", "")) + F.lit(24) * F.size("terms"), F.lit(0))
+    shape = F.coalesce(F.lit(56) * F.size("edges"), F.lit(0))
     return keys.agg(
         F.count("*").alias("n"),
         F.coalesce(F.sum(text + listed + shape), F.lit(0)).alias("bytes"),
+        F.count_distinct("key").alias("keys"),
         F.collect_set("level").alias("levels"),
         (F.count("traitSelector") > 0).alias("traits"),
     ).first()
@@ -80,6 +92,7 @@ class SelectorIndex(NamedTuple):
     levels: list
     has_traits: bool
     small: bool
+    few_keys: bool
     limit: int
 
 
@@ -87,13 +100,16 @@ def selector_index(selectors: DataFrame, broadcast_limit: int = BROADCAST_BYTES)
     """Of selectors from ``prepared``."""
     keys = checkpoint(selector_keys(selectors))
     size = _measure(keys)
-    small = fits(size.n, size.bytes, broadcast_limit)
-    return SelectorIndex(selectors, keys, sorted(size.levels), size.traits, small, broadcast_limit)
+    small = fits(size.n, size.bytes, broadcast_limit, _KEY_BYTES)
+    return SelectorIndex(selectors, keys, sorted(size.levels), size.traits, small, fits(size["keys"], 0), broadcast_limit)
 
 
 def prepared(selectors: DataFrame) -> DataFrame:
-    """The valid selectors, normalised, with their UUID, each once."""
-    return checkpoint(valid_only(normalized(selectors)))
+    """The valid selectors, normalised, with their UUID, each once and spread over many tasks."""
+    rows = checkpoint(valid_only(normalized(selectors)))
+    # A small table comes out of a shuffle in one partition; covers are worth a task per core.
+    parts = rows.sparkSession.sparkContext.defaultParallelism + rows.count() // _SPREAD_ROWS
+    return rows.repartition(parts, "uuid")
 
 
 def match_selectors(
@@ -129,22 +145,26 @@ def match_index(occurrences: DataFrame, index: SelectorIndex, traits: DataFrame
         raise InvalidSelector("a trait list needs a table of traits")
     keys = index.keys
     levels = [F.expr(cells.cell_of("lat", "lng", level)) for level in index.levels] or [F.lit(None).cast("int")]
-    rows = occurrences.withColumn("elements", path_elements(F.col("taxon")))
-    rows = rows.select("*", F.explode(F.array(*levels)).alias("cell"))
-    if not index.small:
-        # At most one row per grid cell there is.
-        used = keys.select("cell").distinct()
-        rows = rows.join(F.broadcast(used), "cell", "left_semi")
-    rows = rows.select("*", F.explode(F.concat(F.array(F.lit("")), F.col("elements"))).alias("term"))
-
-    candidates = rows.join(F.broadcast(keys) if index.small else keys, ["cell", "term"])
+    rows = occurrences.withColumn("_elements", path_elements(F.col("taxon")))
+    rows = rows.select("*", F.explode(F.array(*levels)).alias("_cell"))
+    # At most one row per grid cell there is.
+    rows = rows.join(F.broadcast(keys.select(F.col("cell").alias("_cell")).distinct()), "_cell", "left_semi")
+    rows = rows.select("*", F.explode(F.concat(F.array(F.lit("")), F.col("_elements"))).alias("_term"))
+    rows = rows.withColumn("_key", F.expr(_key("_cell", "_term")))
+    if index.few_keys:
+        rows = rows.join(F.broadcast(keys.select(F.col("key").alias("_key")).distinct()), "_key", "left_semi")
+
+    named = keys.select("uuid", "traitSelector", *[F.col(c).alias(f"_of_{c}") for c in ("key", "cell", "term", "terms", "whole", "box", "edges")])
+    candidates = rows.join(F.broadcast(named) if index.small else named, F.col("_key") == F.col("_of_key"))
     in_area = (
-        f"whole OR (exists(boxes, b -> {shapes.in_box('lat', 'lng', 'b')}) "
-        f"AND (edges IS NULL OR {shapes.inside_edges('lat', 'lng', 'edges')}))"
+        f"_of_whole OR (_of_box IS NOT NULL AND {shapes.in_box('lat', 'lng', '_of_box')}) "
+        f"OR (_of_edges IS NOT NULL AND {shapes.inside_edges('lat', 'lng', '_of_edges')})"
     )
     # A path may hold several terms of one selector: only the first of them counts.
-    first_term = "size(terms) <= 1 OR term = get(array_intersect(elements, terms), 0)"
-    matched = candidates.filter(f"({first_term}) AND ({in_area})")
+    first_term = "(_of_terms IS NULL OR _term = get(array_intersect(_elements, _of_terms), 0))"
+    # One number is the fastest key; as a CASE, what it stands for is compared after the join and not as part of the key.
+    same = "CASE WHEN _cell = _of_cell AND _term = _of_term THEN"
+    matched = candidates.filter(f"{same} {first_term} AND ({in_area}) END").select(*occurrences.columns, "uuid", "traitSelector")
     if index.has_traits:
-        matched = with_traits(matched, occurrences, traits, index.selectors, index.limit)
+        matched = with_traits(matched, occurrences, traits, wanted_traits(index.selectors), index.limit)
     return matched.select(*occurrences.columns, "uuid")

@@ -9,12 +9,13 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 
 def small_side(rows: DataFrame, count: int, text_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
     """``rows`` marked for broadcast if a measured size is below the limit, else as they are."""
-    return F.broadcast(rows) if fits(count, text_bytes, limit) else rows
+    # Each column has a word of its own and rounds its text up to words.
+    return F.broadcast(rows) if fits(count, text_bytes, limit, 48 + 16 * len(rows.columns)) else rows
 
 
-def fits(count: int, text_bytes: int, limit: int = BROADCAST_BYTES) -> bool:
-    # 64 bytes per row for the row header, fixed-size columns and the hash entry.
-    return 64 * count + text_bytes <= limit
+def fits(count: int, text_bytes: int, limit: int = BROADCAST_BYTES, row_bytes: int = 64) -> bool:
+    """``row_bytes``: the row's header, its fixed-size parts and its entry in the hash table."""
+    return row_bytes * count + text_bytes <= limit
 
 
 def measured(rows: DataFrame, *texts: str, limit: int = BROADCAST_BYTES) -> DataFrame:

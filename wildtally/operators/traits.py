@@ -4,6 +4,11 @@ Grammar (our decision): terms separated by bars or commas, any of which qualifie
 trait name (the taxon has the trait, with or without a value) or a trait name, one of
 ``< <= = >= >`` and a number. A record qualifies if any element of its taxon path is a
 qualifying taxon. No terms mean no restriction.
+
+For one selector the terms are a filter on the table of traits. For many, each taxon's values of a trait
+are reduced to their smallest and largest, which decide all terms with an inequality, and to those values
+that some term asks for by ``=``. So nothing is paired with terms before records are: however many
+selectors ask for one trait, there is one row per taxon and trait.
 """
 
 from pyspark.sql import DataFrame
@@ -12,76 +17,113 @@ from pyspark.sql import functions as F
 from wildtally.functions.selectors import terms
 from wildtally.functions.taxa import path_elements
 from wildtally.functions.text import strip
-from wildtally.operators.sizes import BROADCAST_BYTES, measured
+from wildtally.operators.sizes import BROADCAST_BYTES, fits, measured, small_side
 from wildtally.session import checkpoint
 
 _TERM = r"^(.*?)\s*(?:(<=|>=|<|>|=)\s*([-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?))?\z"
+# How a taxon's range decides a term with an inequality.
+_COMPARED = {"<": "f.lo < t.number", "<=": "f.lo <= t.number", ">": "f.hi > t.number", ">=": "f.hi >= t.number"}
 
 
-def parsed_terms(selectors: DataFrame) -> DataFrame:
-    """One row per distinct trait selector and term: name, operator (or '') and number."""
-    rows = selectors.select("traitSelector").distinct()
-    rows = rows.select("traitSelector", F.explode(terms(F.col("traitSelector"))).alias("term"))
-    number = F.regexp_extract("term", _TERM, 3)
-    return rows.select(
-        "traitSelector",
-        strip(F.regexp_extract("term", _TERM, 1)).alias("trait"),
-        F.regexp_extract("term", _TERM, 2).alias("op"),
+def _parsed(term):
+    number = F.regexp_extract(term, _TERM, 3)
+    return F.struct(
+        strip(F.regexp_extract(term, _TERM, 1)).alias("trait"),
+        F.regexp_extract(term, _TERM, 2).alias("op"),
         F.when(number != "", number.cast("double")).alias("number"),
     )
 
 
-def qualifying_taxa(traits: DataFrame, selectors: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Distinct (traitSelector, element): the taxa that have any of the listed traits."""
-    wanted = measured(parsed_terms(selectors), "traitSelector", "trait", limit=limit)
-    value, number = F.col("value"), F.col("number")
-    # A table of traits may repeat; whatever is equal in these columns decides alike.
-    named = traits.select(strip(F.col("taxon")).alias("element"), "trait", "value").distinct()
-    return (
-        named.join(wanted, "trait")
-        .filter(
-            F.when(F.col("op") == "", True)
-            .when(F.col("op") == "<", value < number)
-            .when(F.col("op") == "<=", value <= number)
-            .when(F.col("op") == "=", value == number)
-            .when(F.col("op") == ">=", value >= number)
-            .otherwise(value > number)
-        )
-        .select("traitSelector", "element")
-        .distinct()
+def wanted_traits(selectors: DataFrame) -> DataFrame:
+    """(traitSelector, wanted): the terms of each distinct trait selector that has any."""
+    rows = selectors.select("traitSelector").distinct()
+    rows = rows.withColumn("wanted", F.transform(terms(F.col("traitSelector")), _parsed))
+    return rows.filter(F.size("wanted") > 0)
+
+
+def parsed_terms(selectors: DataFrame) -> DataFrame:
+    """One row per distinct trait selector and term: name, operator (or '') and number."""
+    return wanted_traits(selectors).select("traitSelector", F.explode("wanted").alias("t")).select("traitSelector", "t.*")
+
+
+def trait_ranges(traits: DataFrame, asked: DataFrame, small: bool) -> DataFrame:
+    """(element, trait, lo, hi, hits): what decides the terms (trait, op, number), one row per taxon and trait in use."""
+    side = F.broadcast if small else lambda rows: rows
+    names = side(asked.select("trait").distinct())
+    equal = side(asked.filter("op = '='").select(F.col("trait").alias("_trait"), F.col("number").alias("hit")).distinct())
+    rows = traits.select(strip(F.col("taxon")).alias("element"), "trait", "value").join(names, "trait", "left_semi")
+    found = rows.join(equal, (F.col("trait") == F.col("_trait")) & (F.col("value") == F.col("hit")), "left")
+    return found.groupBy("element", "trait").agg(
+        F.min("value").alias("lo"), F.max("value").alias("hi"), F.collect_set("hit").alias("hits")
     )
 
 
-def qualifying_paths(
-    occurrences: DataFrame, traits: DataFrame, selectors: DataFrame, limit: int = BROADCAST_BYTES
-) -> DataFrame:
-    """Distinct (taxon, traitSelector), worked out on distinct taxon paths, not on records."""
+def path_facts(occurrences: DataFrame, ranges: DataFrame) -> DataFrame:
+    """(taxon, facts): the ranges of the elements of each distinct taxon path that has any."""
     paths = occurrences.select("taxon").distinct()
     elements = paths.select("taxon", F.explode(path_elements(F.col("taxon"))).alias("element"))
-    taxa = measured(checkpoint(qualifying_taxa(traits, selectors, limit)), "traitSelector", "element", limit=limit)
-    return elements.join(taxa, "element").select("taxon", "traitSelector").distinct()
+    fact = F.struct("trait", "lo", "hi", "hits")
+    return elements.join(ranges, "element").groupBy("taxon").agg(F.collect_list(fact).alias("facts"))
+
+
+def _qualifies(wanted: str, facts: str) -> str:
+    compared = " ".join(f"WHEN '{op}' THEN {test}" for op, test in _COMPARED.items())
+    decided = f"CASE t.op WHEN '' THEN true WHEN '=' THEN array_contains(f.hits, t.number) {compared} END"
+    return f"exists({wanted}, t -> exists({facts}, f -> f.trait = t.trait AND {decided}))"
 
 
 def with_traits(
-    rows: DataFrame, occurrences: DataFrame, traits: DataFrame, selectors: DataFrame, limit: int = BROADCAST_BYTES
+    rows: DataFrame, occurrences: DataFrame, traits: DataFrame, wanted: DataFrame, limit: int = BROADCAST_BYTES
 ) -> DataFrame:
     """Rows of (taxon, traitSelector, ...) whose path qualifies; a null list lets a row pass.
 
     ``occurrences`` is any table that holds every taxon path of ``rows``.
     """
-    paths = checkpoint(qualifying_paths(occurrences, traits, selectors, limit))
-    paths = measured(paths.withColumn("qualifies", F.lit(True)), "taxon", "traitSelector", limit=limit)
-    joined = rows.join(paths, ["taxon", "traitSelector"], "left")
-    return joined.filter(F.col("traitSelector").isNull() | F.col("qualifies")).select(*rows.columns)
+    wanted = checkpoint(wanted)
+    # The terms, their traits and their numbers are all smaller than this.
+    text = F.expr("octet_length(traitSelector) + aggregate(wanted, 0L, (n, t) -> n + octet_length(t.trait) + 96)")
+    size = wanted.agg(F.count("*").alias("n"), F.coalesce(F.sum(text), F.lit(0)).alias("bytes")).first()
+    few = fits(size.n, size.bytes, limit)
+    ranges = trait_ranges(traits, wanted.select(F.explode("wanted").alias("t")).select("t.*"), few)
+    ranges = measured(checkpoint(ranges), "element", "trait", limit=limit)
+    facts = checkpoint(path_facts(occurrences, ranges))
+    held = F.expr("aggregate(facts, 0L, (n, f) -> n + octet_length(f.trait) + 96 + 8 * size(f.hits))")
+    size = facts.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("taxon") + held), F.lit(0)).alias("bytes")).first()
+    listed = small_side(facts, size.n, size.bytes, limit)
+    asked = wanted.select(F.col("traitSelector").alias("_asked"), "wanted")
+    asked = F.broadcast(asked) if few else asked
+    joined = rows.join(asked, F.col("traitSelector") == F.col("_asked"), "left").join(listed, "taxon", "left")
+    kept = joined.filter(F.col("traitSelector").isNull() | F.coalesce(F.expr(_qualifies("wanted", "facts")), F.lit(False)))
+    return kept.select(*rows.columns)
+
+
+def _condition(term):
+    """A term as a filter on the table of traits."""
+    named = F.col("trait") == term["trait"]
+    if not term["op"]:
+        return named
+    value, number = F.col("value"), F.lit(term["number"])
+    tests = {"<": value < number, "<=": value <= number, "=": value == number, ">=": value >= number, ">": value > number}
+    return named & tests[term["op"]]
 
 
 def trait_filter(
     occurrences: DataFrame, traits: DataFrame, trait_selector: str, limit: int = BROADCAST_BYTES
 ) -> DataFrame:
-    """Records of taxa that have any of the listed traits: one semi join on the taxon path."""
+    """Records of taxa that have any of the listed traits: one semi join on the taxon path.
+
+    The terms reach the scan of the traits; records are read once more for their taxon paths.
+    """
     spark = occurrences.sparkSession
     one = spark.createDataFrame([(trait_selector,)], "traitSelector string")
-    if one.filter(F.size(terms(F.col("traitSelector"))) > 0).isEmpty():
+    found = one.select(F.transform(terms(F.col("traitSelector")), _parsed).alias("wanted")).first().wanted
+    if not found:
         return occurrences
-    paths = checkpoint(qualifying_paths(occurrences, traits, one, limit).select("taxon"))
+    condition = F.lit(False)
+    for term in found:
+        condition = condition | _condition(term)
+    elements = traits.filter(condition).select(strip(F.col("taxon")).alias("element")).distinct()
+    taxa = measured(checkpoint(elements), "element", limit=limit)
+    paths = occurrences.select("taxon").distinct().select("taxon", F.explode(path_elements(F.col("taxon"))).alias("element"))
+    paths = checkpoint(paths.join(taxa, "element", "left_semi").select("taxon").distinct())
     return occurrences.join(measured(paths, "taxon", limit=limit), "taxon", "left_semi").select(*occurrences.columns)
