@@ -59,6 +59,11 @@ PARTS = (
 )
 SMALL = [(-2.5, -0.5), (4.25, 8.5), (9.5, 3.25), (-2.5, -0.5)]
 
+SCATTERED = (
+    [(-90.5, 0.5), (-88.5, 0.5), (-88.5, 2.5), (-90.5, 0.5)],
+    [(89.5, 0.5), (91.5, 0.5), (91.5, 2.5), (89.5, 0.5)],
+)
+
 # x0, x1, y0, y1 and edges of the literal selectors, by their WKT.
 SHAPES = {
     "ENVELOPE(-150,-50,40,10)": ((-150, -50, 10, 40), NO_EDGES),
@@ -74,6 +79,10 @@ SHAPES = {
     derived.SAVED[1][1]: ((-2.5, 9.5, -0.5, 8.5), edges_of(SMALL)),
     "ENVELOPE(178,-178,4,-4)": ((178, -178, -4, 4), NO_EDGES),
     "ENVELOPE(-10,0,10,0)": ((-10, 0, 0, 10), NO_EDGES),
+    "ENVELOPE(-180,180,1,0)": ((-180, 180, 0, 1), NO_EDGES),
+    "ENVELOPE(0,160,1,0)": ((0, 160, 0, 1), NO_EDGES),
+    derived.THIN[2][1]: ((-90.5, 91.5, 0.5, 2.5), edges_of(*SCATTERED)),
+    "ENVELOPE(20,-20,-30,-31)": ((20, -20, -31, -30), NO_EDGES),
 }
 
 
@@ -185,6 +194,18 @@ def with_trait(t):
     )
 
 
+# Numbers as the other side writes them: 0.0, 0.25, ...
+HOT_TRAIT = f"""WITH {OCC}, {TRAITS}, wanted AS (
+  SELECT DISTINCT '' AS taxa, concat('ENVELOPE(', k * 37 % 300 - 180, ',', k * 37 % 300 - 177, ',40,0)') AS wkt,
+    CASE WHEN k % 3 = 0 THEN concat('nameLength = ', k % 23) ELSE concat('nameLength > ', CAST(k % 97 / 4 AS DOUBLE)) END AS trait,
+    k * 37 % 300 - 180 AS x, k % 3 = 0 AS equal, CASE WHEN k % 3 = 0 THEN k % 23 ELSE k % 97 / 4 END AS number
+  FROM (SELECT s_suppkey AS k FROM supplier)
+), sized AS (SELECT taxon AS name, value FROM traits WHERE trait = 'nameLength'),
+named AS (SELECT *, {uuid_of('taxa', 'wkt', 'trait')} AS uuid FROM wanted)
+SELECT o.{COLUMNS.replace(', ', ', o.')}, s.uuid FROM occ o JOIN named s ON o.lat BETWEEN 0 AND 40 AND o.lng BETWEEN s.x AND s.x + 3
+WHERE EXISTS (SELECT 1 FROM sized t WHERE list_contains(string_split(o.taxon, '|'), t.name)
+  AND CASE WHEN s.equal THEN t.value = s.number ELSE t.value > s.number END)"""
+
 AFTER = f"added // {DAY} * {DAY} > epoch_ms(TIMESTAMP '1997-01-01')"
 BEFORE = f"added // {DAY} * {DAY} < epoch_ms(TIMESTAMP '1997-02-01 12:00:00')"
 TO_2000 = f"{AFTER} AND added // {DAY} * {DAY} < epoch_ms(TIMESTAMP '2000-01-01')"
@@ -368,10 +389,14 @@ ORACLES = {
     ),
     "match_all_selectors": matching("SELECT * FROM matched"),
     "match_by_shuffle": matching("SELECT * FROM matched"),
+    "match_thin_areas": matching("SELECT * FROM matched", derived.THIN),
+    "match_hot_trait": HOT_TRAIT,
     "generate_checklists": matching("SELECT uuid, taxon AS taxonPath, count(*) AS recordCount FROM matched GROUP BY ALL"),
     "monitor_summary": matching(f"SELECT * EXCLUDE recordCount, recordCount AS itemCount FROM ({MONITOR_ROWS})"),
     "refresh_all": MONITORS,
     "stream_refresh": MONITORS,
+    "refresh_after_stream": MONITORS,
+    "compact_loads": selected(END, SAVED),
     "monitors": MONITORS,
     "save_one_selector": selected(END, SAVED),
     "save_one_checklist": selected(f"{LAST} AS taxonName, {CHECKLIST}", derived.CASES[4], "GROUP BY taxon"),

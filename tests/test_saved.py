@@ -17,8 +17,16 @@ ODD = ("Anura", "POINT (1 2)", "")
 
 
 def monitored(spark, base):
-    rows = tables.read_table(spark, base, tables.MONITORED).collect()
-    return sorted((r.source, r.occurrenceId, r.monitorUUID[:8]) for r in rows)
+    sources = ("gbif", "idigbio", "inaturalist")
+    return sorted(((s, r.occurrenceId, r.monitorUUID[:8]) for s in sources for r in tables.source_ids(spark, base, s).collect()), key=repr)
+
+
+def loads(spark, base):
+    return sorted({r.load.split(".")[0] for r in tables.current_loads(spark, base).collect()})
+
+
+def folders(base, table=tables.OCCURRENCE):
+    return sorted(f.name for f in Path(base, tables.LOADS[table]).glob("load=*"))
 
 
 def counts(spark, base):
@@ -105,14 +113,16 @@ def test_monitored(spark, base):
     assert column(Q.monitored_occurrences(spark, base, "gbif", added_after="2017-04-05"), "occurrenceId") == ["b1"]
 
 
-def test_partitions_are_pruned(spark, base):
-    rows = tables.read_table(spark, base, tables.OCCURRENCE)
-    from wildtally.operators.filters import added_partition_filter
-
-    plan = added_partition_filter(rows, "2017-04-04", "2018-01-01")._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull" in plan and "make_date" in plan.split("PartitionFilters")[1]
-    one = tables.read_selector(spark, base, tables.OCCURRENCE, Q.monitor_of(spark, base, FROGS).first().uuid)
-    assert all("uuid=" in f for f in one.inputFiles()) and len(one.inputFiles()) < len(rows.inputFiles())
+def test_reads_are_pruned(spark, base):
+    uuid = Q.monitor_of(spark, base, FROGS).first().uuid
+    rows = tables.selector_occurrences(spark, base, uuid, "2017-04-04", "2018-01-01")
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    pushed = plan.split("PushedFilters")[1]
+    assert f"EqualTo(uuid,{uuid})" in pushed and "GreaterThanOrEqual(added,1491350400000)" in pushed and "LessThan(added,1514764800000)" in pushed
+    assert all(f"/u0={uuid[:2]}/" in f for f in rows.inputFiles())
+    # One load, and in it a file per first digits of the selectors with records, or per archive.
+    assert len(folders(base)) == 1
+    assert len(list(Path(base, "occurrence-load").rglob("*.parquet"))) == 2 and len(list(Path(base, "monitored-load").rglob("*.parquet"))) == 2
 
 
 def test_refresh_replaces_only_its_selectors(spark, records, traits, tmp_path):
@@ -167,14 +177,83 @@ def test_no_refresh_without_traits(spark, records, traits, tmp_path):
     assert files_of(base) == before
 
 
-def test_tables_without_load_level(spark, records, tmp_path):
-    uuid = "55e4b0a0-bcd9-566f-99bc-357439011d85"
-    folder = f"{tmp_path}/occurrence/u0=55/u1=e4/u2=b0/uuid={uuid}"
+def test_a_save_that_is_broken_off_changes_nothing(spark, records, traits, tmp_path, monkeypatch):
+    base = str(tmp_path)
+    generate.save_all_occurrences(records, selectors_frame(spark, [FROGS, ALL]), base, traits)
+    before, there = monitored(spark, base), counts(spark, base)
+
+    def killed(*_):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as m:
+        m.setattr(tables, "save_summary", killed)
+        for job in (
+            lambda: generate.refresh_all(records.filter("id = 'a2'"), base, traits),
+            lambda: add_batch(records, base, "batch-1", traits),
+        ):
+            with pytest.raises(KeyboardInterrupt):
+                job()
+    assert (monitored(spark, base), counts(spark, base)) == (before, there)
+    assert Q.occurrences(spark, base, ALL).count() == 6 and len(folders(base)) == 3
+    generate.refresh_all(records.filter("id = 'a2'"), base, traits)
+    assert counts(spark, base) == {FROGS[:2]: ("ready", 1), ALL[:2]: ("ready", 1)}
+    assert column(Q.occurrences(spark, base, ALL), "id") == ["a2"]
+
+
+def test_batches_are_counted_without_older_loads(spark, records, traits, tmp_path):
+    base = str(tmp_path)
+    generate.save_all_occurrences(records.filter("source = 'gbif'"), selectors_frame(spark, [FROGS, ALL]), base, traits)
+    full = folders(base)
+    # What an older load holds is not looked at: it could be gone.
+    hidden = Path(base, "occurrence-load", full[0])
+    hidden.rename(tmp_path / "elsewhere")
+    add_batch(records.filter("source <> 'gbif'"), base, "batch-1", traits)
+    assert counts(spark, base) == {FROGS[:2]: ("ready", 3), ALL[:2]: ("ready", 6)}
+    (tmp_path / "elsewhere").rename(hidden)
+    assert column(Q.occurrences(spark, base, FROGS), "id") == ["a1", "a1", "a2"]
+    # The batch again with fewer records, then with none.
+    add_batch(records.filter("id = 'none'"), base, "batch-1", traits)
+    assert counts(spark, base) == {FROGS[:2]: ("ready", 2), ALL[:2]: ("ready", 5)} and len(folders(base)) == 2
+    with pytest.raises(ValueError):
+        add_batch(records, base, "a.b", traits)
+
+
+def test_compaction(spark, records, traits, tmp_path):
+    base = str(tmp_path)
+    generate.register_monitors(selectors_frame(spark, [FROGS, ALL, NONE]), base)
+    for i, part in enumerate(["gbif", "idigbio", "inaturalist"]):
+        add_batch(records.filter(F.col("source") == part), base, f"batch-{i}", traits)
+    before, there = monitored(spark, base), counts(spark, base)
+    generate.register_monitors(selectors_frame(spark, [FROGS, ALL]), base)
+    assert loads(spark, base) == ["batch-0", "batch-1"] and there[ALL[:2]] == ("ready", 6)
+    generate.compact_loads(spark, base, 2)
+    assert loads(spark, base) == ["batch-0", "batch-1"]
+    generate.compact_loads(spark, base)
+    assert loads(spark, base) == ["compact"] and (monitored(spark, base), counts(spark, base)) == (before, there)
+    assert [f.split(".")[0] for f in folders(base)] == ["load=batch-2", "load=compact"]
+    assert column(Q.occurrences(spark, base, FROGS), "id") == ["a1", "a1", "a2"]
+
+
+def test_tables_without_loads(spark, records, traits, tmp_path):
+    base, uuid = str(tmp_path), Q.monitors_of(spark, str(tmp_path / "none"), selectors_frame(spark, [ALL])).first().uuid
+    folder = f"{base}/occurrence/u0={uuid[0:2]}/u1={uuid[2:4]}/u2={uuid[4:6]}/uuid={uuid}"
     records.filter("id = 'a2'").write.parquet(f"{folder}/y=2017/m=04/d=05")
-    spark.createDataFrame([("http://example.org/1",)], "occurrenceId string").write.parquet(f"{tmp_path}/source-of-monitored-occurrence/source=inaturalist/y=2017/m=04/d=05")
-    assert tables.read_selector(spark, str(tmp_path), tables.OCCURRENCE, uuid).first().m == "04"
-    rows = Q.monitored_occurrences(spark, str(tmp_path), "inaturalist").collect()
-    assert [tuple(r) for r in rows] == [("http://example.org/1", "")]
+    ids = spark.createDataFrame([("http://example.org/1", None), ("a2", uuid)], "occurrenceId string, monitorUUID string")
+    ids.write.parquet(f"{base}/source-of-monitored-occurrence/source=inaturalist/y=2017/m=04/d=05")
+    assert tables.read_selector(spark, base, tables.OCCURRENCE, uuid).first().m == "04"
+    assert sorted(tuple(r) for r in Q.monitored_occurrences(spark, base, "inaturalist").collect()) == [("a2", uuid), ("http://example.org/1", "")]
+    row = spark.createDataFrame([(1, "ready", *ALL, uuid)], "itemCount long, status string, taxonSelector string, wktString string, traitSelector string, uuid string")
+    row.drop("uuid").write.parquet(f"{base}/occurrence-summary/u0={uuid[0:2]}/u1={uuid[2:4]}/u2={uuid[4:6]}/uuid={uuid}")
+    assert column(Q.occurrences(spark, base, ALL, added_after="2017-04-04"), "id") == ["a2"]
+    plan = tables.selector_occurrences(spark, base, uuid, "2017-04-04")._jdf.queryExecution().executedPlan().toString()
+    assert any("make_date" in part.split("PushedFilters")[0] for part in plan.split("PartitionFilters")[1:])
+    # A batch comes on top of them; a full save takes their place.
+    add_batch(records.filter("id = 'b1'"), base, "batch-0", traits)
+    generate.compact_loads(spark, base)
+    assert column(Q.occurrences(spark, base, ALL), "id") == ["a2", "b1"] and counts(spark, base)[ALL[:2]] == ("ready", 2)
+    generate.save_occurrences(records, ALL, base, traits)
+    assert Q.occurrences(spark, base, ALL).count() == 6 and counts(spark, base)[ALL[:2]] == ("ready", 6)
+    assert [tuple(r) for r in Q.monitored_occurrences(spark, base, "inaturalist").collect()] == [("http://example.org/1", "")]
 
 
 def test_hot_partition_is_written_by_many_tasks(spark, tmp_path):
@@ -185,10 +264,10 @@ def test_hot_partition_is_written_by_many_tasks(spark, tmp_path):
     )
     spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "1MB")
     try:
-        tables.add_occurrences(rows, base, "batch")
+        tables.write_occurrences(rows, base, "batch")
     finally:
         spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
-    saved = tables.read_table(spark, base, tables.OCCURRENCE)
+    saved = tables.read_loads(spark, base, tables.OCCURRENCE)
     assert saved.count() == 200000 and len(saved.inputFiles()) > 1
 
 
@@ -202,16 +281,27 @@ def test_stream_equals_one_pass_and_replays(spark, records, traits, tmp_path):
     expected = {FROGS[:2]: ("ready", 3), ALL[:2]: ("ready", 6), NONE[:2]: ("ready", 0)}
     assert counts(spark, base) == expected
     before = monitored(spark, base)
-    loads = sorted(column(tables.read_table(spark, base, tables.OCCURRENCE).select("load").distinct(), "load"))
-    assert loads == ["new-0", "new-1", "new-2"][: len(loads)] and len(loads) > 1
+    assert loads(spark, base) == ["new-0", "new-1", "new-2"][: len(loads(spark, base))] and len(loads(spark, base)) > 1
     # A batch that runs again changes nothing.
-    batch = records.join(tables.read_table(spark, base, tables.OCCURRENCE).filter(f"load = '{loads[0]}'").select("id").distinct(), "id", "left_semi")
-    add_batch(batch.select(*schemas.OCCURRENCE.names), base, loads[0], traits)
+    first = tables.current_loads(spark, base).filter("load LIKE 'new-0.%'").first().load
+    ids = tables.read_loads(spark, base, tables.OCCURRENCE, [first]).select("id").distinct()
+    add_batch(records.join(ids, "id", "left_semi").select(*schemas.OCCURRENCE.names), base, "new-0", traits)
     assert counts(spark, base) == expected and monitored(spark, base) == before
-    # A full refresh takes the place of all batches.
+    # A full refresh takes the place of all batches, and of their folders.
     generate.refresh_all(records, base, traits)
     assert counts(spark, base) == expected and monitored(spark, base) == before
-    assert column(tables.read_table(spark, base, tables.OCCURRENCE).select("load").distinct(), "load") == ["full"]
+    assert loads(spark, base) == ["full"] and [f for f in folders(base) if "full" in f] and len(folders(base)) <= 2
+
+
+def test_stream_compacts_before_a_batch(spark, records, traits, tmp_path):
+    base, arrivals = str(tmp_path / "base"), str(tmp_path / "arrivals")
+    for i in range(5):
+        records.filter(F.pmod(F.hash("id"), F.lit(5)) == i).coalesce(1).write.parquet(f"{arrivals}/{i}")
+    generate.register_monitors(selectors_frame(spark, [FROGS, ALL]), base)
+    refresh_stream(spark, arrivals, base, str(tmp_path / "progress"), "new", traits, 1, compact_every=2).awaitTermination()
+    assert counts(spark, base) == {FROGS[:2]: ("ready", 3), ALL[:2]: ("ready", 6)}
+    assert "compact" in loads(spark, base) and len(loads(spark, base)) <= 3
+    assert Q.occurrences(spark, base, ALL).count() == 6
 
 
 def test_tsv_files_are_verbatim(spark, tmp_path):

@@ -126,6 +126,25 @@ SAVED = [
 ]
 
 
+# Areas that a cover with one cell size could only take in with the cell that is the world.
+THIN = [
+    ("", "ENVELOPE(-180,180,1,0)", ""),
+    ("ASIA", "ENVELOPE(0,160,1,0)", ""),
+    ("", "MULTIPOLYGON (((-90.5 0.5, -88.5 0.5, -88.5 2.5, -90.5 0.5)), ((89.5 0.5, 91.5 0.5, 91.5 2.5, 89.5 0.5)))", ""),
+    ("PROMO", "ENVELOPE(20,-20,-30,-31)", ""),
+]
+
+
+def trait_selectors(spark: SparkSession, folder: str) -> DataFrame:
+    """One selector per supplier, all for the same trait: longer than, or just as long as, some number of letters."""
+    key = F.col("s_suppkey")
+    number = (key % 97 / 4).cast("string")
+    trait = F.when(key % 3 == 0, F.concat(F.lit("nameLength = "), (key % 23).cast("string"))).otherwise(F.concat(F.lit("nameLength > "), number))
+    x = key * 37 % 300 - 180
+    wkt = F.concat(F.lit("ENVELOPE("), F.concat_ws(",", x.cast("string"), (x + 3).cast("string"), F.lit("40"), F.lit("0")), F.lit(")"))
+    return table(spark, folder, "supplier").select(F.lit("").alias("taxonSelector"), wkt.alias("wktString"), trait.alias("traitSelector"))
+
+
 def saved_selectors(spark: SparkSession, folder: str) -> DataFrame:
     """The cases, and one selector for each supplier."""
     key = F.col("s_suppkey")

@@ -10,6 +10,7 @@ from wildtally.operators.matching import count_taxa, match_index, prepared, sele
 from wildtally.operators.sizes import measured
 from wildtally.operators.traits import trait_filter
 from wildtally.selector import InvalidSelector, Resolved, resolve, selectors_frame, with_uuid
+from wildtally.session import checkpoint
 from wildtally.sources import tables
 
 READY = "ready"
@@ -65,31 +66,76 @@ def monitor_summary(selectors: DataFrame, counts: DataFrame) -> DataFrame:
     return rows.select("uuid", count.alias("itemCount"), status.alias("status"), *schemas.SELECTOR.names)
 
 
-def saved_occurrences(spark: SparkSession, base: str, selectors: DataFrame, uuid: str | None = None) -> DataFrame:
-    """The saved records of these selectors; ``uuid`` if it is one only."""
-    if uuid is not None:
-        return tables.read_selector(spark, base, tables.OCCURRENCE, uuid)
-    wanted = measured(selectors.select("uuid"), "uuid")
-    return tables.read_table(spark, base, tables.OCCURRENCE).join(wanted, "uuid", "left_semi")
+def _summary(selectors: DataFrame) -> DataFrame:
+    """Summary rows of selectors (with ``loads``): the count is the sum of what the loads hold."""
+    counted = selectors.withColumn("itemCount", F.aggregate("loads", F.lit(0).cast("long"), lambda n, entry: n + entry["n"]))
+    rows = monitor_summary(selectors.select("uuid", *schemas.SELECTOR.names), counted.select("uuid", "itemCount"))
+    return rows.join(selectors.select("uuid", "loads"), "uuid")
 
 
-def save_summary(selectors: DataFrame, base: str, uuid: str | None = None) -> None:
-    """Recount the saved records of these selectors; reads no column of them, row counts only."""
-    rows = saved_occurrences(selectors.sparkSession, base, selectors, uuid).select("uuid")
-    tables.save_summary(monitor_summary(selectors, aggregates.item_counts(rows)), base)
+def register_monitors(selectors: DataFrame, base: str) -> None:
+    """Save selectors before any record of them, for the next refresh or a stream to fill.
 
+    Monitors that are there already stay as they are.
+    """
+    chosen = prepared(selectors)
+    saved = measured(tables.read_table(chosen.sparkSession, base, tables.SUMMARY).select("uuid"), "uuid")
+    new = checkpoint(chosen.join(saved, "uuid", "left_anti"))
+    tables.save_summary(_summary(new.withColumn("loads", F.array().cast(schemas.LOADS))), base)
 
-def register_monitors(selectors: DataFrame, base: str) -> None:
-    """Save selectors before any record of them, for the next refresh or a stream to fill."""
-    save_summary(prepared(selectors), base)
+
+def add_load(rows: DataFrame, base: str, name: str) -> DataFrame:
+    """Write the records (with ``uuid``) and their ids as a new load; returns its (uuid, entry).
+
+    The match runs once; ids and counts come from the saved records. Nothing names the load yet.
+    """
+    load = tables.new_load(name)
+    tables.write_occurrences(rows, base, load)
+    tables.write_monitored(tables.read_loads(rows.sparkSession, base, tables.OCCURRENCE, [load]), base, load)
+    return checkpoint(tables.load_entries(rows.sparkSession, base, load))
+
+
+def point_to(selectors: DataFrame, base: str, replaced: DataFrame) -> None:
+    """Make ``loads`` of these selectors current, and remove the loads of ``replaced`` (load) that nothing names then.
+
+    ``replaced`` is read before: it may come from the summary. There are as many as saves since the last
+    compaction, not as many as selectors.
+    """
+    old = [r.load for r in replaced.distinct().collect()]
+    tables.save_summary(_summary(selectors), base)
+    tables.drop_unnamed(selectors.sparkSession, base, old)
 
 
 def _save(rows: DataFrame, selectors: DataFrame, base: str, uuid: str | None = None) -> None:
-    # The match runs once; ids and counts come from the saved records. The summary goes last:
-    # a monitor is ready when its records are there.
-    tables.save_occurrences(rows, base, selectors, uuid)
-    tables.save_monitored(saved_occurrences(rows.sparkSession, base, selectors, uuid), base, selectors)
-    save_summary(selectors, base, uuid)
+    spark = rows.sparkSession
+    entries = add_load(rows, base, "full")
+    now = F.when(F.col("entry").isNull(), F.array().cast(schemas.LOADS)).otherwise(F.array("entry"))
+    chosen = checkpoint(selectors.join(measured(entries, "uuid"), "uuid", "left").withColumn("loads", now).drop("entry"))
+    if uuid is not None:
+        before = tables.read_selector(spark, base, tables.SUMMARY, uuid)
+    else:
+        before = tables.read_table(spark, base, tables.SUMMARY).join(measured(chosen.select("uuid"), "uuid"), "uuid", "left_semi")
+    point_to(chosen, base, tables.named_loads(before).select(F.explode("loads.load").alias("load")))
+
+
+def compact_loads(spark: SparkSession, base: str, more_than: int = 1) -> None:
+    """Write the records of all selectors with more than so many loads as one load in place of them.
+
+    Readers have the old loads until the summaries name the new one. A batch that is part of a compacted load
+    cannot be replaced any more; a stream compacts before a batch, when all earlier ones are done.
+    """
+    summary = tables.named_loads(tables.read_table(spark, base, tables.SUMMARY)).filter(F.size("loads") > more_than)
+    # Records without loads stay where they are.
+    chosen = checkpoint(summary.filter(F.size(F.filter("loads", lambda x: x["load"] != tables.NO_LOAD)) > more_than))
+    wanted = checkpoint(chosen.select("uuid", F.explode("loads.load").alias("load")).filter(F.col("load") != tables.NO_LOAD))
+    loads = [r.load for r in wanted.select("load").distinct().collect()]
+    if not loads:
+        return
+    rows = tables.read_loads(spark, base, tables.OCCURRENCE, loads).join(measured(wanted, "uuid", "load"), ["uuid", "load"], "left_semi")
+    entries = add_load(rows, base, "compact")
+    kept = F.filter("loads", lambda x: x["load"] == tables.NO_LOAD)
+    moved = chosen.join(measured(entries, "uuid"), "uuid").withColumn("loads", F.concat(kept, F.array("entry"))).drop("entry")
+    point_to(checkpoint(moved), base, wanted.select("load"))
 
 
 def save_occurrences(occurrences: DataFrame, selector, base: str, traits: DataFrame | None = None) -> None:

@@ -57,8 +57,7 @@ def _occurrences(spark, base, found, added_after, added_before, limit, compute):
     if status is None and compute is not None:
         rows = filters.added_filter(_computed(found, compute), added_after, added_before)
     else:
-        rows = tables.read_selector(spark, base, tables.OCCURRENCE, found.uuid)
-        rows = filters.added_partition_filter(rows, added_after, added_before)
+        rows = tables.selector_occurrences(spark, base, found.uuid, added_after, added_before)
         if status != READY:
             rows = rows.limit(0)
     return first_rows(tables.occurrence_rows(rows), "occurrence", limit)
@@ -82,8 +81,7 @@ def occurrences_tsv(
 
 def monitored_occurrences(spark, base, source, added_after=None, added_before=None, limit=None) -> DataFrame:
     """Ids of one archive's records that are part of any monitor."""
-    rows = tables.read_source(spark, base, source)
-    rows = filters.added_partition_filter(rows, added_after, added_before)
+    rows = tables.source_ids(spark, base, source, added_after, added_before)
     return first_rows(tables.monitored_rows(rows), "monitored", limit)
 
 
@@ -127,7 +125,7 @@ def monitors_of(spark, base, selectors: DataFrame) -> DataFrame:
 
 def checklists_status(spark, base, selectors: DataFrame) -> DataFrame:
     """``ready`` for each selector that has a row in its checklist, else null."""
-    saved = tables.read_table(spark, base, tables.CHECKLIST).select("uuid").distinct()
+    saved = tables.read_table(spark, base, tables.CHECKLIST).filter("recordCount IS NOT NULL").select("uuid").distinct()
     return _with_picked_uuid(selectors).join(saved.withColumn("status", F.lit(READY)), "uuid", "left")
 
 

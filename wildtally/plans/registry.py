@@ -319,6 +319,19 @@ def generate_checklists(spark, folder):
     return generate.generate_checklists(derived.occurrences(spark, folder), selectors, derived.traits(spark, folder))
 
 
+@query
+def match_thin_areas(spark, folder):
+    """Bands around the world, scattered parts and a date-line band: no cover falls back to one cell for all."""
+    return match_selectors(derived.occurrences(spark, folder), selectors_frame(spark, derived.THIN))
+
+
+@query
+def match_hot_trait(spark, folder):
+    """Many selectors that ask for one trait, each with another number."""
+    selectors = derived.trait_selectors(spark, folder)
+    return match_selectors(derived.occurrences(spark, folder), selectors, derived.traits(spark, folder))
+
+
 @query
 def monitor_summary(spark, folder):
     selectors = prepared(derived.saved_selectors(spark, folder))
@@ -349,6 +362,31 @@ def stream_refresh(spark, folder):
     return Q.monitors(spark, base)
 
 
+def _streamed(spark, folder, **options):
+    """A base folder with one year saved in full and all others added as they arrive."""
+    base, traits = scratch_dir(spark, "stream"), derived.traits(spark, folder)
+    years = derived.occurrences(spark, folder).withColumn("year", F.year(F.timestamp_millis("added")))
+    first = years.year == 1995
+    years.filter(~first).hint("rebalance", "year").write.partitionBy("year").parquet(f"{base}/arrivals")
+    generate.save_all_occurrences(years.filter(first).drop("year"), selectors_frame(spark, derived.SAVED), base, traits)
+    refresh_stream(spark, f"{base}/arrivals", base, f"{base}/progress", "arrivals", traits, 2, **options).awaitTermination()
+    return base
+
+
+@query
+def refresh_after_stream(spark, folder):
+    """Counts after a full save and batches on top of it: sums of what each load holds."""
+    return Q.monitors(spark, _streamed(spark, folder))
+
+
+@query
+def compact_loads(spark, folder):
+    """The records of one selector after its loads were made one."""
+    base = _streamed(spark, folder)
+    generate.compact_loads(spark, base)
+    return Q.occurrences(spark, base, SAVED, limit=None)
+
+
 @query
 def save_one_selector(spark, folder):
     base = scratch_dir(spark, "one")

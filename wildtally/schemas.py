@@ -5,6 +5,7 @@ integer 2 and ``u0=06`` into 6 while ``u1=1e`` stayed text.
 """
 
 from pyspark.sql.types import (
+    ArrayType,
     DoubleType,
     LongType,
     StringType,
@@ -26,10 +27,14 @@ OCCURRENCE = _table(
     ("taxon", _S), ("lat", _D), ("lng", _D), ("start", _L), ("id", _S), ("added", _L), ("source", _S)
 )
 CHECKLIST = _table(("taxonPath", _S), ("recordCount", _L))
+# Where the records of a selector are: a load, how many of its records, and the first and last day-time among them.
+LOADS = ArrayType(_table(("load", _S), ("n", _L), ("first", _L), ("last", _L)))
 SUMMARY = _table(
-    ("itemCount", _L), ("status", _S), ("taxonSelector", _S), ("wktString", _S), ("traitSelector", _S)
+    ("itemCount", _L), ("status", _S), ("taxonSelector", _S), ("wktString", _S), ("traitSelector", _S), ("loads", LOADS)
 )
 MONITORED = _table(("occurrenceId", _S), ("monitorUUID", _S))
+LOADED_OCCURRENCE = _table(*[(f.name, f.dataType) for f in OCCURRENCE], ("uuid", _S))
+LOADED_MONITORED = _table(("occurrenceId", _S), ("monitorUUID", _S), ("added", _L))
 SELECTOR = _table(("taxonSelector", _S), ("wktString", _S), ("traitSelector", _S))
 TRAIT = _table(("taxon", _S), ("trait", _S), ("value", _D))
 

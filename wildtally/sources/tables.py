@@ -1,17 +1,21 @@
 """The saved tables: layout, reads and writes.
 
-All tables live below one base folder. Writes replace whole selectors: partitions are
-overwritten dynamically, so selectors that are not part of a write stay as they are, and folders
-of a rewritten selector that the write did not fill are removed afterwards. A write that fails
-before its commit leaves the old data in place, and running it again gives the same tables.
-
-``load`` is the last partition level of the two record tables: ``full`` for a complete
-computation, ``batch-N`` for the N-th batch of a stream, so that a replayed batch overwrites
-itself. In the table of ids, which is laid out by archive, the UUID of the selector follows after a
-dash: each selector owns its files there too, and saving one leaves those of all others alone.
-Tables without that level are read just as well.
+All tables live below one base folder. Records are saved in *loads*: a save, a batch of a stream or a
+compaction writes one new folder for all its selectors, spread by the first digits of their UUIDs and sorted by
+selector and time, so that the number of files goes by the size of the data and a read of one selector or
+some days skips the rest by the statistics of the files. Ids are saved in the same loads by archive.
+
+The summary of a selector says in which loads its records are, with their number and times, so it is a ledger
+as well: counts are sums of it, and no load is counted twice. A load counts from the moment that the summary
+names it; until then, and if a save is broken off, readers see what was there before. Loads that no
+summary names any more are removed, one folder each.
+
+Checklists and summaries are overwritten by selector. Tables of records by selector and day (or archive and
+day) without loads are read as well: they hold the records of selectors whose summary names no loads.
 """
 
+import re
+import uuid as _uuid
 from functools import reduce
 from operator import and_
 
@@ -20,10 +24,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wildtally import schemas
-from wildtally.functions.dates import day_partitions
 from wildtally.functions.selectors import selector_partitions
 from wildtally.functions.text import or_empty
-from wildtally.operators.filters import source_filter
+from wildtally.operators.filters import added_filter, added_partition_filter, source_filter
 from wildtally.operators.sizes import measured
 from wildtally.schemas import DAY_PARTITION, SELECTOR_PARTITION
 from wildtally.session import checkpoint
@@ -33,7 +36,12 @@ CHECKLIST = "checklist"
 OCCURRENCE = "occurrence"
 SUMMARY = "occurrence-summary"
 MONITORED = "source-of-monitored-occurrence"
-FULL_LOAD = "full"
+# Loads of each table, and the folders within one.
+LOADS = {OCCURRENCE: "occurrence-load", MONITORED: "monitored-load"}
+_LOAD_SCHEMAS = {OCCURRENCE: schemas.LOADED_OCCURRENCE, MONITORED: schemas.LOADED_MONITORED}
+_LOAD_PARTITION = {OCCURRENCE: "u0", MONITORED: "source"}
+# Stands for the tables without loads.
+NO_LOAD = ""
 
 _SCHEMAS = {CHECKLIST: schemas.CHECKLIST, OCCURRENCE: schemas.OCCURRENCE, SUMMARY: schemas.SUMMARY, MONITORED: schemas.MONITORED}
 PARTITIONS = {
@@ -101,77 +109,126 @@ def _among(rows: DataFrame, keys: DataFrame, how: str = "left_semi") -> DataFram
     return rows.join(renamed, reduce(and_, conditions), how)
 
 
-# The selector that a file belongs to, in its path.
-_OWNER = "/(?:uuid=|load=[^/]*-)([0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12})/"
+def _delete(spark: SparkSession, folder: str) -> None:
+    # Spark has no call to drop a folder, so the file system is asked for it.
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def _replace(rows: DataFrame, base: str, name: str, owners: DataFrame, folder: str = "") -> None:
-    """Write ``rows``; afterwards drop the folders of ``owners`` (uuid) that held rows only before."""
-    spark = rows.sparkSession
-    if _open(spark, base, name, folder) is None:
-        _write(rows, base, name)
-        return
+def save_checklists(checklists: DataFrame, base: str, selectors: DataFrame, uuid: str | None = None) -> None:
+    """(uuid, taxonPath, recordCount) of these selectors; ``uuid`` if it is one only.
 
-    def files():
-        # A listing, one row per file; no content is read.
-        listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet")
-        paths = listed.load(f"{base}/{name}{folder}").select(F.col("path").alias("_file"))
-        owned = paths.withColumn("uuid", F.regexp_extract("_file", _OWNER, 1))
-        return _among(owned, owners.select("uuid")).select("_file")
+    A selector that had rows and has none now gets one without a count, which readers leave out: so its old
+    rows are overwritten like all others.
+    """
+    before = _open(checklists.sparkSession, base, CHECKLIST, _selector_folder(uuid) if uuid else "")
+    if before is not None:
+        checklists = checkpoint(checklists)
+        empty = selectors.select("uuid").join(measured(checklists.select("uuid").distinct(), "uuid"), "uuid", "left_anti")
+        held = _among(before.select("uuid").distinct(), empty)
+        checklists = checklists.unionByName(held, allowMissingColumns=True)
+    rows = checklists.withColumns(selector_partitions(F.col("uuid")))
+    _write(rows.select("taxonPath", "recordCount", *PARTITIONS[CHECKLIST]), base, CHECKLIST)
 
-    before = checkpoint(files())
-    _write(rows, base, name)
-    # The write left new files in each folder it filled, so a file that is still there is stale.
-    stale = before.join(files(), "_file", "left_semi")
-    _drop(stale.select(F.regexp_replace("_file", "/[^/]*$", "").alias("folder")).distinct())
 
+def new_load(name: str) -> str:
+    """A load that is not there yet; all loads of one name stand for the same records."""
+    if not re.fullmatch(r"[\w-]+", name):
+        raise ValueError(f"not the name of a load: {name!r}")
+    return f"{name}.{_uuid.uuid4().hex}"
 
-def _drop(folders: DataFrame) -> None:
-    # Spark has no call to drop the partition of a path, so the file system is asked for it.
-    context = folders.sparkSession.sparkContext
-    for row in folders.toLocalIterator():
-        folder = context._jvm.org.apache.hadoop.fs.Path(context._jvm.java.net.URI(row.folder))
-        folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
 
+def _write_load(rows: DataFrame, base: str, name: str, load: str, order: list[str]) -> None:
+    part = _LOAD_PARTITION[name]
+    columns = [*_LOAD_SCHEMAS[name].names, part]
+    # Folders that got too much are split and small ones written by one task, per size at run time.
+    spread = rows.select(*columns).hint("rebalance", part).sortWithinPartitions(part, *order)
+    spread.write.partitionBy(part).parquet(f"{base}/{LOADS[name]}/load={load}")
 
-def _only(uuid: str | None) -> str:
-    return _selector_folder(uuid) if uuid else ""
 
+def write_occurrences(matched: DataFrame, base: str, load: str) -> None:
+    """Occurrences with the ``uuid`` of the selector they belong to, as a load that nothing names yet."""
+    rows = matched.withColumn("u0", selector_partitions(F.col("uuid"))["u0"])
+    _write_load(rows, base, OCCURRENCE, load, ["uuid", "added"])
 
-def save_checklists(checklists: DataFrame, base: str, selectors: DataFrame, uuid: str | None = None) -> None:
-    """(uuid, taxonPath, recordCount) of these selectors; ``uuid`` if it is one only."""
-    rows = checklists.withColumns(selector_partitions(F.col("uuid")))
-    _replace(rows.select("taxonPath", "recordCount", *PARTITIONS[CHECKLIST]), base, CHECKLIST, selectors.select("uuid"), _only(uuid))
 
+def write_monitored(matched: DataFrame, base: str, load: str) -> None:
+    """The ids of the same occurrences, by archive."""
+    rows = matched.withColumn("monitorUUID", F.col("uuid")).withColumn("occurrenceId", F.col("id"))
+    _write_load(rows, base, MONITORED, load, ["added"])
 
-def _occurrence_rows(matched: DataFrame, load: str) -> DataFrame:
-    columns = selector_partitions(F.col("uuid")) | day_partitions(F.col("added")) | {"load": F.lit(load)}
-    return matched.withColumns(columns).select(*schemas.OCCURRENCE.names, *PARTITIONS[OCCURRENCE])
+
+def read_loads(spark: SparkSession, base: str, name: str, loads: list[str] | None = None, part: str | None = None) -> DataFrame:
+    """The rows of some loads, or of all there are; of their folders ``part``, if given."""
+    root, declared = f"{base}/{LOADS[name]}", schemas.with_partitions(_LOAD_SCHEMAS[name], ["load", _LOAD_PARTITION[name]])
+    within = f"/{_LOAD_PARTITION[name]}={part}" if part else ""
+    paths = [root] if loads is None else [f"{root}/load={load}{within}" for load in loads]
+    try:
+        if paths:
+            return spark.read.schema(declared).option("basePath", root).parquet(*paths)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND" or loads is not None:
+            raise
+    return spark.createDataFrame([], declared)
 
 
-def _monitored_rows(matched: DataFrame, load: str) -> DataFrame:
-    columns = day_partitions(F.col("added")) | {"load": F.concat_ws("-", F.lit(load), F.col("uuid"))}
-    rows = matched.withColumns(columns).withColumn("monitorUUID", F.col("uuid"))
-    return rows.select(F.col("id").alias("occurrenceId"), "monitorUUID", *PARTITIONS[MONITORED])
+def load_entries(spark: SparkSession, base: str, load: str) -> DataFrame:
+    """(uuid, entry): how many records of each selector a load holds, and from when; reads that load alone."""
+    counted = read_loads(spark, base, OCCURRENCE, [load]).groupBy("uuid").agg(
+        F.count("*").alias("n"), F.min("added").alias("first"), F.max("added").alias("last")
+    )
+    return counted.select("uuid", F.struct(F.lit(load).alias("load"), "n", "first", "last").alias("entry"))
 
 
-def save_occurrences(matched: DataFrame, base: str, selectors: DataFrame, uuid: str | None = None) -> None:
-    """Occurrences with the ``uuid`` of the selector they belong to."""
-    _replace(_occurrence_rows(matched, FULL_LOAD), base, OCCURRENCE, selectors.select("uuid"), _only(uuid))
+def named_loads(summary: DataFrame) -> DataFrame:
+    """The summary with ``loads`` that are never null: records saved without loads are an entry of their own."""
+    without = F.struct(F.lit(NO_LOAD).alias("load"), F.col("itemCount").alias("n"), *[F.lit(None).cast("long").alias(c) for c in ("first", "last")])
+    none = F.array().cast(schemas.LOADS)
+    return summary.withColumn("loads", F.coalesce("loads", F.when(F.col("itemCount") > 0, F.array(without)).otherwise(none)))
 
 
-def save_monitored(matched: DataFrame, base: str, selectors: DataFrame) -> None:
-    """The ids of the same occurrences, by archive; reads and writes nothing of other selectors."""
-    _replace(_monitored_rows(matched, FULL_LOAD), base, MONITORED, selectors)
+def current_loads(spark: SparkSession, base: str) -> DataFrame:
+    """(uuid, load, n, first, last): where the records of each selector are."""
+    summary = named_loads(read_table(spark, base, SUMMARY))
+    return summary.select("uuid", F.explode("loads").alias("l")).select("uuid", "l.*")
 
 
-def add_occurrences(matched: DataFrame, base: str, load: str) -> None:
-    """Add the occurrences of one load, or overwrite them if the load is there already."""
-    _write(_occurrence_rows(matched, load), base, OCCURRENCE)
+def drop_unnamed(spark: SparkSession, base: str, loads: list[str]) -> None:
+    """Remove those of these loads that no summary names."""
+    loads = [load for load in loads if load != NO_LOAD]
+    if not loads:
+        return
+    named = {r.load for r in current_loads(spark, base).filter(F.col("load").isin(loads)).select("load").distinct().collect()}
+    for load in set(loads) - named:
+        for name in LOADS.values():
+            _delete(spark, f"{base}/{name}/load={load}")
+
+
+def selector_occurrences(spark: SparkSession, base: str, uuid: str, after: str | None = None, before: str | None = None) -> DataFrame:
+    """The current records of one selector, from the loads that its summary names and its days allow."""
+    columns = schemas.OCCURRENCE.names
+    row = named_loads(read_selector(spark, base, SUMMARY, uuid)).select("loads").first()
+    loads = row.loads if row else []
+    names = [entry.load for entry in loads if entry.load != NO_LOAD]
+    rows = read_loads(spark, base, OCCURRENCE, names, uuid[0:2]).filter(F.col("uuid") == uuid)
+    rows = added_filter(rows, after, before).select(columns)
+    if len(names) < len(loads):
+        old = added_partition_filter(read_selector(spark, base, OCCURRENCE, uuid), after, before)
+        rows = rows.unionByName(old.select(columns))
+    return rows
 
 
-def add_monitored(matched: DataFrame, base: str, load: str) -> None:
-    _write(_monitored_rows(matched, load), base, MONITORED)
+def source_ids(spark: SparkSession, base: str, source: str, after: str | None = None, before: str | None = None) -> DataFrame:
+    """(occurrenceId, monitorUUID) of one archive, as the summaries have them now."""
+    columns = schemas.MONITORED.names
+    current = checkpoint(current_loads(spark, base).select(F.col("uuid").alias("monitorUUID"), "load"))
+    rows = added_filter(source_filter(read_loads(spark, base, MONITORED), source), after, before)
+    rows = rows.join(measured(current, "monitorUUID", "load"), ["monitorUUID", "load"], "left_semi").select(columns)
+    old = added_partition_filter(read_source(spark, base, source), after, before).select(columns)
+    moved = current.groupBy("monitorUUID").agg(F.max(F.col("load") == NO_LOAD).alias("old")).filter("NOT old").select("monitorUUID")
+    # Ids without a monitor stay.
+    return rows.unionByName(old.join(measured(moved, "monitorUUID"), "monitorUUID", "left_anti").select(columns))
 
 
 def save_summary(summary: DataFrame, base: str) -> None:
@@ -181,7 +238,7 @@ def save_summary(summary: DataFrame, base: str) -> None:
 
 
 def checklist_rows(spark: SparkSession, base: str, uuid: str) -> DataFrame:
-    return read_selector(spark, base, CHECKLIST, uuid).select(*schemas.CHECKLIST.names)
+    return read_selector(spark, base, CHECKLIST, uuid).filter("recordCount IS NOT NULL").select(*schemas.CHECKLIST.names)
 
 
 def occurrence_rows(rows: DataFrame) -> DataFrame:

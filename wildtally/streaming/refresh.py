@@ -7,23 +7,26 @@ from pyspark.sql.streaming import StreamingQuery
 from wildtally import schemas
 from wildtally.operators.matching import match_index, prepared, selector_index
 from wildtally.operators.sizes import measured
-from wildtally.plans.generate import save_summary
+from wildtally.plans.generate import add_load, compact_loads, point_to
+from wildtally.session import checkpoint
 from wildtally.sources import tables
 
 
 def add_batch(occurrences: DataFrame, base: str, load: str, traits: DataFrame | None = None) -> None:
-    """Match new occurrences with all saved monitors, add them, and recount those monitors.
+    """Match new occurrences with all saved monitors and add them as a load; reads no older record.
 
-    The same load again overwrites itself, so a replayed batch changes nothing.
+    The same load again takes the place of the first, so a replayed batch changes nothing.
     """
     spark = occurrences.sparkSession
-    # The summary is overwritten at the end; this copy of its selectors stays.
-    saved = prepared(tables.read_table(spark, base, tables.SUMMARY))
-    tables.add_occurrences(match_index(occurrences, selector_index(saved), traits), base, load)
-    added = tables.read_table(spark, base, tables.OCCURRENCE).filter(F.col("load") == load)
-    tables.add_monitored(added, base, load)
-    touched = measured(added.select("uuid").distinct(), "uuid")
-    save_summary(saved.join(touched, "uuid", "left_semi"), base)
+    # The summary is overwritten at the end; this copy of it stays.
+    saved = checkpoint(tables.named_loads(tables.read_table(spark, base, tables.SUMMARY)))
+    entries = add_load(match_index(occurrences, selector_index(prepared(saved)), traits), base, load)
+    same = lambda entry: F.startswith(entry["load"], F.lit(f"{load}."))
+    touched = saved.join(measured(entries, "uuid"), "uuid", "left").filter(F.col("entry").isNotNull() | F.exists("loads", same))
+    others = F.filter("loads", lambda entry: ~same(entry))
+    loads = F.when(F.col("entry").isNull(), others).otherwise(F.concat(others, F.array("entry")))
+    replaced = saved.select(F.explode(F.filter("loads", same)).alias("l")).select("l.load")
+    point_to(checkpoint(touched.withColumn("loads", loads).drop("entry")), base, replaced)
 
 
 def refresh_stream(
@@ -34,17 +37,22 @@ def refresh_stream(
     name: str,
     traits: DataFrame | None = None,
     files_per_batch: int | None = None,
+    compact_every: int = 32,
 ) -> StreamingQuery:
     """Work through the occurrence files in ``folder`` that this stream has not seen yet.
 
     ``name`` belongs to the checkpoint location: the batches are saved under it, so another
-    stream needs another name.
+    stream needs another name. Each ``compact_every`` batches their loads are made one, so that a selector is
+    never in more than a few dozen.
     """
     reader = spark.readStream.schema(schemas.OCCURRENCE).option("recursiveFileLookup", True)
     if files_per_batch is not None:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
 
     def run(batch: DataFrame, batch_id: int) -> None:
+        if batch_id and batch_id % compact_every == 0:
+            # All batches before this one are done for good: only this one can come again.
+            compact_loads(spark, base, compact_every // 2)
         add_batch(batch, base, f"{name}-{batch_id}", traits)
 
     return (
