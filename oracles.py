@@ -6,6 +6,7 @@ the validity of selectors is the question.
 
 from wildtally import derived
 
+# Fixed value: the name space of selector identifiers.
 NAMESPACE = "40d05094803d5bfab1e148975d2035fc"
 DAY = 86400000
 
@@ -79,6 +80,7 @@ SHAPES = {
     derived.SAVED[1][1]: ((-2.5, 9.5, -0.5, 8.5), edges_of(SMALL)),
     "ENVELOPE(178,-178,4,-4)": ((178, -178, -4, 4), NO_EDGES),
     "ENVELOPE(-10,0,10,0)": ((-10, 0, 0, 10), NO_EDGES),
+    derived.RIM_WKT: ((-124, 124, -62, 62), edges_of(derived.RIM)),
     "ENVELOPE(-180,180,1,0)": ((-180, 180, 0, 1), NO_EDGES),
     "ENVELOPE(0,160,1,0)": ((0, 160, 0, 1), NO_EDGES),
     derived.THIN[2][1]: ((-90.5, 91.5, 0.5, 2.5), edges_of(*SCATTERED)),
@@ -337,6 +339,7 @@ ORACLES = {
     "polygon_filter": area(derived.CASES[3][1]),
     "polygon_hole_filter": area(derived.CASES[4][1]),
     "multipolygon_filter": area(derived.CASES[5][1]),
+    "many_edges_filter": area(derived.RIM_WKT),
     "date_line_filter": of_occ(COLUMNS, "(lng >= 170 OR lng <= -170) AND lat BETWEEN -10 AND 10"),
     "trait_presence_filter": with_trait("longName"),
     "trait_value_filter": with_trait("nameLength <= 8|nameLength > 10"),
@@ -371,6 +374,9 @@ ORACLES = {
         f"CASE WHEN givenUuid IS NULL THEN {uuid_of(NORM_T, 'wktString', NORM_R)} "
         "WHEN length(givenUuid) = 36 THEN lower(givenUuid) END AS uuid"
     ),
+    "selector_statuses": f"WITH {VARIED} SELECT {uuid_of(NORM_T, 'wktString', NORM_R)} AS uuid, taxonSelector, wktString, traitSelector, "
+    "CASE WHEN NOT validTaxa THEN 'invalid taxon list' WHEN NOT validWkt THEN 'invalid area' "
+    "WHEN key % 7 = 5 THEN 'unsupported area' ELSE 'ready' END AS status FROM varied",
     "selector_valid": varied("validTaxa, validTaxa AND validWkt AS valid"),
     "rank_path": of_occ("id, concat_ws('|', r_name, n_name, p_type, p_brand, p_name) AS taxonPath"),
     "bbox_polygon": of_occ(f"id, concat('POLYGON((', concat_ws(',', {BOX}), '))') AS wkt"),

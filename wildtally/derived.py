@@ -1,5 +1,7 @@
 """Occurrences, traits, ranks and selectors derived from the order tables in ``TESTDATA.md``."""
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -126,6 +128,19 @@ SAVED = [
 ]
 
 
+def _rim(points: int) -> list:
+    """A closed ring around the origin with as many points, near and far in turn."""
+    ring = []
+    for i in range(points):
+        radius, angle = (62 if i % 2 else 57), 2 * math.pi * i / points
+        ring.append((round(radius * 2 * math.cos(angle), 4), round(radius * math.sin(angle), 4)))
+    return [*ring, ring[0]]
+
+
+RIM = _rim(1200)
+RIM_WKT = "POLYGON ((" + ", ".join(f"{x} {y}" for x, y in RIM) + "))"
+
+
 # Areas that a cover with one cell size could only take in with the cell that is the world.
 THIN = [
     ("", "ENVELOPE(-180,180,1,0)", ""),

@@ -13,7 +13,8 @@ from wildtally.functions import shapes
 # Cell sizes in degrees, each a multiple of the one before; the last one takes in the whole world.
 SIZES = [1, 4, 16, 64, 1024]
 WORLD = len(SIZES) - 1
-# Cells of one area (a box, or all rings of a polygon) at most.
+# Cells of one area (a box, or all rings of a polygon) at most; a polygon of more edges has one for each edge
+# at most, so that a point in a rim cell sees few of them.
 MAX_CELLS = 64
 # Rounding never moves a point further than this from the cell it falls in.
 _MARGIN = "0.000001D"
@@ -53,7 +54,7 @@ def cover(box: str, edges: str) -> str:
         now = f"s{level}"
         steps.append((state, now))
         # Cells that were too many to be cut once stay as they are.
-        few = f"forall({now}.open, c -> c.level = {level}) AND size({now}.done) + size(kids) <= {MAX_CELLS}"
+        few = f"forall({now}.open, c -> c.level = {level}) AND size({now}.done) + size(kids) <= greatest({MAX_CELLS}, coalesce(size({edges}), 0))"
         cut = f"named_struct('done', concat({now}.done, filter(kids, k -> k.whole)), 'open', filter(kids, k -> NOT k.whole))"
         state = shapes.let(_refined(f"{now}.open", box, level), "kids", f"CASE WHEN {few} THEN {cut} ELSE {now} END")
     covered = shapes.let(state, "s", "concat(s.done, s.open)")

@@ -5,11 +5,13 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wildtally.functions import shapes
+from wildtally.functions import cells, shapes
 from wildtally.functions.dates import DAY_MILLIS, FIRST_MILLIS, LAST_MILLIS, parse_utc
 from wildtally.functions.taxa import path_elements
 from wildtally.functions.text import BLANK
+from wildtally.operators.sizes import small_side
 from wildtally.selector import InvalidSelector, Resolved, resolve
+from wildtally.session import checkpoint
 
 # Up to this many terms one regular expression beats a look at each path element.
 _MANY_TERMS = 16
@@ -75,9 +77,29 @@ def area_filter(occurrences: DataFrame, wkt: str) -> DataFrame:
     return selector_area_filter(occurrences, resolve(occurrences.sparkSession, ("", wkt, "")))
 
 
+def _within_cells(occurrences: DataFrame, selector: Resolved) -> DataFrame:
+    """Inside a polygon of many edges: a join with its cells, where a point sees the edges that matter for its cell."""
+    spark = occurrences.sparkSession
+    area = spark.createDataFrame([(selector.selector.wktString,)], "wkt string").select(shapes.area("wkt").alias("a"))
+    area = area.select("a.edges", F.explode("a.boxes").alias("box"))
+    cover = area.select(F.explode_outer(F.expr(cells.cover("box", "edges"))).alias("c")).filter("c IS NOT NULL")
+    sloped = shapes.sloped("c.edges")
+    keys = checkpoint(cover.selectExpr("c.level AS level", "c.cell AS _cell", "c.whole AS _whole", f"CASE WHEN NOT c.whole THEN {sloped} END AS _edges"))
+    levels = [row.level for row in keys.select("level").distinct().collect()]
+    size = keys.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("_edges")), F.lit(0)).alias("edges")).first()
+    keys = small_side(keys.drop("level"), size.n, 56 * size.edges)
+    columns = occurrences.columns
+    rows = occurrences.filter(area_condition(selector.boxes, []))
+    rows = rows.select("*", F.explode(F.array(*[F.expr(cells.cell_of("lat", "lng", n)) for n in levels])).alias("_cell"))
+    # The cells of a cover do not overlap, so a point is in one of them at most.
+    return rows.join(keys, "_cell").filter(f"_whole OR {shapes.inside_edges('lat', 'lng', '_edges')}").select(*columns)
+
+
 def selector_area_filter(occurrences: DataFrame, selector: Resolved) -> DataFrame:
     if not selector.supported:
         raise InvalidSelector(f"unsupported area: {selector.selector.wktString!r}")
+    if selector.selector is not None and len(selector.edges) > _MANY_EDGES:
+        return _within_cells(occurrences, selector)
     return occurrences.filter(area_condition(selector.boxes, selector.edges))
 
 

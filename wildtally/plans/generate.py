@@ -4,6 +4,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wildtally import schemas
+from wildtally.functions import selectors as S
+from wildtally.functions import shapes
 from wildtally.functions.shapes import supported_area
 from wildtally.operators import aggregates, filters
 from wildtally.operators.matching import count_taxa, match_index, prepared, selector_index
@@ -15,6 +17,8 @@ from wildtally.sources import tables
 
 READY = "ready"
 NO_AREA = "unsupported area"
+BAD_TAXA = "invalid taxon list"
+BAD_AREA = "invalid area"
 
 
 def select_occurrences(occurrences: DataFrame, selector, traits: DataFrame | None = None) -> DataFrame:
@@ -73,6 +77,22 @@ def _summary(selectors: DataFrame) -> DataFrame:
     return rows.join(selectors.select("uuid", "loads"), "uuid")
 
 
+def selector_statuses(selectors: DataFrame) -> DataFrame:
+    """What becomes of each selector, row by row: ``ready``, an area without an inside, or why it is refused.
+
+    The trait list is not checked. One row per given row, nulls as empty text, in no order.
+    """
+    rows = selectors.select(*[S.or_empty(F.col(c)).alias(c) for c in schemas.SELECTOR.names])
+    taxa, traits = (S.normalize_list(F.col(c)) for c in ("taxonSelector", "traitSelector"))
+    status = (
+        F.when(~S.valid_taxa(taxa), BAD_TAXA)
+        .when(~shapes.valid_wkt("wktString"), BAD_AREA)
+        .when(~supported_area("wktString"), NO_AREA)
+        .otherwise(READY)
+    )
+    return rows.select(S.selector_uuid(taxa, F.col("wktString"), traits).alias("uuid"), *schemas.SELECTOR.names, status.alias("status"))
+
+
 def register_monitors(selectors: DataFrame, base: str) -> None:
     """Save selectors before any record of them, for the next refresh or a stream to fill.
 

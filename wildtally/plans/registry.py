@@ -96,6 +96,11 @@ def multipolygon_filter(spark, folder):
     return filters.area_filter(derived.occurrences(spark, folder), TWO_PARTS)
 
 
+@query
+def many_edges_filter(spark, folder):
+    return filters.area_filter(derived.occurrences(spark, folder), derived.RIM_WKT)
+
+
 @query
 def date_line_filter(spark, folder):
     return filters.area_filter(derived.occurrences(spark, folder), DATE_LINE)
@@ -240,6 +245,12 @@ def selector_valid(spark, folder):
     return rows.select("key", S.valid_taxa(F.col("taxonSelector")).alias("validTaxa"), valid.alias("valid"))
 
 
+@query
+def selector_statuses(spark, folder):
+    """Which of many selectors are refused, and why."""
+    return generate.selector_statuses(derived.varied_selectors(spark, folder))
+
+
 @query
 def rank_path(spark, folder):
     return derived.rank_paths(spark, folder)
