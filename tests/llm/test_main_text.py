@@ -2,6 +2,7 @@
 
 import html
 import re
+import time
 
 import duckdb
 
@@ -30,6 +31,40 @@ def test_given_pages():
         assert M.main_text(page) == " ".join(html.unescape(article).replace("\x01", " ").split())
 
 
+WRAPPERS = ['<div class="content has-sidebar">', '<div id="page" class="with-comments">', "<form>", '<form><div class="search-page widget">', '<section role="search">']
+
+
+def wrapped(page, opening):
+    """The page with all of its body inside ``opening``."""
+    tags = re.findall(r"<(\w+)", opening)
+    return re.sub(r"(<body[^>]*>)(.*?)(</body>|\Z)", lambda m: m[1] + opening + m[2] + "".join(f"</{t}>" for t in reversed(tags)) + m[3], page, flags=re.S)
+
+
+def test_wrappers_with_hints():
+    pages = [p for (p,) in duckdb.execute("SELECT html FROM '/root/testdata/sf0.01/pages.parquet'").fetchall()]
+    for opening in WRAPPERS:
+        for page in pages:
+            assert wrapped(page, opening) != page
+            assert M.main_text(wrapped(page, opening)) == M.main_text(page) != ""
+        assert M.main_text(wrapped(PAGE, opening)) == TEXT
+
+
+def test_remarks_longer_than_the_article():
+    remarks = '<div class="comments">' + "<article class=comment><p>A reader wrote this long remark about all of it.</p></article>" * 30 + "</div>"
+    for opening, closing in [("<article>", "</article>"), ("<main>", "</main>")]:
+        assert M.main_text(f"<body>{opening}<h1>Title</h1><p>The text of the article itself.</p>{closing}{remarks}</body>") == "Title The text of the article itself."
+    flat = '<div class="comments">' + "<p>A reader wrote this long remark about all of it.</p>" * 30 + "</div>"
+    assert M.main_text(f"<body><div><h1>Title</h1><p>The text of the article itself.</p></div>{flat}</body>") == "Title The text of the article itself."
+
+
+def test_deep_nesting_is_linear():
+    depth = 100_000
+    for page in ("<div>" * depth + "deep" + "</div>" * depth, "<div>" * depth + "</section>" * depth + "deep", "<div class=menu>" * depth + "deep"):
+        began = time.monotonic()
+        assert M.main_text(page) == "deep"
+        assert time.monotonic() - began < 20
+
+
 def test_rows(spark):
     rows = [(1, "u", PAGE), (1, "u", PAGE), (2, None, None), (None, "v", "<p>x &amp; y</p>"), (3, "w", "")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'clash' AS text", "'clash' AS n_chars")

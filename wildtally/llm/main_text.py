@@ -1,13 +1,19 @@
 """Main text of web pages from parser events, text-to-tag ratios, smoothing and clustering.
 
 The standard library's parser is fed in chunks. Its events make lines, one for each block, with their
-text, number of tags, share of link text and enclosing containers; text in menus, forms and the like is
-left out at once. The ratio of text to tags of each line is smoothed by a Gaussian and split into two
-clusters; the lines of the upper one are content. The article is the container that holds most of the
-content, and all its lines belong to it, short ones as well.
+text, number of tags, share of link text and innermost container; text in menus, scripts and the like is
+left out at once. A form, or an element whose class or role hints at something else than the article, is
+only doubtful: it is left out unless it turns out to be wrapped around the article. The ratio of text to
+tags of each line is smoothed by a Gaussian and split into two clusters; the lines of the upper one are
+content. The article is the container that holds most of the content, and all its lines belong to it,
+short ones as well.
+
+Containers point to the one around them and are numbered in page order, so sums over what they hold, and
+what is inside of what, take one pass however deep they are nested.
 """
 
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import numpy as np
@@ -22,13 +28,16 @@ CHUNK = 1 << 16
 SIGMA = 1.0
 # Share of the content that a container needs to be the article.
 MOST, PART = 0.6, 0.25
+# Share of the plain text that makes a doubtful element a wrapper of the page, and with a main heading inside.
+WRAPPER, HEADED = 0.8, 0.5
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
 )
-NEVER = frozenset("script style head noscript template nav footer aside form button select textarea option iframe object svg canvas dialog menu audio video math".split())
+NEVER = frozenset("script style head noscript template nav footer aside button select textarea option iframe object svg canvas dialog menu audio video math".split())
 CONTAINERS = frozenset("body article main section div td".split())
+ARTICLES = ("article", "main")
 # A new one closes an open one of the same kind.
 ALONE = frozenset("p li dt dd tr td th option".split())
 _HINTS = frozenset(
@@ -36,6 +45,10 @@ _HINTS = frozenset(
     "comment comments disqus respond replies reply discussion sidebar sidebars widget widgets menu nav navbar navigation breadcrumb breadcrumbs pagination pager toolbar footer "
     "masthead topbar share sharing social related recommended newsletter subscribe subscription signup login search hidden skip".split()
 )
+# No wrapper by its text alone: readers may write more than the author.
+_REMARKS = frozenset("comment comments disqus respond replies reply discussion".split())
+# "has-sidebar" is no sidebar.
+_BESIDES = frozenset("has have with no without hide show".split())
 _HEADER_HINTS = frozenset("header site".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 _SPLIT = re.compile(r"[^a-z]+")
@@ -43,16 +56,19 @@ _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 class Lines(HTMLParser):
-    """The blocks of a page: texts, tags, link characters, and container paths."""
+    """The blocks of a page: texts, tags, link characters, and innermost containers."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack = []  # (tag, whether its text is left out, container path, whether inside a link)
-        self.lines, self.parts, self.tags, self.linked, self.count = [], [], 0, 0, 0
-        self.kinds = ["root"]
+        self.stack = []  # (tag, whether its text is left out, container, whether inside a link)
+        self.open = Counter()
+        self.lines, self.parts, self.tags, self.linked = [], [], 0, 0
+        # Of each container: its tag, the one around it, whether it is in an article, why it is doubtful.
+        self.kinds, self.around, self.within, self.doubts = ["root"], [0], [False], [""]
+        self.headings = []  # containers of main headings
 
     def _top(self):
-        return self.stack[-1] if self.stack else ("", False, (0,), False)
+        return self.stack[-1] if self.stack else ("", False, 0, False)
 
     def _end_line(self):
         text = " ".join("".join(self.parts).split())
@@ -64,28 +80,36 @@ class Lines(HTMLParser):
             self.lines[-1] = (last[0], last[1] + self.tags, *last[2:])
         self.parts, self.tags, self.linked = [], 0, 0
 
-    def _left_out(self, tag, attrs, path):
-        if tag in NEVER:
+    def _left_out(self, tag, attrs, inside):
+        """Whether an element is left out whatever it holds."""
+        if tag in NEVER or tag == "header" and not inside:
             return True
-        inside = any(self.kinds[c] in ("article", "main") for c in path)
-        if tag == "header":
-            return not inside
-        if not attrs or tag in ("html", "body", "article", "main"):
-            return False
         for name, value in attrs:
             if name == "hidden" or name == "aria-hidden" and value == "true":
                 return True
+            if name == "style" and value and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
+                return True
+        return False
+
+    def _doubt(self, tag, attrs, inside):
+        """Why an element may not belong to the article: "remarks", "hint" or nothing."""
+        if tag == "form":
+            return "hint"
+        if tag in ("html", "body", "article", "main", "header"):
+            return ""
+        for name, value in attrs:
             if not value:
                 continue
             if name in ("class", "id"):
-                words = set(_SPLIT.split(_CAMEL.sub("-", value).lower()))
+                listed = _SPLIT.split(_CAMEL.sub("-", value).lower())
+                words = {w for before, w in zip(["", *listed], listed) if before not in _BESIDES}
+                if words & _REMARKS:
+                    return "remarks"
                 if words & _HINTS or (words >= _HEADER_HINTS or "header" in words and words & {"page", "top", "main"}) and not inside:
-                    return True
+                    return "hint"
             elif name == "role" and value.lower() in _ROLES:
-                return True
-            elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-                return True
-        return False
+                return "hint"
+        return ""
 
     def handle_starttag(self, tag, attrs):
         if tag not in INLINE:
@@ -95,25 +119,39 @@ class Lines(HTMLParser):
         self.tags += 1
         if tag in VOID:
             return
-        _, out, path, link = self._top()
+        _, out, box, link = self._top()
+        out = out or self._left_out(tag, attrs, self.within[box])
         if not out:
-            out = self._left_out(tag, attrs, path)
-        if tag in CONTAINERS and not out:
-            self.kinds.append(tag)
-            path = (*path, len(self.kinds) - 1)
-        self.stack.append((tag, out, path, link or tag == "a"))
+            doubt = self._doubt(tag, attrs, self.within[box])
+            if doubt or tag in CONTAINERS:
+                self.kinds.append(tag)
+                self.around.append(box)
+                self.within.append(self.within[box] or tag in ARTICLES)
+                self.doubts.append(doubt)
+                box = len(self.kinds) - 1
+            if tag == "h1":
+                self.headings.append(box)
+        self.stack.append((tag, out, box, link or tag == "a"))
+        self.open[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
         if tag not in INLINE:
             self._end_line()
         self.tags += 1
 
+    def _cut(self, size):
+        for tag, *_ in self.stack[size:]:
+            self.open[tag] -= 1
+        del self.stack[size:]
+
     def _close(self, tag, within=()):
         """Pop to the open ``tag``; not beyond one of ``within``."""
+        if not self.open[tag]:
+            return
         for i in range(len(self.stack) - 1, -1, -1):
             if self.stack[i][0] == tag:
                 self._end_line()
-                del self.stack[i:]
+                self._cut(i)
                 return
             if self.stack[i][0] in within:
                 return
@@ -121,11 +159,12 @@ class Lines(HTMLParser):
     def handle_endtag(self, tag):
         if tag in INLINE:
             self.tags += 1
+            if not self.open[tag]:
+                return
             # An inline end tag never closes a block around it.
             for i in range(len(self.stack) - 1, -1, -1):
                 if self.stack[i][0] == tag:
-                    if all(x[0] in INLINE for x in self.stack[i:]):
-                        del self.stack[i:]
+                    self._cut(i)
                     return
                 if self.stack[i][0] not in INLINE:
                     return
@@ -174,9 +213,41 @@ def threshold(values: np.ndarray) -> float:
     return float(np.expm1((lo + hi) / 2))
 
 
+def _summed(parser: Lines, amounts: dict) -> list:
+    """What each container holds, in itself and in those inside, of ``amounts`` by container."""
+    held = [amounts.get(c, 0) for c in range(len(parser.kinds))]
+    for c in range(len(held) - 1, 0, -1):
+        held[parser.around[c]] += held[c]
+    return held
+
+
+def _belonging(parser: Lines) -> list[bool]:
+    """Whether each container is outside all doubtful ones that are not wrapped around the article.
+
+    A wrapper holds a good part of the plain text and all elements for articles, if there are any; or
+    most of the text with the main heading; or nearly all text, unless it is named after remarks.
+    """
+    plain, articles = Counter(), Counter()
+    for text, _, linked, box in parser.lines:
+        plain[box] += max(0, len(text) - linked)
+    for c, kind in enumerate(parser.kinds):
+        articles[c] += kind in ARTICLES
+    plain, articles, headings = _summed(parser, plain), _summed(parser, articles), _summed(parser, Counter(parser.headings))
+    good = [True]
+    for c in range(1, len(parser.kinds)):
+        share = plain[c] / max(1, plain[0])
+        if articles[0]:
+            wrapper = articles[c] == articles[0] and share >= PART
+        else:
+            wrapper = share >= HEADED and headings[c] > 0 or share >= WRAPPER and parser.doubts[c] != "remarks"
+        good.append(good[parser.around[c]] and (not parser.doubts[c] or wrapper))
+    return good
+
+
 def main_text(html: str) -> str:
     parser = lines_of(html)
-    lines = parser.lines
+    good = _belonging(parser)
+    lines = [line for line in parser.lines if good[line[3]]]
     if not lines:
         return ""
     sizes = np.array([len(t) for t, *_ in lines], dtype=float)
@@ -187,17 +258,19 @@ def main_text(html: str) -> str:
     weight = np.where(content, plain, 0.0)
     if not weight.sum():
         weight = sizes
-    held: dict[int, float] = {}
-    for (*_, path), w in zip(lines, weight):
-        for c in path:
-            held[c] = held.get(c, 0.0) + w
+    held = Counter()
+    for (*_, box), w in zip(lines, weight):
+        held[box] += w
+    held = _summed(parser, held)
     total = float(weight.sum())
-    articles = {c for c, w in held.items() if parser.kinds[c] in ("article", "main") and w >= PART * total}
-    if articles:
-        return " ".join(t for t, _, _, path in lines if not articles.isdisjoint(path))
-    # Containers are numbered in page order, an inner one after those around it.
-    chosen = max(c for c, w in held.items() if w >= MOST * total)
-    return " ".join(t for (t, _, linked, path), good in zip(lines, content) if chosen in path and (good or linked < 0.8 * len(t)))
+    chosen = [kind in ARTICLES and w >= PART * total for kind, w in zip(parser.kinds, held)]
+    whole = any(chosen)
+    if not whole:
+        # Containers are numbered in page order, an inner one after those around it.
+        chosen[max(c for c, w in enumerate(held) if w >= MOST * total)] = True
+    for c in range(1, len(chosen)):
+        chosen[c] = chosen[c] or chosen[parser.around[c]]
+    return " ".join(t for (t, _, linked, box), sure in zip(lines, content) if chosen[box] and (whole or sure or linked < 0.8 * len(t)))
 
 
 _TEXTS = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
@@ -212,7 +285,8 @@ def _extracted(batches):
 def extract(pages: DataFrame) -> DataFrame:
     """``page_id, url, text, n_chars`` of every row of ``pages`` (page_id, url, html).
 
-    A null or empty page, and one with nothing but menus and the like, has an empty text. Markup that
+    A null or empty page, and one with nothing but menus, headers, footers and links, has an empty text; where an
+    element that is named like a notice or a form holds all other text, that text is the page's. Markup that
     is broken off or not closed is read as far as it goes. Rows are read one by one: repeated rows, null
     ids and urls and further columns make no difference. An empty table gives no rows.
     """
