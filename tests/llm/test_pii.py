@@ -65,6 +65,25 @@ def test_each_disguise_alone():
         assert pii.disguised(clean, []) == []
 
 
+def test_places_are_no_addresses():
+    links = ["Visit us at example.com", "The code is available at github.com", "Read it at www.example.org", "He works at home.de", "contact us at example.com", "see the page at docs.example.org now"]
+    for text in links:
+        assert pii.plain(text) == [] and pii.disguised(text, []) == [], text
+        assert pii.redacted(text, pii.disguised(text, [])) == text
+    cases = {
+        "mail john at example.com": "john at example.com",
+        "Contact sales at example.com today": "sales at example.com",
+        "e-mail: jane at example.org": "jane at example.org",
+        "my address is jane at example.org": "jane at example.org",
+        "so ask j.doe at example.com": "j.doe at example.com",
+        "so ask doe7 at example.com": "doe7 at example.com",
+        "so ask doe at example . com": "doe at example . com",
+        "so ask doe at example dot com": "doe at example dot com",
+    }
+    for text, span in cases.items():
+        assert [(k, text[a:b]) for k, a, b in pii.disguised(text, [])] == [("email", span)], text
+
+
 def test_rows(spark):
     rows = [(1, "a@b.cd and 10.0.0.1, x (at) y (dot) zz"), (2, None), (3, ""), (None, "+1 (234) 555-1234"), (1, "clean"), (4, "1" * 50_000 + "@" + "." * 50_000)]
     found = {(r.doc_id, r.spans): r for r in pii.find(frame(spark, rows)).collect()}

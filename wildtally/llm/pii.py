@@ -113,7 +113,14 @@ _BARE = re.compile(
     r"(?i)(?<![\w.%+-])([a-z0-9._%+-]+)(?: at | ?@ ?)((?:[a-z0-9-]+(?: dot |\.))*"
     rf"(?:[a-z0-9-]+(?: dot | \. |\.)(?:com|org|net|edu|gov|info|io|de|fr|es|uk|eu)|(?!{_THING})[a-z0-9-]+ dot (?!dot(?![\w-]))[a-z]{{2,63}}))(?![\w-])"
 )
+# A plain " at " before a plainly written domain is mostly no address ("available at github.com"). It is one
+# after a local part with a mark or a digit in it, or after a word for writing to somebody.
+_PLAIN_AT = re.compile(r"(?i)[^@\s]+ at [a-z0-9-]+(?:\.[a-z0-9-]+)+")
+_MARKED = re.compile(r"[a-zA-Z0-9][._%+0-9]")
+_WRITE_TO = re.compile(r"(?i)(?<![a-z])(?:e-?mails?|mails?|contact|write|reach|message|address)(?: address| us| me)?(?: is| to)?:? $")
+_NOBODY = frozenset("us me it him her them you here there now online available directly anytime back out section page".split())
 _JOINT = re.compile(r"(?i) at | ?@ ?| dot | \. ")
+_JOINED = re.compile(r"(?i)[^@]+@[a-z0-9.-]+")
 
 
 def _looked(m):
@@ -139,6 +146,16 @@ def _digits(m):
     return "".join(out)
 
 
+def _addressed(m) -> bool:
+    """Whether a match of ``_BARE`` is to be read as an address."""
+    local = m[1]
+    if "@" in local or _JOINED.fullmatch(m[0]):
+        return False
+    if not _PLAIN_AT.fullmatch(m[0]) or _MARKED.search(local):
+        return True
+    return local.lower() not in _NOBODY and bool(_WRITE_TO.search(m.string, max(0, m.start() - 40), m.start()))
+
+
 def normalised(text: str) -> Aligned:
     out = Aligned(text).rewrite(_STRANGE, _looked)
     out = out.rewrite(_RUN, _digits)
@@ -146,7 +163,7 @@ def normalised(text: str) -> Aligned:
     if not _HINT.search(out.text):
         return out
     # Only the words between the parts of an address are rewritten, so the parts keep their places.
-    spans = [m.span() for m in _BARE.finditer(out.text) if "@" not in m[1] and not re.fullmatch(r"[^@]+@[a-z0-9.-]+", m[0], re.I)]
+    spans = [m.span() for m in _BARE.finditer(out.text) if _addressed(m)]
     joints = (m for a, b in spans for m in _JOINT.finditer(out.text, a, b))
     return out.replace((m.start(), m.end(), "@" if m[0].strip().lower() in ("at", "@") else ".") for m in joints)
 
