@@ -1,5 +1,8 @@
 """Repeated passages against a plain scan in order."""
 
+from types import SimpleNamespace
+
+import numpy as np
 import pytest
 from llm_helpers import frame, odd_rows, sha, tuples, words
 
@@ -36,6 +39,15 @@ def test_brute_force(spark, monkeypatch, limits):
         assert all(a.to < b["from"] for a, b in zip(removed, removed[1:]))
 
 
+def test_repeats_within_buffers_are_spread(monkeypatch):
+    hits = np.zeros(100, dtype=int)
+    for task in range(200):
+        monkeypatch.setattr(S.TaskContext, "get", lambda task=task: SimpleNamespace(partitionId=lambda: task))
+        for turn in range(20):
+            hits[S.anywhere(turn, 100)] += 1
+    assert hits.sum() == 4_000 and hits.min() > 10 and hits.max() < 80
+
+
 def test_odd_ids(spark):
     text = " ".join(f"t{i}" for i in range(25))
     rows = [(3, text), (3, text), (None, text), (3, "other " + text), (5, text + " more")]

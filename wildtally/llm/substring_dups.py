@@ -3,7 +3,7 @@
 Every window is hashed (Rabin-Karp over word hashes) and dealt to a bucket by a second hash, so two
 windows are taken as equal if both agree. Hashes travel as packed blocks, one per buffer of documents
 and bucket: within a buffer only the earliest of equal windows is sent, so a passage that is everywhere
-arrives once per buffer. The task of a bucket finds the earliest window of each hash; the others are
+arrives once per buffer; the others, late already, are dealt evenly over all buckets. The task of a bucket finds the earliest window of each hash; the others are
 sent back, packed again, to the groups of their documents, where covered words merge into maximal
 intervals.
 
@@ -14,6 +14,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -66,6 +67,13 @@ def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.column_stack([np.cumsum(steps), keys]), starts
 
 
+def anywhere(turn: int, buckets: int) -> int:
+    """A bucket for windows that need no judging: another one for each task and buffer, the same if a task is run again."""
+    task = TaskContext.get()
+    place = np.array([(task.partitionId() if task else 0), turn], dtype=np.uint64)
+    return int(mixed(mixed(place[:1]) + place[1:])[0] % np.uint64(buckets))
+
+
 def _blocks(buckets: int):
     def flush(held, turn):
         ids = np.concatenate([x[0] for x in held])
@@ -88,7 +96,7 @@ def _blocks(buckets: int):
         again &= ~same
         rows = []
         if again.any():
-            rows.append((turn % buckets, _packed(ids[owners[again]], starts[again]), b""))
+            rows.append((anywhere(turn, buckets), _packed(ids[owners[again]], starts[again]), b""))
         fresh = np.flatnonzero(~again)
         fresh = fresh[np.argsort(bucket[fresh], kind="stable")]
         cuts = np.searchsorted(bucket[fresh], np.arange(buckets + 1))
