@@ -39,6 +39,37 @@ def test_slots_have_to_be_consistent(spark):
     assert found(spark, [(1, steady), (2, unsteady)], [(1, item)]) == {(1, 1): False}
 
 
+def test_verbatim_anywhere(spark):
+    items = [
+        (1, "Exactly these five words here"),
+        (2, "Alice has two red balls and one blue ball in her bag"),
+        (3, "What is 5 plus 7 ?"),
+        (4, "Which planet is known as the red planet?"),
+        (5, "John has 5 apples"),
+        (6, "days before the feast we all went home again"),
+        (7, "is the largest ocean on the whole earth?"),
+        (8, "12 Monkeys is a film about the year 2035"),
+        (9, ITEM),
+    ]
+    around = ["{}", "we have {} there", "yes, {} and", "so {} it goes", "A heading line\n{}\nmore", 'He asked "{}" again.', "It ended. {} Then", "Note: {} End", "in 5 {} ends", "about 1,000\t{}", "(see {})"]
+    forms = [lambda t: t, lambda t: t[0].upper() + t[1:], lambda t: t[0].lower() + t[1:]]
+    rows = [(1000 * i + 10 * j + k, a.format(f(t))) for i, t in items for j, a in enumerate(around) for k, f in enumerate(forms)]
+    got = found(spark, rows, items)
+    assert {d for d, i in got if d // 1000 == i} == {d for d, _ in rows}
+    assert all(v for (d, i), v in got.items() if d // 1000 == i)
+    # The fifth item is word for word in the ninth; nothing else is found.
+    assert {(d // 1000, i) for d, i in got if d // 1000 != i} == {(9, 5)}
+
+
+def test_other_names_at_the_start(spark):
+    item = "Alice has 5 apples and gives 2 of them to her friend"
+    rows = [(n, a.format("Bob has 9 apples and gives 4 of them to her friend")) for n, a in enumerate(["{}", "yes, {}", "It ended. {}", "x\n{}"])]
+    assert found(spark, rows, [(1, item)]) == {(n, 1): False for n in range(4)}
+    # Words that begin a question are no names, and a dense item is only found word for word.
+    clean = [(1, "we say London is the capital of England"), (2, "Mary has 6 pears. Tom has 5 apples"), (3, "so that is 6 plus 9 ?")]
+    assert found(spark, clean, [(1, "What is the capital of France"), (2, "John has 5 apples"), (3, "What is 5 plus 7 ?")]) == {}
+
+
 def test_empty(spark):
     assert found(spark, []) == {} and found(spark, [(1, ITEM)], []) == {} and found(spark, [(1, None)]) == {}
     kept = D.without_leaks(frame(spark, [(1, ITEM), (2, "fine"), (None, ITEM)]), spark.createDataFrame([(9, ITEM)], "item_id long, text string"))

@@ -4,6 +4,11 @@ Texts become templates: numbers, names and units give way to typed placeholders.
 tokens are hashed on both sides and joined. A matched window says which slot of the item stands against
 which slot of the document; along one alignment the same item value must always meet the same document
 value, so a re-parameterised item passes and a chance meeting of placeholders does not.
+
+What an item's first word becomes in a document depends on the words before it there, so an item's first
+window is searched for in all forms that it can take; a document's windows that begin with a capitalised
+word at the start of a sentence are hashed with a name there as well. Items without a window of enough
+literal words are searched for by their words.
 """
 
 from pyspark.sql import DataFrame
@@ -23,6 +28,13 @@ UNITS = (
     "percent % dollar dollars usd euro euros eur cent cents pound pounds gbp degree degrees °c °f c f kb mb gb tb kmh mph km/h m/s"
 )
 PLACEHOLDERS = "('<num>', '<name>', '<unit>')"
+# Words that begin a question or sentence: at an item's start they are no name that can be exchanged.
+STARTERS = (
+    "what which who whom whose when where why how if is are was were am be been do does did can could will would shall should may might must has have had "
+    "the a an in on at for from of to and or but not no there this that these those here it its he his she her they their them we our us you your i my me "
+    "given find calculate compute determine evaluate simplify name list explain describe complete choose select solve suppose let consider assume "
+    "each every all some one two three most many after before during while because since as by with about under over between"
+)
 _EDGE = """.,;:!?"''()[]{}|$€£#*+-"""
 
 
@@ -33,7 +45,7 @@ def templates(rows: DataFrame, key: str) -> DataFrame:
     rows = rows.select(key, F.expr(r"filter(split(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), x -> x != '') AS raw"))
     rows = rows.withColumn("word", F.expr(f"""transform(raw, x -> trim(BOTH "{_EDGE.replace('"', chr(92) + '"')}" FROM x))"""))
     tmpl = f"""transform(word, (w, i) -> CASE
-        WHEN w = '' THEN raw[i]
+        WHEN w = '' THEN trim(BOTH "\\"'()[]{{}}" FROM raw[i])
         WHEN {number.format("w")} THEN '<num>'
         WHEN i > 0 AND {number.format("word[i - 1]")} AND lower(w) IN ({units}) THEN '<unit>'
         WHEN i > 0 AND w != lower(w) AND right(raw[i - 1], 1) NOT IN ('.', '!', '?', ':') THEN '<name>'
@@ -41,18 +53,45 @@ def templates(rows: DataFrame, key: str) -> DataFrame:
     return rows.select(key, F.col("word").alias("raw"), F.expr(tmpl).alias("tmpl"))
 
 
-def _windows(width: int) -> str:
-    return f"IF(size(tmpl) < {width}, array(), transform(sequence(0, size(tmpl) - {width}), i -> xxhash64(slice(tmpl, i + 1, {width}))))"
+def _windows(width: int, plain: bool) -> str:
+    """SQL of the windows (place, named, hash) of a document's ``tmpl``, or of its words in lower case if ``plain``."""
+    window = lambda named, hashed: f"struct(i AS place, {named} AS named, {hashed} AS hash)"
+    every = f"sequence(0, size(tmpl) - {width})"
+    if plain:
+        return f"IF(size(tmpl) < {width}, array(), transform({every}, i -> {window('false', _plain_hash(f'transform(slice(raw, i + 1, {width}), x -> lower(x))'))}))"
+    capital = f"filter({every}, i -> tmpl[i] = lower(raw[i]) AND raw[i] != lower(raw[i]))"
+    named = f"concat(array('<name>'), slice(tmpl, i + 2, {width - 1}))"
+    return (
+        f"IF(size(tmpl) < {width}, array(), concat(transform({every}, i -> {window('false', f'xxhash64(slice(tmpl, i + 1, {width}))')}), "
+        f"transform({capital}, i -> {window('true', f'xxhash64({named})')})))"
+    )
+
+
+def _plain_hash(words: str) -> str:
+    return f"xxhash64({words}, 'words')"
 
 
 def _items(benchmark: DataFrame) -> DataFrame:
-    """``item_id, at, width, hash, item_windows`` of the windows that can be searched for, and the tokens."""
+    """The windows to search for, by item and place ``at``: ``hash``, template ``part``, words ``slots``.
+
+    ``plain``: the words themselves are the template. ``fixed``: the first placeholder stands for the same word only.
+    """
     items = templates(benchmark.filter("item_id IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct(), "item_id")
     items = items.withColumn("width", F.least(F.size("tmpl"), F.lit(WINDOW))).filter(F.col("width") >= LITERALS)
     at = F.explode(F.expr("sequence(0, size(tmpl) - width)")).alias("at")
-    rows = items.select("item_id", "width", at, "raw", "tmpl").withColumn("part", F.expr("slice(tmpl, at + 1, width)")).withColumn("slots", F.expr("slice(raw, at + 1, width)"))
-    rows = rows.filter(f"size(filter(part, x -> x NOT IN {PLACEHOLDERS})) >= {LITERALS}")
-    rows = rows.select("item_id", "width", "at", F.xxhash64("part").alias("hash"), "part", "slots")
+    rows = items.select("item_id", "width", at, "raw", "tmpl").withColumn("slots", F.expr("slice(raw, at + 1, width)"))
+    units, starters = (", ".join(f"'{w}'" for w in words.split()) for words in (UNITS, STARTERS))
+    first = f"""CASE WHEN at > 0 OR raw[0] = '' OR tmpl[0] = '<num>' THEN array(tmpl[at])
+        ELSE concat(array(lower(raw[0]), '<name>'), IF(lower(raw[0]) IN ({units}), array('<unit>'), array())) END"""
+    forms = rows.withColumn("head", F.explode(F.expr(first))).withColumn("part", F.expr("concat(array(head), slice(tmpl, at + 2, width - 1))"))
+    # A first word that stands for itself only counts as a literal one.
+    forms = forms.withColumn("literals", F.expr(f"size(filter(part, x -> x NOT IN {PLACEHOLDERS}))"))
+    forms = forms.filter(f"literals >= {LITERALS} OR literals = {LITERALS - 1} AND at = 0 AND head IN ('<name>', '<unit>')")
+    fixed = f"at = 0 AND (head = '<unit>' OR head = '<name>' AND (literals < {LITERALS} OR raw[0] = lower(raw[0]) OR lower(raw[0]) IN ({starters})))"
+    forms = forms.select("item_id", "width", "at", F.xxhash64("part").alias("hash"), "part", "slots", F.lit(False).alias("plain"), F.expr(fixed).alias("fixed"))
+    dense = rows.join(forms.select("item_id").distinct(), "item_id", "left_anti").withColumn("part", F.expr("transform(slots, x -> lower(x))"))
+    dense = dense.select("item_id", "width", "at", F.expr(_plain_hash("part")).alias("hash"), "part", "slots", F.lit(True).alias("plain"), F.lit(False).alias("fixed"))
+    rows = written(forms.unionAll(dense), "forms")
     return written(rows.join(rows.groupBy("item_id").agg(F.countDistinct("at").alias("item_windows")), "item_id"), "items")
 
 
@@ -61,7 +100,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     One row for each document and item of which at least NEEDED windows (all, if it has fewer) are
     found in consistent alignments. ``n_slots``: distinct item slot values met there, ``n_changed``:
-    those that only meet another value, ``verbatim``: there are none of these. Rows that share a doc_id (item_id) are
+    those that only meet another value, ``verbatim``: there are none of these. An item that is in a document word for
+word is found wherever it stands; an item without a window of LITERALS literal tokens only so. Rows that share a doc_id (item_id) are
     searched (searched for) as parts of one; rows without one are left out. Null, empty and short
     texts (under LITERALS tokens) hold nothing and are never found. An empty table on either side
     gives no rows. Other columns are not looked at.
@@ -70,26 +110,27 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     settings(docs.sparkSession)
     items = _items(benchmark)
-    widths = [r.width for r in items.select("width").distinct().collect()]  # at most WINDOW values
+    kinds = sorted(tuple(r) for r in items.select("width", "plain").distinct().collect())  # at most two for each width up to WINDOW
     texts = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    hashes = F.expr(f"concat({', '.join(_windows(w) for w in widths)})") if widths else F.expr("array(0L)")
+    if not kinds:
+        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, n_windows long, item_windows long, n_slots long, n_changed long, verbatim boolean")
+    hashes = F.expr(f"transform(concat({', '.join(_windows(*k) for k in kinds)}), w -> w.hash)")
     keys = measured(items.select("hash").distinct())
     hit = templates(texts, "doc_id").select("doc_id", F.explode(hashes).alias("hash")).join(keys, "hash", "left_semi").select("doc_id", "hash").distinct()
     hit = written(hit, "hits")
     # The few documents with a hit are cut again, now with places and slots.
     found = templates(texts.join(measured(hit.select("doc_id").distinct()), "doc_id", "left_semi"), "doc_id")
     spots = None
-    for width in widths:
-        spot = found.select("doc_id", "raw", "tmpl", F.posexplode(F.expr(_windows(width))).alias("place", "hash")).select(
-            "doc_id", "place", "hash", F.expr(f"slice(raw, place + 1, {width})").alias("values"), F.expr(f"slice(tmpl, place + 1, {width})").alias("form")
-        )
+    for width, plain in kinds:
+        spot = found.select("doc_id", "raw", "tmpl", F.explode(F.expr(_windows(width, plain))).alias("w")).select("doc_id", "raw", "tmpl", "w.*")
+        form = f"slice(tmpl, place + 1, {width})"
+        form = f"transform(slice(raw, place + 1, {width}), x -> lower(x))" if plain else f"IF(named, concat(array('<name>'), slice({form}, 2, {width - 1})), {form})"
+        spot = spot.select("doc_id", "place", "hash", F.expr(f"slice(raw, place + 1, {width})").alias("values"), F.expr(form).alias("form"))
         spot = spot.join(keys, "hash", "left_semi")
         spots = spot if spots is None else spots.unionAll(spot)
-    if spots is None:
-        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, n_windows long, item_windows long, n_slots long, n_changed long, verbatim boolean")
-    match = spots.join(items, "hash").filter("form = part")
+    match = spots.join(items, "hash").filter("form = part AND NOT (fixed AND lower(slots[0]) != lower(values[0]))")
     match = written(match.select("doc_id", "item_id", "item_windows", "at", F.expr("place - at").alias("shift"), F.expr(
-        f"filter(transform(part, (p, i) -> IF(p IN {PLACEHOLDERS}, struct(lower(slots[i]) AS item_value, lower(values[i]) AS doc_value), NULL)), x -> x IS NOT NULL)"
+        f"filter(transform(part, (p, i) -> IF(NOT plain AND p IN {PLACEHOLDERS}, struct(lower(slots[i]) AS item_value, lower(values[i]) AS doc_value), NULL)), x -> x IS NOT NULL)"
     ).alias("slots")), "matches")
     line = ["doc_id", "item_id", "shift"]
     slots = match.select(*line, F.explode("slots").alias("s")).select(*line, "s.item_value", "s.doc_value")
