@@ -21,6 +21,19 @@ def test_grammar():
     assert outputs("I will kill you") == {T.THREAT, T.MENACE}
     assert outputs("You are kind; an idiot wrote it") == {T.INSULT}
     assert outputs("idiotic idioms, killer apps") == set()
+    for text in [
+        "he said: you are an idiot",
+        'She wrote: "You are an idiot."',
+        '"You are an idiot," he said',
+        '"You are an idiot!" the man said.',
+        'The paper called them, "idiot after idiot"',
+        'He said, "You, sir, are an idiot"',
+        "Then she says:\n“what an idiot you are”",
+        '«Vous, idiot», dit il',
+    ]:
+        assert outputs(text) == {T.QUOTED}, text
+    for text in ["He left. You are an idiot", "I say this: hear me, you are an idiot", 'You are an idiot, and "he" said so', 'The "report" is long, you are an idiot', "it is 10:30, you are an idiot"]:
+        assert outputs(text) == {T.AIMED}, text
     weight = lambda t: float(T.Grammar(dict.fromkeys(T.INSULTS, 1.0)).score(np.array([T.Grammar(dict.fromkeys(T.INSULTS, 1.0)).features(t)]))[0])
     assert weight("you are not an idiot") < weight("such an idiot") < weight("you are an idiot") and weight("") < 0.5
 

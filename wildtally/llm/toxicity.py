@@ -3,6 +3,7 @@
 Words become symbols (insult, threat, target, negation, report, other). Four transducers rewrite the
 symbols of a clause one after another and are composed into one: negation turns insults and threats
 in its scope into denied ones, reported speech into quoted ones, a target close by makes them aimed.
+The scope of a word of reporting goes on over a colon, into a quotation after it, and back into one before it.
 The weights of what comes out add up over a document's clauses; a logistic model turns them into a score.
 
 Insults and their weights are learned from labelled texts, as words, or stems that words begin with,
@@ -21,8 +22,8 @@ from wildtally.llm.tables import settings
 from wildtally.llm.tokens import slices
 from wildtally.operators.sizes import measured
 
-# Labelled rows that the model is fitted on at most, and insults that it learns at most.
-FIT_ROWS, MAX_INSULTS = 10_000, 500
+# Labelled rows that the model is fitted on at most.
+FIT_ROWS = 10_000
 # A stem has so many letters; it is written with a star.
 STEMS = range(4, 9)
 # An insult is so much (as a logarithm) more common in toxic texts, and its log-likelihood ratio against
@@ -35,6 +36,8 @@ NEGATIONS = set("not no never isn't aren't wasn't don't doesn't didn't won't wit
 REPORTS = set("said says say called calls wrote reported quoted claimed alleged sagte nannte schrieb dit disait écrit dijo llamó escribió".split())
 INSULTS = set("idiot moron stupid scum pathetic loser worthless disgusting".split())
 SEED_WEIGHT = 2.0
+# Put before a clause that is reported from outside of it.
+REPORTED = "said"
 
 OTHER, TARGET, NEGATION, REPORT, THREAT, INSULT, DENIED, QUOTED, AIMED, MENACE = range(10)
 SYMBOLS = 10
@@ -105,6 +108,38 @@ PRIOR = np.array([2.0, 2.6, 0.2, 0.3, 2.6, 0.1, -2.5])
 
 _CLAUSE_END = re.compile(r"[.!?;:,\n]+(?=\s|$)|\n")
 _WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
+# A quotation ends at its mark; after it a word of reporting may follow within three words.
+_OPENS, _CLOSES = '"“«„', '"”»“'
+_TAIL = re.compile(rf"[^{_OPENS}{_CLOSES}\n]*[{_CLOSES}][,.]?\s+((?:[^\W\d_]+\s+){{0,2}}[^\W\d_]+)")
+# How far a quotation is followed back to its mark, and how many words before that may hold the one of reporting.
+_QUOTED_CHARS, _LEAD_WORDS = 400, 6
+
+
+def _leads(text: str, end: int, marks: str) -> bool:
+    """Whether ``text`` up to ``end`` closes with one of ``marks`` and a clause of reporting before it."""
+    lead = text[max(0, end - 200) : end].rstrip()
+    if not lead or lead[-1] not in marks and not lead[-1].isalpha():
+        return False
+    lead = re.split(r"[.!?;:,\n]", lead.rstrip(marks))[-1]
+    words = _WORD.findall(lead)[-_LEAD_WORDS:]
+    # Without a mark the word of reporting has to be the last one.
+    return not REPORTS.isdisjoint(words if text[:end].rstrip()[-1] in marks else words[-1:])
+
+
+def reported(text: str, clause: int, start: int, end: int) -> bool:
+    """Whether the word [start, end) of ``text`` (lower case), in a clause from ``clause``, is in speech that is reported around it."""
+    if clause and text[max(0, clause - 80) : clause].rstrip()[-1:] == ":" and _leads(text, clause, ":"):
+        return True
+    near = max(0, start - _QUOTED_CHARS)
+    opening = max(text.rfind(mark, near, start) for mark in _OPENS)
+    if opening < 0 or text[opening + 1 : opening + 2].isspace() or opening and text[opening - 1].isalnum():
+        return False
+    if any(text.find(mark, opening + 1, start) >= 0 for mark in _CLOSES):
+        return False
+    if _leads(text, opening, ":,"):
+        return True
+    after = _TAIL.match(text, end, end + _QUOTED_CHARS)
+    return bool(after) and not REPORTS.isdisjoint(_WORD.findall(after[1]))
 
 
 class Grammar:
@@ -141,6 +176,8 @@ class Grammar:
             stop = _CLAUSE_END.search(text, end + 1)
             done_now = stop.end() if stop else len(text)
             words = _WORD.findall(text, max(first, done), stop.start() if stop else len(text))
+            if reported(text, max(first, done), start, end + 1):
+                words = [REPORTED, *words]
             for word, out in zip(words, GRAMMAR.run([self.symbol(w) for w in words])):
                 if out in total:
                     total[out] += self.insults.get(self.entry(word), 1.0)
@@ -189,12 +226,15 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: int = 5) -> Grammar:
     share = sizes[1] / (sizes[0] + sizes[1])
     evidence = sum(F.when(F.col(k) > 0, F.col(k) * F.log(F.col(k) / (F.col("bad") + F.col("good")) / s)).otherwise(0) for k, s in (("bad", share), ("good", 1 - share)))
     counts = counts.withColumn("lift", lift).withColumn("evidence", F.round(evidence, 6)).filter((F.col("lift") >= MIN_LIFT) & (F.col("evidence") >= MIN_EVIDENCE))
-    chosen = []
-    for row in counts.orderBy(F.desc("evidence"), F.desc(F.length("word")), "word").limit(8 * MAX_INSULTS).collect():
+    chosen, heads = set(), set()
+    # As many as the evidence of the bounded number of rows is for.
+    for row in counts.orderBy(F.desc("evidence"), F.desc(F.length("word")), "word").collect():
         stem = row.word.rstrip("*")
+        parts = [stem[:n] for n in range(1, len(stem) + 1)]
         # Of words and stems that begin alike the one with the most evidence stands for all.
-        if len(chosen) < MAX_INSULTS and not any(stem.startswith(c) or c.startswith(stem) for c in chosen):
-            chosen.append(stem)
+        if stem not in heads and chosen.isdisjoint(parts):
+            chosen.add(stem)
+            heads.update(parts)
             insults[row.word] = max(0.2, row.lift / 2)
     model = Grammar(insults)
 
