@@ -53,13 +53,14 @@ def templates(rows: DataFrame, key: str) -> DataFrame:
     return rows.select(key, F.col("word").alias("raw"), F.expr(tmpl).alias("tmpl"))
 
 
-def _windows(width: int, plain: bool) -> str:
-    """SQL of the windows (place, named, hash) of a document's ``tmpl``, or of its words in lower case if ``plain``."""
-    window = lambda named, hashed: f"struct(i AS place, {named} AS named, {hashed} AS hash)"
+def _windows(width: int, plain: bool, hashed: bool = False) -> str:
+    """SQL of the windows (place, named, hash) of a document's ``tmpl``, or of its words in lower case if ``plain``; only the hashes if ``hashed``."""
+    window = lambda named, value: value if hashed else f"struct(i AS place, {named} AS named, {value} AS hash)"
     every = f"sequence(0, size(tmpl) - {width})"
     if plain:
         return f"IF(size(tmpl) < {width}, array(), transform({every}, i -> {window('false', _plain_hash(f'transform(slice(raw, i + 1, {width}), x -> lower(x))'))}))"
-    capital = f"filter({every}, i -> tmpl[i] = lower(raw[i]) AND raw[i] != lower(raw[i]))"
+    # A literal token that differs from its word was capitalised.
+    capital = f"filter({every}, i -> raw[i] != tmpl[i] AND raw[i] != '' AND tmpl[i] NOT IN {PLACEHOLDERS})"
     named = f"concat(array('<name>'), slice(tmpl, i + 2, {width - 1}))"
     return (
         f"IF(size(tmpl) < {width}, array(), concat(transform({every}, i -> {window('false', f'xxhash64(slice(tmpl, i + 1, {width}))')}), "
@@ -100,9 +101,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     One row for each document and item of which at least NEEDED windows (all, if it has fewer) are
     found in consistent alignments. ``n_slots``: distinct item slot values met there, ``n_changed``:
-    those that only meet another value, ``verbatim``: there are none of these. An item that is in a document word for
-word is found wherever it stands; an item without a window of LITERALS literal tokens only so. Rows that share a doc_id (item_id) are
-    searched (searched for) as parts of one; rows without one are left out. Null, empty and short
+    those that only meet another value, ``verbatim``: there are none of these. An item that is in a
+    document word for word is found wherever it stands; an item without a window of LITERALS literal
+    tokens only so. Rows that share a doc_id (item_id) are searched (searched for) as parts of one; rows without one are left out. Null, empty and short
     texts (under LITERALS tokens) hold nothing and are never found. An empty table on either side
     gives no rows. Other columns are not looked at.
 
@@ -114,7 +115,7 @@ word is found wherever it stands; an item without a window of LITERALS literal t
     texts = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     if not kinds:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, n_windows long, item_windows long, n_slots long, n_changed long, verbatim boolean")
-    hashes = F.expr(f"transform(concat({', '.join(_windows(*k) for k in kinds)}), w -> w.hash)")
+    hashes = F.expr(f"concat({', '.join(_windows(*k, hashed=True) for k in kinds)})")
     keys = measured(items.select("hash").distinct())
     hit = templates(texts, "doc_id").select("doc_id", F.explode(hashes).alias("hash")).join(keys, "hash", "left_semi").select("doc_id", "hash").distinct()
     hit = written(hit, "hits")
