@@ -43,7 +43,9 @@ def templates(rows: DataFrame, key: str) -> DataFrame:
     units = ", ".join(f"'{u}'" for u in UNITS.split())
     number = "ascii({}) BETWEEN 48 AND 57"
     rows = rows.select(key, F.expr(r"filter(split(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), x -> x != '') AS raw"))
-    rows = rows.withColumn("word", F.expr(f"""transform(raw, x -> trim(BOTH "{_EDGE.replace('"', chr(92) + '"')}" FROM x))"""))
+    # Most words begin and end with a small letter; trimming is the dear part.
+    bare = "ascii(x) BETWEEN 97 AND 122 AND ascii(right(x, 1)) BETWEEN 97 AND 122"
+    rows = rows.withColumn("word", F.expr(f"""transform(raw, x -> IF({bare}, x, trim(BOTH "{_EDGE.replace('"', chr(92) + '"')}" FROM x)))"""))
     tmpl = f"""transform(word, (w, i) -> CASE
         WHEN w = '' THEN trim(BOTH "\\"'()[]{{}}" FROM raw[i])
         WHEN {number.format("w")} THEN '<num>'
