@@ -1,5 +1,7 @@
 """Fingerprints and licences against their SQL, over given tables and over odd rows."""
 
+import textwrap
+
 import duckdb
 import pytest
 from llm_helpers import frame, odd_rows, tuples
@@ -66,6 +68,39 @@ def test_nearest_directory(spark):
     assert got == {1: ("MIT", None), 2: ("CC-BY-4.0", "a/b"), 3: ("CC-BY-4.0", None), 4: ("MIT", "a"), 5: (None, None), 6: (None, None), 7: ("MIT", None), 8: ("CC-BY-4.0", "a/b"), None: ("MIT", "a")}
 
 
+def test_whole_texts_headers_and_identifiers(spark):
+    full = dict(reversed([(name, text) for name, text in licenses.TEMPLATES if len(text) > 600]))
+    mit = full["MIT"].replace("year holder", "2019 Some One").replace(". Permission", "\n\nPermission").replace("conditions:\n", "conditions:\n\n")
+    apache = dict((name, text) for name, text in licenses.TEMPLATES if "Unless required" in text)["Apache-2.0"]
+    header = "#!/bin/sh\n#\n" + "".join(f"# {line}\n" for line in textwrap.wrap(apache, 60)) + "\necho done\n" + "do_something\n" * 300
+    rows = [
+        (1, "r/LICENSE", mit),
+        (2, "r/src/a.c", "int x;"),
+        (3, "s/licence.txt", "Some words of our own first.\n" * 50 + "\n" + "GNU GENERAL PUBLIC LICENSE\n    Version 3, 29 June 2007\n\n" + "Further words of no meaning.\n" * 900),
+        (4, "s/b", "x"),
+        (5, "t/1", "// SPDX-License-Identifier: MIT\nint y;\n" * 1),
+        (6, "t/2", "/* SPDX-License-Identifier: Apache-2.0 */\n" + "int y;\n" * 500),
+        (7, "t/3", "Mozilla Public License Version 2.0"),
+        (8, "t2/4", header),
+        (9, "t2/5", "x"),
+        (10, "u/any name", full["BSD-3-Clause"]),
+        (11, "u/v/w", ""),
+        (12, "u2/any name", full["BSD-2-Clause"] + "\n"),
+        (13, "u2/x", None),
+        (14, "v/1", "Copyright 2020 by Some One. All rights reserved.\nA licence to print money, as they say."),
+        (15, "v/2", "none"),
+        (16, "w/1", full["ISC"]),
+    ]
+    found = licenses.scan(spark.createDataFrame(rows, "doc_id long, path string, text string"))
+    got = {d: (o, g) for d, o, g in tuples(found, "doc_id", "own_license", "license")}
+    assert got[1] == ("MIT", "MIT") and got[2] == (None, "MIT")
+    assert got[3] == ("GPL-3.0", "GPL-3.0") and got[4] == (None, "GPL-3.0")
+    assert got[5][0] == "MIT" and got[6][0] == "Apache-2.0" and got[7][0] == "MPL-2.0"
+    assert got[8][0] == "Apache-2.0" and got[9] == (None, None)
+    assert got[10][0] == "BSD-3-Clause" and got[11] == (None, "BSD-3-Clause") and got[12][0] == "BSD-2-Clause" and got[13] == (None, "BSD-2-Clause")
+    assert got[14] == (None, None) and got[15] == (None, None) and got[16][0] == "ISC"
+
+
 @pytest.mark.parametrize("name", ["op1_license_scan", "op5_document_fingerprints"])
 def test_queries(spark, name):
     names, expected = sql(registry.oracle_sql()[name], None)
