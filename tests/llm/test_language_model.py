@@ -41,6 +41,17 @@ def test_probabilities_sum_to_one():
     assert np.isclose(np.exp(model.bias).sum(), 1)
 
 
+def test_sums_in_levels(spark, monkeypatch):
+    monkeypatch.setattr(L, "FAN", 3)
+    ones = lambda n: np.full(4, n, dtype=np.float32).tobytes()
+    for tasks in (1, 3, 4, 29):
+        rows = [(part, block, ones(part + block), ones(1)) for part in range(tasks) if part != 2 for block in range(2)]
+        plan = L.summed(spark.createDataFrame(rows, L._SUM_DDL), tasks)
+        got = {r.block: (np.frombuffer(r.slope, np.float32).tolist(), np.frombuffer(r.bend, np.float32).tolist()) for r in plan.collect()}
+        parts = [p for p in range(tasks) if p != 2]
+        assert got == {b: ([sum(parts) + b * len(parts)] * 4, [len(parts)] * 4) for b in range(2)}
+
+
 def test_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = [r for r in L.train_and_score(docs).collect() if r.held_out]

@@ -9,7 +9,8 @@ the unseen. Without any weight the model equals the base.
 Tokens are gathered in chunks of documents with a vocabulary each. The chunks' counts are dealt to
 buckets by the words' hashes, summed there, and sent back to each chunk for its own words: no table of
 all words is ever held in one place. Training reads all training tokens in every round: each task sums
-its gradient, blocks of the sums are added up by Spark, and the new weights, of fixed size, are broadcast.
+its gradient, blocks of the sums are added up in a tree (at most FAN of them in a group), and the new
+weights, of fixed size, are broadcast.
 """
 
 import numpy as np
@@ -25,7 +26,7 @@ FEATURES, CLASSES = 1 << 14, 32
 BANDS = 14  # classes by powers of two; the others are for the most frequent counts
 ROUNDS, STEP, SHRINK, LARGEST = 2, 0.5, 10.0, 2.0
 CHUNK_TOKENS, BUCKET_WORDS, BATCH_TOKENS = 1_500_000, 400_000, 16_384
-BLOCKS = 16
+BLOCKS, FAN = 16, 64
 END = np.uint64(0x5851F42D4C957F2D)
 _CODEC = "zstd"
 
@@ -180,7 +181,8 @@ def _likely(bias, weights, features, some) -> np.ndarray:
     return z
 
 
-_SUM = pa.schema([("block", pa.int64()), ("slope", pa.binary()), ("bend", pa.binary())])
+_SUM = pa.schema([("part", pa.int64()), ("block", pa.int64()), ("slope", pa.binary()), ("bend", pa.binary())])
+_SUM_DDL = "part long, block long, slope binary, bend binary"
 
 
 def _slopes(bias: np.ndarray, shared):
@@ -218,14 +220,27 @@ def _slopes(bias: np.ndarray, shared):
                     curved[sorted_f[first]] += added * (1 - np.minimum(1, added / np.diff(np.append(first, len(order)))[:, None]))
         if any_row:
             parts = [np.array_split(x.astype(np.float32), BLOCKS) for x in (slope, bend)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int64()), *(pa.array([p.tobytes() for p in x], pa.binary()) for x in parts)], schema=_SUM)
+            task = pa.array([TaskContext.get().partitionId()] * BLOCKS, pa.int64())
+            yield pa.RecordBatch.from_arrays([task, pa.array(range(BLOCKS), pa.int64()), *(pa.array([p.tobytes() for p in x], pa.binary()) for x in parts)], schema=_SUM)
 
     return run
 
 
 def _added(table: pa.Table) -> pa.Table:
     sums = [sum(np.frombuffer(x.as_buffer(), dtype=np.float32).astype(np.float64) for x in table.column(c)) for c in ("slope", "bend")]
-    return pa.Table.from_arrays([table.column("block").combine_chunks()[:1], *(pa.array([x.astype(np.float32).tobytes()], pa.binary()) for x in sums)], schema=_SUM)
+    keys = [table.column(c).combine_chunks()[:1] for c in ("part", "block")]
+    return pa.Table.from_arrays([*keys, *(pa.array([x.astype(np.float32).tobytes()], pa.binary()) for x in sums)], schema=_SUM)
+
+
+def summed(sums: DataFrame, tasks: int) -> DataFrame:
+    """``sums`` (part, block, slope, bend) of parts 0 to ``tasks`` - 1 as one row for each block.
+
+    Each level adds up the rows of at most FAN parts, so no group holds a row for every task.
+    """
+    while tasks > 1:
+        sums = sums.withColumn("part", F.expr(f"part DIV {FAN}")).groupBy("part", "block").applyInArrow(_added, _SUM_DDL)
+        tasks = -(-tasks // FAN)
+    return sums
 
 
 _SCORES = pa.schema(
@@ -280,10 +295,10 @@ def train_and_score(docs: DataFrame, held_out: int = 2, modulus: int = 7) -> Dat
     ready = written(joined.mapInArrow(_ready(model, buckets), "docs binary, sums binary, classes binary, codes binary"), "ready")
     shared = None
     for _ in range(ROUNDS):
-        sums = ready.mapInArrow(_slopes(model.bias, shared), "block long, slope binary, bend binary").groupBy("block").applyInArrow(_added, "block long, slope binary, bend binary")
-        blocks = sorted(sums.collect(), key=lambda r: r.block)  # BLOCKS rows of fixed size
+        sums = ready.mapInArrow(_slopes(model.bias, shared), _SUM_DDL)
+        blocks = sorted(summed(sums, sums.rdd.getNumPartitions()).collect(), key=lambda r: r.block)  # BLOCKS rows of fixed size
         if blocks:
-            slope, bend = (np.concatenate([np.frombuffer(r[k], dtype=np.float32) for r in blocks]) for k in (1, 2))
+            slope, bend = (np.concatenate([np.frombuffer(r[k], dtype=np.float32) for r in blocks]) for k in (2, 3))
             step = (STEP * slope / (bend + SHRINK)).reshape(model.weights.shape)
             model.weights = np.clip(model.weights + step, -LARGEST, LARGEST).astype(np.float32)
         shared = spark.sparkContext.broadcast(model.weights)
