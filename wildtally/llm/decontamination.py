@@ -41,14 +41,15 @@ _EDGE = """.,;:!?"''()[]{}|$€£#*+-"""
 def templates(rows: DataFrame, key: str) -> DataFrame:
     """``key``, the tokens ``raw`` of its text, and the template ``tmpl``, as long as ``raw``."""
     units = ", ".join(f"'{u}'" for u in UNITS.split())
-    number = "ascii({}) BETWEEN 48 AND 57"
+    number = "({0} < ':' AND {0} >= '0')"  # begins with a digit, by the order of bytes
     rows = rows.select(key, F.expr(r"filter(split(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), x -> x != '') AS raw"))
     rows = rows.withColumn("word", F.expr(f"""transform(raw, x -> trim(BOTH "{_EDGE.replace('"', chr(92) + '"')}" FROM x))"""))
     tmpl = f"""transform(word, (w, i) -> CASE
         WHEN w = '' THEN trim(BOTH "\\"'()[]{{}}" FROM raw[i])
         WHEN {number.format("w")} THEN '<num>'
         WHEN i > 0 AND {number.format("word[i - 1]")} AND lower(w) IN ({units}) THEN '<unit>'
-        WHEN i > 0 AND w != lower(w) AND right(raw[i - 1], 1) NOT IN ('.', '!', '?', ':') THEN '<name>'
+        WHEN w = lower(w) THEN w
+        WHEN i > 0 AND right(raw[i - 1], 1) NOT IN ('.', '!', '?', ':') THEN '<name>'
         ELSE lower(w) END)"""
     return rows.select(key, F.col("word").alias("raw"), F.expr(tmpl).alias("tmpl"))
 
