@@ -58,13 +58,15 @@ def _windows(width: int, plain: bool, hashed: bool = False) -> str:
     """SQL of the windows (place, named, hash) of a document's ``tmpl``, or of its words in lower case if ``plain``; only the hashes if ``hashed``."""
     window = lambda named, value: value if hashed else f"struct(i AS place, {named} AS named, {value} AS hash)"
     every = f"sequence(0, size(tmpl) - {width})"
+    # Element by element: the hash is that of the array, without a copy of it for each place.
+    tokens = [f"{'raw' if plain else 'tmpl'}[i + {k}]" for k in range(width)]
     if plain:
-        return f"IF(size(tmpl) < {width}, array(), transform({every}, i -> {window('false', _plain_hash(f'transform(slice(raw, i + 1, {width}), x -> lower(x))'))}))"
+        return f"IF(size(tmpl) < {width}, array(), transform({every}, i -> {window('false', _plain_hash(', '.join(f'lower({t})' for t in tokens)))}))"
     # A literal token that differs from its word was capitalised.
     capital = f"filter({every}, i -> raw[i] != tmpl[i] AND raw[i] != '' AND tmpl[i] NOT IN {PLACEHOLDERS})"
-    named = f"concat(array('<name>'), slice(tmpl, i + 2, {width - 1}))"
+    named = ", ".join(["'<name>'", *tokens[1:]])
     return (
-        f"IF(size(tmpl) < {width}, array(), concat(transform({every}, i -> {window('false', f'xxhash64(slice(tmpl, i + 1, {width}))')}), "
+        f"IF(size(tmpl) < {width}, array(), concat(transform({every}, i -> {window('false', f'xxhash64({", ".join(tokens)})')}), "
         f"transform({capital}, i -> {window('true', f'xxhash64({named})')})))"
     )
 
