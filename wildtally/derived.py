@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wildtally.functions.taxa import rank_path
+from wildtally.operators.sizes import measured
 from wildtally.selector import selectors_frame
 from wildtally.session import scratch_dir
 
@@ -18,14 +19,28 @@ def _millis(column: str):
     return F.unix_millis(F.col(column).cast("timestamp"))
 
 
+# Rows of one task from the source tables, beyond four tasks per core.
+_SPREAD_ROWS = 1_000_000
+
+
 def _ranked(spark: SparkSession, folder: str) -> DataFrame:
-    return (
-        table(spark, folder, "lineitem")
-        .join(table(spark, folder, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(table(spark, folder, "part"), F.col("l_partkey") == F.col("p_partkey"))
-        .join(table(spark, folder, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    """The order tables joined: records are shuffled by order before they have any text, and places broadcast if small."""
+    items = table(spark, folder, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_shipdate")
+    # The source is one file of one row group: without a spread all later work on it is one task.
+    parts = max(4 * spark.sparkContext.defaultParallelism, -(-items.count() // _SPREAD_ROWS))
+    items = items.filter("l_orderkey IS NOT NULL").repartition(parts, "l_orderkey")
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_orderdate")
+    names = table(spark, folder, "part").select("p_partkey", "p_name", "p_type", "p_brand")
+    places = (
+        table(spark, folder, "supplier")
         .join(table(spark, folder, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
         .join(table(spark, folder, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+        .select("s_suppkey", "n_name", "r_name")
+    )
+    return (
+        items.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+        .join(measured(names, "p_name", "p_type", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
+        .join(measured(places, "n_name", "r_name"), F.col("l_suppkey") == F.col("s_suppkey"))
     )
 
 
@@ -47,12 +62,11 @@ _written: dict[tuple, str] = {}
 
 
 def _once(spark: SparkSession, folder: str, name: str, rows) -> DataFrame:
-    """Derived records as an archive: written in many parts by the first query of a session that needs them."""
+    """Derived records as an archive: written by the first query of a session that needs them, by the tasks that join them."""
     key = (spark.sparkContext.applicationId, folder, name)
     if key not in _written:
         path = scratch_dir(spark, name)
-        # The source is one file of one row group: without a spread all later work on it is one task.
-        rows.repartition(4 * spark.sparkContext.defaultParallelism).write.parquet(path)
+        rows.write.parquet(path)
         _written[key] = path
     return spark.read.schema(rows.schema).parquet(_written[key])
 
