@@ -5,6 +5,7 @@ from conftest import DAY, MILLIS_2017_04_04, column
 from wildtally import schemas
 from wildtally.functions import cells
 from wildtally.operators import aggregates, filters, limits
+from wildtally.operators import matching
 from wildtally.operators.matching import count_taxa, match_selectors, prepared, selector_index
 from wildtally.operators.traits import parsed_terms, trait_filter
 from wildtally.plans import generate
@@ -187,3 +188,31 @@ def test_search(spark):
     assert column(search(ranked, " Anas ", (10.0, 10.0, 0.0, 0.0)), "taxonPath") == ["Animalia|Aves|Anas|A. acuta"]
     assert column(search(ranked, "", (10.0, -170.0, 0.0, 170.0)), "lng") == [175.0]
     assert schemas.OCCURRENCE.names[0] == "taxon"
+
+
+def _conditions(rows):
+    """The joins and filters of a plan, one text each."""
+    lines = rows._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    return [line for line in lines if "Join Inner" in line or "Filter" in line]
+
+
+def test_pairs_are_matched_by_compiled_code(spark, records, traits, monkeypatch):
+    """No condition on pairs of record and selector calls a function for each element, apart from rims of polygons."""
+    monkeypatch.setattr(matching, "_MANY_KEYS", 1)
+    boxes = selectors_frame(spark, [("", f"ENVELOPE(-72,{n},43,42)", f"mass > {n + 100}|winged") for n in range(-71, -61)])
+    matched = match_selectors(records, boxes, traits)
+    assert not [line for line in _conditions(matched) if "lambda" in line]
+    shape = selectors_frame(spark, [("", "POLYGON ((-73 41, -69 41.5, -69 44, -73 41))", "")])
+    joined = [line for line in _conditions(match_selectors(records, boxes.unionByName(shape), traits)) if "Join Inner" in line]
+    assert len([line for line in joined if "lambda" in line]) == 1 < len(joined)
+
+
+@pytest.mark.parametrize("limit", [64 << 20, 0])
+def test_traits_before_and_after_the_match(spark, records, traits, limit, monkeypatch):
+    lists = ["mass", "mass > 100", "mass = 40|winged", "mass < 30", "unknown", " , |", "", "mass >= 900,mass <= 30", "winged = 1"]
+    chosen = selectors_frame(spark, [("", f"ENVELOPE(-180,180,{80 + i},-80)", text) for i, text in enumerate(lists)])
+    found = []
+    for many in (1, 1_000_000):
+        monkeypatch.setattr(matching, "_MANY_KEYS", many)
+        found.append(sorted(map(repr, match_selectors(records, chosen, traits, limit).collect())))
+    assert found[0] == found[1] and len(found[0]) == 5 + 2 + 4 + 7 + 7 + 5

@@ -13,7 +13,8 @@ equi-join on a hash of (cell, term), which the join checks, and never compares a
   sides are shuffled and AQE splits hot keys.
 
 What the key leaves open is decided by the exact area test: the box, or for polygons the edges that matter
-for the cell. It is left out where a whole cell is inside the area.
+for the cell. It is left out where a whole cell is inside the area. Rim cells of polygons are joined apart,
+so that the join of all others is compiled code: as many pairs as the result has rows go through it.
 """
 
 from typing import NamedTuple
@@ -25,7 +26,7 @@ from wildtally.functions import cells, shapes
 from wildtally.functions.selectors import terms
 from wildtally.functions.taxa import path_elements
 from wildtally.operators.sizes import BROADCAST_BYTES, fits
-from wildtally.operators.traits import wanted_traits, with_traits
+from wildtally.operators.traits import trait_facts, trait_passes, wanted_traits, with_traits
 from wildtally.selector import InvalidSelector, normalized, valid_only
 from wildtally.session import checkpoint
 
@@ -33,6 +34,8 @@ from wildtally.session import checkpoint
 _SPREAD_ROWS = 256
 # A key row in memory: its fixed columns, the heads of its arrays and the entry of the hash table.
 _KEY_BYTES = 256
+# From so many keys on, it pays to work out which taxa have the traits in question before the match.
+_MANY_KEYS = 10_000
 
 
 def _areas(selectors: DataFrame) -> DataFrame:
@@ -81,6 +84,7 @@ def _measure(keys: DataFrame):
         F.count_distinct("key").alias("keys"),
         F.collect_set("level").alias("levels"),
         (F.count("traitSelector") > 0).alias("traits"),
+        (F.count("edges") > 0).alias("edges"),
     ).first()
 
 
@@ -91,6 +95,8 @@ class SelectorIndex(NamedTuple):
     keys: DataFrame
     levels: list
     has_traits: bool
+    has_edges: bool
+    many: bool
     small: bool
     few_keys: bool
     limit: int
@@ -101,7 +107,8 @@ def selector_index(selectors: DataFrame, broadcast_limit: int = BROADCAST_BYTES)
     keys = checkpoint(selector_keys(selectors))
     size = _measure(keys)
     small = fits(size.n, size.bytes, broadcast_limit, _KEY_BYTES)
-    return SelectorIndex(selectors, keys, sorted(size.levels), size.traits, small, fits(size["keys"], 0), broadcast_limit)
+    few_keys, many = fits(size["keys"], 0), size.n >= _MANY_KEYS
+    return SelectorIndex(selectors, keys, sorted(size.levels), size.traits, size.edges, many, small, few_keys, broadcast_limit)
 
 
 def prepared(selectors: DataFrame) -> DataFrame:
@@ -143,9 +150,27 @@ def match_index(occurrences: DataFrame, index: SelectorIndex, traits: DataFrame
     """The same with an index; jobs run here already, but nothing is written before traits are known to be there."""
     if index.has_traits and traits is None:
         raise InvalidSelector("a trait list needs a table of traits")
-    keys = index.keys
-    levels = [F.expr(cells.cell_of("lat", "lng", level)) for level in index.levels] or [F.lit(None).cast("int")]
     rows = occurrences.withColumn("_elements", path_elements(F.col("taxon")))
+    known = trait_facts(occurrences, traits, wanted_traits(index.selectors), index.limit) if index.has_traits else None
+    passes = trait_passes(known) if known and index.many else None
+    if passes is not None:
+        rows = passes.profiled(rows)
+    # A test of edges is not compiled, and neither is a join that has one: so it is a join of its own.
+    matched = _matched(rows, index.keys.filter("edges IS NULL"), index, shapes.in_box("lat", "lng", "_of_box"))
+    if index.has_edges:
+        inside = shapes.inside_edges("lat", "lng", "_of_edges")
+        matched = matched.unionByName(_matched(rows, index.keys.filter("edges IS NOT NULL"), index, inside))
+    if passes is not None:
+        matched = passes.passed(matched)
+    elif known:
+        matched = with_traits(matched, known)
+    return matched.select(*occurrences.columns, "uuid")
+
+
+def _matched(rows: DataFrame, keys: DataFrame, index: SelectorIndex, in_area: str) -> DataFrame:
+    """The rows with ``uuid`` and ``traitSelector`` of each key they meet, where a cell is wholly inside or ``in_area`` holds."""
+    levels = [F.expr(cells.cell_of("lat", "lng", level)) for level in index.levels] or [F.lit(None).cast("int")]
+    kept = rows.columns
     rows = rows.select("*", F.explode(F.array(*levels)).alias("_cell"))
     # At most one row per grid cell there is.
     rows = rows.join(F.broadcast(keys.select(F.col("cell").alias("_cell")).distinct()), "_cell", "left_semi")
@@ -156,15 +181,8 @@ def match_index(occurrences: DataFrame, index: SelectorIndex, traits: DataFrame
 
     named = keys.select("uuid", "traitSelector", *[F.col(c).alias(f"_of_{c}") for c in ("key", "cell", "term", "terms", "whole", "box", "edges")])
     candidates = rows.join(F.broadcast(named) if index.small else named, F.col("_key") == F.col("_of_key"))
-    in_area = (
-        f"_of_whole OR (_of_box IS NOT NULL AND {shapes.in_box('lat', 'lng', '_of_box')}) "
-        f"OR (_of_edges IS NOT NULL AND {shapes.inside_edges('lat', 'lng', '_of_edges')})"
-    )
     # A path may hold several terms of one selector: only the first of them counts.
     first_term = "(_of_terms IS NULL OR _term = get(array_intersect(_elements, _of_terms), 0))"
     # One number is the fastest key; as a CASE, what it stands for is compared after the join and not as part of the key.
     same = "CASE WHEN _cell = _of_cell AND _term = _of_term THEN"
-    matched = candidates.filter(f"{same} {first_term} AND ({in_area}) END").select(*occurrences.columns, "uuid", "traitSelector")
-    if index.has_traits:
-        matched = with_traits(matched, occurrences, traits, wanted_traits(index.selectors), index.limit)
-    return matched.select(*occurrences.columns, "uuid")
+    return candidates.filter(f"{same} {first_term} AND (_of_whole OR {in_area}) END").select(*kept, "uuid", "traitSelector")

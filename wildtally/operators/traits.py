@@ -11,6 +11,8 @@ that some term asks for by ``=``. So nothing is paired with terms before records
 selectors ask for one trait, there is one row per taxon and trait.
 """
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -72,13 +74,17 @@ def _qualifies(wanted: str, facts: str) -> str:
     return f"exists({wanted}, t -> exists({facts}, f -> f.trait = t.trait AND {decided}))"
 
 
-def with_traits(
-    rows: DataFrame, occurrences: DataFrame, traits: DataFrame, wanted: DataFrame, limit: int = BROADCAST_BYTES
-) -> DataFrame:
-    """Rows of (taxon, traitSelector, ...) whose path qualifies; a null list lets a row pass.
+class TraitFacts(NamedTuple):
+    """(traitSelector, wanted) and (taxon, facts), both written; whether the first is small, and the limit for broadcasts."""
 
-    ``occurrences`` is any table that holds every taxon path of ``rows``.
-    """
+    wanted: DataFrame
+    facts: DataFrame
+    few: bool
+    limit: int
+
+
+def trait_facts(occurrences: DataFrame, traits: DataFrame, wanted: DataFrame, limit: int = BROADCAST_BYTES) -> TraitFacts:
+    """``occurrences`` is any table that holds every taxon path in question."""
     wanted = checkpoint(wanted)
     # The terms, their traits and their numbers are all smaller than this.
     text = F.expr("octet_length(traitSelector) + aggregate(wanted, 0L, (n, t) -> n + octet_length(t.trait) + 96)")
@@ -86,17 +92,56 @@ def with_traits(
     few = fits(size.n, size.bytes, limit)
     ranges = trait_ranges(traits, wanted.select(F.explode("wanted").alias("t")).select("t.*"), few)
     ranges = measured(checkpoint(ranges), "element", "trait", limit=limit)
-    facts = checkpoint(path_facts(occurrences, ranges))
+    return TraitFacts(wanted, checkpoint(path_facts(occurrences, ranges)), few, limit)
+
+
+def with_traits(rows: DataFrame, known: TraitFacts) -> DataFrame:
+    """Rows of (taxon, traitSelector, ...) whose path qualifies; a null list lets a row pass."""
     held = F.expr("aggregate(facts, 0L, (n, f) -> n + octet_length(f.trait) + 96 + 8 * size(f.hits))")
-    size = facts.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("taxon") + held), F.lit(0)).alias("bytes")).first()
-    listed = small_side(facts, size.n, size.bytes, limit)
-    asked = wanted.select(F.col("traitSelector").alias("_asked"), "wanted")
-    asked = F.broadcast(asked) if few else asked
+    size = known.facts.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("taxon") + held), F.lit(0)).alias("bytes")).first()
+    listed = small_side(known.facts, size.n, size.bytes, known.limit)
+    asked = known.wanted.select(F.col("traitSelector").alias("_asked"), "wanted")
+    asked = F.broadcast(asked) if known.few else asked
     joined = rows.join(asked, F.col("traitSelector") == F.col("_asked"), "left").join(listed, "taxon", "left")
     kept = joined.filter(F.col("traitSelector").isNull() | F.coalesce(F.expr(_qualifies("wanted", "facts")), F.lit(False)))
     return kept.select(*rows.columns)
 
 
+class TraitPasses(NamedTuple):
+    """Which profiles (distinct lists of facts of a taxon path) which trait selectors take, worked out before the match."""
+
+    taxa: DataFrame
+    pairs: DataFrame
+
+    def profiled(self, rows: DataFrame) -> DataFrame:
+        """Rows of (taxon, ...) with the profile of their path; -1 without any facts."""
+        taxa = self.taxa.select(F.col("taxon").alias("_path"), F.col("_profile").alias("_known"))
+        rows = rows.join(taxa, F.col("taxon") == F.col("_path"), "left").withColumn("_profile", F.coalesce("_known", F.lit(-1)))
+        return rows.drop("_path", "_known")
+
+    def passed(self, rows: DataFrame) -> DataFrame:
+        """Those rows of (traitSelector, _profile, ...) whose profile qualifies; a null list lets a row pass."""
+        asks = F.coalesce("traitSelector", F.lit("")) == F.col("_asked")
+        return rows.join(self.pairs, asks & (F.col("_profile") == F.col("_taken")), "left_semi")
+
+
+def trait_passes(known: TraitFacts) -> TraitPasses | None:
+    """None if the pairs of profile and trait selector could be many: then matched rows are tested one by one."""
+    in_order = F.array_sort(F.transform("facts", lambda f: f.withField("hits", F.array_sort(f["hits"]))))
+    facts = known.facts.select("taxon", in_order.alias("facts"))
+    profiles = checkpoint(facts.select("facts").distinct().withColumn("_profile", F.monotonically_increasing_id()))
+    size = known.wanted.agg(F.count("*").alias("n"), F.coalesce(F.max(F.octet_length("traitSelector")), F.lit(0)).alias("most")).first()
+    # Every profile takes the rows without a list, and every pair may qualify.
+    count = (profiles.count() + 1) * (size.n + 1)
+    if not fits(count, count * size.most):
+        return None
+    free = profiles.select("_profile").unionByName(profiles.sparkSession.range(1).select(F.lit(-1).cast("long").alias("_profile")))
+    pairs = profiles.crossJoin(known.wanted).filter(F.expr(_qualifies("wanted", "facts"))).select("traitSelector", "_profile")
+    pairs = checkpoint(pairs.unionByName(free.withColumn("traitSelector", F.lit(""))).toDF("_asked", "_taken"))
+    taxa = measured(checkpoint(facts.join(profiles, "facts").select("taxon", "_profile")), "taxon", limit=known.limit)
+    return TraitPasses(taxa, F.broadcast(pairs) if fits(count, count * size.most, known.limit) else pairs)
+
+
 def _condition(term):
     """A term as a filter on the table of traits."""
     named = F.col("trait") == term["trait"]
