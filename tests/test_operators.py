@@ -216,3 +216,18 @@ def test_traits_before_and_after_the_match(spark, records, traits, limit, monkey
         monkeypatch.setattr(matching, "_MANY_KEYS", many)
         found.append(sorted(map(repr, match_selectors(records, chosen, traits, limit).collect())))
     assert found[0] == found[1] and len(found[0]) == 5 + 2 + 4 + 7 + 7 + 5
+
+
+@pytest.mark.parametrize("hot", [100_000, 0])
+def test_counts_by_taxon(spark, records, traits, hot, monkeypatch):
+    """Records go to their taxon's task, apart from hot taxa: pairs are counted where they are matched."""
+    monkeypatch.setattr(matching, "_MANY_KEYS", 1)
+    monkeypatch.setattr(matching, "_HOT_RECORDS", hot)
+    records = records.unionByName(records.withColumn("taxon", F.lit(None).cast("string")))
+    chosen = [("", "ENVELOPE(-180,180,90,-90)", ""), ("Anura,Aves", AREA, "mass"), ("", "POLYGON ((-73 41, -69 41.5, -69 44, -73 41))", "")]
+    counted = count_taxa(records, selector_index(prepared(selectors_frame(spark, chosen))), traits)
+    matched = match_selectors(records, selectors_frame(spark, chosen), traits)
+    assert {(r.uuid, r.taxon): r.n for r in counted.collect()} == {(r.uuid, r.taxon): r["count"] for r in matched.groupBy("uuid", "taxon").count().collect()}
+    if hot:
+        plan = counted._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(taxon" in plan and "hashpartitioning(uuid" not in plan

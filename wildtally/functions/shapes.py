@@ -13,6 +13,8 @@ Decisions, in one place:
 * Other shapes may be valid WKT but have no inside here: ``supported_area`` is false.
 """
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -153,6 +155,12 @@ def inside_edges(lat: str, lng: str, edges: str) -> str:
     return f"aggregate({edges}, false, (odd, e) -> odd != {crossed})"
 
 
+def inside_few_edges(lat: str, lng: str, edges: str, most: int) -> str:
+    """The same for at most so many edges, written out: without a function of each edge it is compiled."""
+    at = [[f"get({edges}, {i}).{end}" for end in ("x1", "y1", "x2", "y2")] for i in range(most)]
+    return reduce(lambda odd, ends: f"({odd} != coalesce({crosses(lat, lng, *ends)}, false))", at, "false")
+
+
 def bbox_wkt(north: Column, east: Column, south: Column, west: Column) -> Column:
     """A bounding box as a POLYGON: NE, SE, SW, NW and NE again, longitude first."""
     corners = [(east, north), (east, south), (west, south), (west, north), (east, north)]

@@ -13,7 +13,7 @@ equi-join on a hash of (cell, term), which the join checks, and never compares a
   sides are shuffled and AQE splits hot keys.
 
 What the key leaves open is decided by the exact area test: the box, or for polygons the edges that matter
-for the cell. It is left out where a whole cell is inside the area. Rim cells of polygons are joined apart,
+for the cell. It is left out where a whole cell is inside the area. Rim cells with many edges are joined apart,
 so that the join of all others is compiled code: as many pairs as the result has rows go through it.
 """
 
@@ -36,6 +36,10 @@ _SPREAD_ROWS = 256
 _KEY_BYTES = 256
 # From so many keys on, it pays to work out which taxa have the traits in question before the match.
 _MANY_KEYS = 10_000
+# Records of one task that counts them by taxon, and those that one taxon may add to it.
+_TASK_RECORDS, _HOT_RECORDS = 500_000, 100_000
+# Up to this many edges of a rim cell are tested by an expression written out; code for more is too long for the JVM to compile.
+_FEW_EDGES = 3
 
 
 def _areas(selectors: DataFrame) -> DataFrame:
@@ -84,7 +88,7 @@ def _measure(keys: DataFrame):
         F.count_distinct("key").alias("keys"),
         F.collect_set("level").alias("levels"),
         (F.count("traitSelector") > 0).alias("traits"),
-        (F.count("edges") > 0).alias("edges"),
+        F.coalesce(F.max(F.size("edges")), F.lit(0)).alias("edges"),
     ).first()
 
 
@@ -96,6 +100,7 @@ class SelectorIndex(NamedTuple):
     levels: list
     has_traits: bool
     has_edges: bool
+    many_edges: bool
     many: bool
     small: bool
     few_keys: bool
@@ -108,7 +113,7 @@ def selector_index(selectors: DataFrame, broadcast_limit: int = BROADCAST_BYTES)
     size = _measure(keys)
     small = fits(size.n, size.bytes, broadcast_limit, _KEY_BYTES)
     few_keys, many = fits(size["keys"], 0), size.n >= _MANY_KEYS
-    return SelectorIndex(selectors, keys, sorted(size.levels), size.traits, size.edges, many, small, few_keys, broadcast_limit)
+    return SelectorIndex(selectors, keys, sorted(size.levels), size.traits, size.edges > 0, size.edges > _FEW_EDGES, many, small, few_keys, broadcast_limit)
 
 
 def prepared(selectors: DataFrame) -> DataFrame:
@@ -139,13 +144,30 @@ def count_taxa(occurrences: DataFrame, index: SelectorIndex, traits: DataFrame |
     Where the match needs a shuffle, equal records at equal points are counted before it.
     """
     if index.small:
-        return match_index(occurrences.select("taxon", "lat", "lng"), index, traits).groupBy("uuid", "taxon").agg(
-            F.count("*").alias("n")
-        )
+        rows = occurrences.select("taxon", "lat", "lng")
+        if not index.many:
+            return _counted(match_index(rows, index, traits))
+        parts, hot = _spread_of_taxa(rows)
+        # Records go to the task of their taxon before the match: nearly as many pairs as there are need no shuffle then.
+        is_hot = F.coalesce(F.col("taxon").isin([t for t in hot if t is not None]), F.lit(None in hot))
+        counted = _counted(match_index(rows.filter(~is_hot).repartition(parts, "taxon"), index, traits))
+        return counted.unionByName(_counted(match_index(rows.filter(is_hot), index, traits))) if hot else counted
     points = occurrences.groupBy("taxon", "lat", "lng").agg(F.count("*").alias("_n"))
     return match_index(points, index, traits).groupBy("uuid", "taxon").agg(F.sum("_n").alias("n"))
 
 
+def _counted(matched: DataFrame) -> DataFrame:
+    return matched.groupBy("uuid", "taxon").agg(F.count("*").alias("n"))
+
+
+def _spread_of_taxa(rows: DataFrame):
+    """How many tasks to spread taxa over, and the taxa with too many records for one of them: fewer than tasks."""
+    taxa = checkpoint(rows.groupBy("taxon").agg(F.count("*").alias("n")))
+    total = taxa.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    parts = max(4 * rows.sparkSession.sparkContext.defaultParallelism, -(-total // _TASK_RECORDS))
+    return parts, [row.taxon for row in taxa.filter(F.col("n") * parts > total).filter(F.col("n") > _HOT_RECORDS).collect()]
+
+
 def match_index(occurrences: DataFrame, index: SelectorIndex, traits: DataFrame | None = None) -> DataFrame:
     """The same with an index; jobs run here already, but nothing is written before traits are known to be there."""
     if index.has_traits and traits is None:
@@ -155,11 +177,13 @@ def match_index(occurrences: DataFrame, index: SelectorIndex, traits: DataFrame
     passes = trait_passes(known) if known and index.many else None
     if passes is not None:
         rows = passes.profiled(rows)
-    # A test of edges is not compiled, and neither is a join that has one: so it is a join of its own.
-    matched = _matched(rows, index.keys.filter("edges IS NULL"), index, shapes.in_box("lat", "lng", "_of_box"))
-    if index.has_edges:
+    # A test of any number of edges is not compiled, and neither is a join that has one: so it is a join of its own.
+    few, box = shapes.inside_few_edges("lat", "lng", "_of_edges", _FEW_EDGES), shapes.in_box("lat", "lng", "_of_box")
+    tested = f"CASE WHEN _of_edges IS NULL THEN {box} ELSE {few} END" if index.has_edges else box
+    matched = _matched(rows, index.keys.filter(f"edges IS NULL OR size(edges) <= {_FEW_EDGES}"), index, tested)
+    if index.many_edges:
         inside = shapes.inside_edges("lat", "lng", "_of_edges")
-        matched = matched.unionByName(_matched(rows, index.keys.filter("edges IS NOT NULL"), index, inside))
+        matched = matched.unionByName(_matched(rows, index.keys.filter(f"size(edges) > {_FEW_EDGES}"), index, inside))
     if passes is not None:
         matched = passes.passed(matched)
     elif known:
