@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from wildtally import schemas
 from wildtally.functions.shapes import area, valid_wkt
 from wildtally.operators import filters
-from wildtally.operators.matching import match_selectors
+from wildtally.operators.matching import match_index, match_selectors, prepared, selector_index
 from wildtally.selector import InvalidSelector, selectors_frame
 from tests_helpers import inside, star, wkt_of
 
@@ -116,3 +116,15 @@ def test_envelope_edges_date_line_and_off_the_map(spark):
 def test_area_without_inside(spark, records):
     with pytest.raises(InvalidSelector, match="unsupported"):
         filters.area_filter(records, "POINT (1 2)")
+
+
+def test_cells_of_many_edges_are_looked_up_at_their_sizes_only(spark):
+    """Records look for rim cells of many edges at the sizes these have, not at those of all other cells."""
+    rings = [star(40, 30.0, 25.0)]
+    selectors = selectors_frame(spark, [("", wkt_of(rings), ""), ("", "ENVELOPE(-180,180,90,-90)", "")])
+    index = selector_index(prepared(selectors))
+    sizes = {r.level for r in index.keys.filter("size(edges) > 3").collect()}
+    assert set(index.many_edges) == sizes and sizes and sizes < set(index.levels)
+    points = [("A|B", y / 2, x / 2) for x in range(-64, 65, 5) for y in range(-64, 65, 5)]
+    found = match_index(spark.createDataFrame(points, "taxon string, lat double, lng double"), index).collect()
+    assert len(found) == len(points) + sum(inside(x, y, rings) for _, y, x in points)

@@ -39,6 +39,12 @@ def test_path_elements(spark):
     assert [g[0] for g in got] == list(cases.values())
 
 
+def test_path_elements_with_blanks_inside(spark):
+    cases = {"a b|a b": ["a b"], "a\x01b|c": ["a\x01b", "c"], "\x1fa|b": ["a", "b"], "a|\x00b\r|a": ["a", "b"], " a": ["a"], "a ": ["a"], "a||": ["a"], "| a": ["a"], "\u00a0a|\u00e9 |b": ["\u00a0a", "\u00e9", "b"]}
+    got = evaluate(spark, [(k,) for k in cases], "t string", path_elements(F.col("t")))
+    assert [g[0] for g in got] == list(cases.values())
+
+
 def test_rank_path_skips_absent_ranks(spark):
     got = evaluate(spark, [("a", None, "c")], "x string, y string, z string", rank_path(*map(F.col, "xyz")))
     assert got == [("a|c",)]

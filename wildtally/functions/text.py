@@ -26,11 +26,13 @@ def tabbed(*values: Column) -> Column:
 def stripped_parts(text: Column) -> Column:
     """The distinct parts between bars, each stripped, without the empty ones; none for null.
 
-    Most texts have no blanks to strip; and a plain bar, unlike a pattern, is not compiled again
-    for each row by ``split``.
+    Most texts have no blanks to strip, which plain searches tell faster than one pattern does (any control
+    character counts, as they are rare); and a plain bar, unlike a pattern, is not compiled again for each row
+    by ``split``.
     """
     text = F.coalesce(text, F.lit(""))
     bare = F.regexp_replace(strip(text), rf"{BLANK}*\|{BLANK}*", "|")
-    padded = text.rlike(rf"(?:^|\|){BLANK}|{BLANK}(?:\||\z)")
+    spaced = text.startswith(" ") | text.endswith(" ") | text.contains("| ") | text.contains(" |")
+    padded = spaced | text.rlike(r"[\x00-\x1f]")
     parts = F.split(F.when(padded, bare).otherwise(text), r"\|", -1)
-    return F.array_distinct(F.array_remove(parts, ""))
+    return F.array_except(parts, F.array(F.lit("")))

@@ -14,7 +14,8 @@ equi-join on a hash of (cell, term), which the join checks, and never compares a
 
 What the key leaves open is decided by the exact area test: the box, or for polygons the edges that matter
 for the cell. It is left out where a whole cell is inside the area. Rim cells with many edges are joined apart,
-so that the join of all others is compiled code: as many pairs as the result has rows go through it.
+so that the join of all others is compiled code: as many pairs as the result has rows go through it. Few records
+are in such cells, so their paths are taken apart after the cells in use are known.
 """
 
 from typing import NamedTuple
@@ -26,7 +27,7 @@ from wildtally.functions import cells, shapes
 from wildtally.functions.selectors import terms
 from wildtally.functions.taxa import path_elements
 from wildtally.operators.sizes import BROADCAST_BYTES, fits
-from wildtally.operators.traits import trait_facts, trait_passes, wanted_traits, with_traits
+from wildtally.operators.traits import TraitRanges, trait_facts, trait_passes, wanted_ranges, wanted_traits, with_traits
 from wildtally.selector import InvalidSelector, normalized, valid_only
 from wildtally.session import checkpoint
 
@@ -89,6 +90,7 @@ def _measure(keys: DataFrame):
         F.collect_set("level").alias("levels"),
         (F.count("traitSelector") > 0).alias("traits"),
         F.coalesce(F.max(F.size("edges")), F.lit(0)).alias("edges"),
+        F.collect_set(F.when(F.size("edges") > _FEW_EDGES, F.col("level"))).alias("many_edges"),
     ).first()
 
 
@@ -100,7 +102,7 @@ class SelectorIndex(NamedTuple):
     levels: list
     has_traits: bool
     has_edges: bool
-    many_edges: bool
+    many_edges: list
     many: bool
     small: bool
     few_keys: bool
@@ -113,7 +115,7 @@ def selector_index(selectors: DataFrame, broadcast_limit: int = BROADCAST_BYTES)
     size = _measure(keys)
     small = fits(size.n, size.bytes, broadcast_limit, _KEY_BYTES)
     few_keys, many = fits(size["keys"], 0), size.n >= _MANY_KEYS
-    return SelectorIndex(selectors, keys, sorted(size.levels), size.traits, size.edges > 0, size.edges > _FEW_EDGES, many, small, few_keys, broadcast_limit)
+    return SelectorIndex(selectors, keys, sorted(size.levels), size.traits, size.edges > 0, sorted(size.many_edges), many, small, few_keys, broadcast_limit)
 
 
 def prepared(selectors: DataFrame) -> DataFrame:
@@ -168,22 +170,35 @@ def _spread_of_taxa(rows: DataFrame):
     return parts, [row.taxon for row in taxa.filter(F.col("n") * parts > total).filter(F.col("n") > _HOT_RECORDS).collect()]
 
 
+def index_traits(index: SelectorIndex, traits: DataFrame | None = None) -> TraitRanges | None:
+    """What the trait lists of an index ask of ``traits``, to match any number of tables with; nothing if there are none."""
+    if not index.has_traits:
+        return None
+    if traits is None:
+        raise InvalidSelector("a trait list needs a table of traits")
+    return wanted_ranges(traits, wanted_traits(index.selectors), index.limit)
+
+
 def match_index(occurrences: DataFrame, index: SelectorIndex, traits: DataFrame | None = None) -> DataFrame:
     """The same with an index; jobs run here already, but nothing is written before traits are known to be there."""
-    if index.has_traits and traits is None:
-        raise InvalidSelector("a trait list needs a table of traits")
-    rows = occurrences.withColumn("_elements", path_elements(F.col("taxon")))
-    known = trait_facts(occurrences, traits, wanted_traits(index.selectors), index.limit) if index.has_traits else None
+    return match_known(occurrences, index, index_traits(index, traits))
+
+
+def match_known(occurrences: DataFrame, index: SelectorIndex, ranges: TraitRanges | None) -> DataFrame:
+    """The same with what is known of the traits."""
+    rows = occurrences
+    known = trait_facts(occurrences, ranges) if ranges else None
     passes = trait_passes(known) if known and index.many else None
     if passes is not None:
         rows = passes.profiled(rows)
     # A test of any number of edges is not compiled, and neither is a join that has one: so it is a join of its own.
     few, box = shapes.inside_few_edges("lat", "lng", "_of_edges", _FEW_EDGES), shapes.in_box("lat", "lng", "_of_box")
     tested = f"CASE WHEN _of_edges IS NULL THEN {box} ELSE {few} END" if index.has_edges else box
-    matched = _matched(rows, index.keys.filter(f"edges IS NULL OR size(edges) <= {_FEW_EDGES}"), index, tested)
+    with_elements = rows.withColumn("_elements", path_elements(F.col("taxon")))
+    matched = _matched(with_elements, index.keys.filter(f"edges IS NULL OR size(edges) <= {_FEW_EDGES}"), index, index.levels, tested)
     if index.many_edges:
         inside = shapes.inside_edges("lat", "lng", "_of_edges")
-        matched = matched.unionByName(_matched(rows, index.keys.filter(f"size(edges) > {_FEW_EDGES}"), index, inside))
+        matched = matched.unionByName(_matched(rows, index.keys.filter(f"size(edges) > {_FEW_EDGES}"), index, index.many_edges, inside))
     if passes is not None:
         matched = passes.passed(matched)
     elif known:
@@ -191,13 +206,18 @@ def match_index(occurrences: DataFrame, index: SelectorIndex, traits: DataFrame
     return matched.select(*occurrences.columns, "uuid")
 
 
-def _matched(rows: DataFrame, keys: DataFrame, index: SelectorIndex, in_area: str) -> DataFrame:
-    """The rows with ``uuid`` and ``traitSelector`` of each key they meet, where a cell is wholly inside or ``in_area`` holds."""
-    levels = [F.expr(cells.cell_of("lat", "lng", level)) for level in index.levels] or [F.lit(None).cast("int")]
-    kept = rows.columns
+def _matched(rows: DataFrame, keys: DataFrame, index: SelectorIndex, sizes: list, in_area: str) -> DataFrame:
+    """The rows with ``uuid`` and ``traitSelector`` of each key they meet, where a cell is wholly inside or ``in_area`` holds.
+
+    ``sizes`` are the levels of the cells of ``keys``. Rows without ``_elements`` get them where their cell is in use.
+    """
+    levels = [F.expr(cells.cell_of("lat", "lng", level)) for level in sizes] or [F.lit(None).cast("int")]
+    kept = [c for c in rows.columns if c != "_elements"]
     rows = rows.select("*", F.explode(F.array(*levels)).alias("_cell"))
     # At most one row per grid cell there is.
     rows = rows.join(F.broadcast(keys.select(F.col("cell").alias("_cell")).distinct()), "_cell", "left_semi")
+    if "_elements" not in rows.columns:
+        rows = rows.withColumn("_elements", path_elements(F.col("taxon")))
     rows = rows.select("*", F.explode(F.concat(F.array(F.lit("")), F.col("_elements"))).alias("_term"))
     rows = rows.withColumn("_key", F.expr(_key("_cell", "_term")))
     if index.few_keys:

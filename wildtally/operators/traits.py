@@ -74,6 +74,15 @@ def _qualifies(wanted: str, facts: str) -> str:
     return f"exists({wanted}, t -> exists({facts}, f -> f.trait = t.trait AND {decided}))"
 
 
+class TraitRanges(NamedTuple):
+    """(traitSelector, wanted), and what decides its terms, both written; whether the first is small, and the limit for broadcasts."""
+
+    wanted: DataFrame
+    ranges: DataFrame
+    few: bool
+    limit: int
+
+
 class TraitFacts(NamedTuple):
     """(traitSelector, wanted) and (taxon, facts), both written; whether the first is small, and the limit for broadcasts."""
 
@@ -83,16 +92,20 @@ class TraitFacts(NamedTuple):
     limit: int
 
 
-def trait_facts(occurrences: DataFrame, traits: DataFrame, wanted: DataFrame, limit: int = BROADCAST_BYTES) -> TraitFacts:
-    """``occurrences`` is any table that holds every taxon path in question."""
+def wanted_ranges(traits: DataFrame, wanted: DataFrame, limit: int = BROADCAST_BYTES) -> TraitRanges:
+    """The part of ``trait_facts`` that needs no occurrences."""
     wanted = checkpoint(wanted)
     # The terms, their traits and their numbers are all smaller than this.
     text = F.expr("octet_length(traitSelector) + aggregate(wanted, 0L, (n, t) -> n + octet_length(t.trait) + 96)")
     size = wanted.agg(F.count("*").alias("n"), F.coalesce(F.sum(text), F.lit(0)).alias("bytes")).first()
     few = fits(size.n, size.bytes, limit)
     ranges = trait_ranges(traits, wanted.select(F.explode("wanted").alias("t")).select("t.*"), few)
-    ranges = measured(checkpoint(ranges), "element", "trait", limit=limit)
-    return TraitFacts(wanted, checkpoint(path_facts(occurrences, ranges)), few, limit)
+    return TraitRanges(wanted, measured(checkpoint(ranges), "element", "trait", limit=limit), few, limit)
+
+
+def trait_facts(occurrences: DataFrame, known: TraitRanges) -> TraitFacts:
+    """``occurrences`` is any table that holds every taxon path in question."""
+    return TraitFacts(known.wanted, checkpoint(path_facts(occurrences, known.ranges)), known.few, known.limit)
 
 
 def with_traits(rows: DataFrame, known: TraitFacts) -> DataFrame:
