@@ -1,5 +1,6 @@
 from pathlib import Path
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,8 +8,10 @@ from conftest import DAY, MILLIS_2017_04_04, column
 from wildtally import schemas
 from wildtally.plans import generate
 from wildtally.plans import queries as Q
+from wildtally.plans import registry
 from wildtally.selector import InvalidSelector, selectors_frame
 from wildtally.sources import inputs, sinks, tables
+from wildtally.streaming import refresh
 from wildtally.streaming.refresh import add_batch, refresh_stream
 
 AREA = "ENVELOPE(-72,-70,43,42)"
@@ -304,6 +307,40 @@ def test_stream_compacts_before_a_batch(spark, records, traits, tmp_path):
     assert Q.occurrences(spark, base, ALL).count() == 6
 
 
+def test_batches_share_the_index_until_monitors_change(spark, records, traits, tmp_path, monkeypatch):
+    base, arrivals, made = str(tmp_path / "base"), str(tmp_path / "arrivals"), []
+    for i in range(3):
+        records.filter(F.pmod(F.hash("id"), F.lit(3)) == i).coalesce(1).write.parquet(f"{arrivals}/{i}")
+    index = refresh.selector_index
+    monkeypatch.setattr(refresh, "selector_index", lambda rows: made.append(1) or index(rows))
+    heavy = ("", AREA, "mass > 100")
+    generate.register_monitors(selectors_frame(spark, [FROGS, heavy]), base)
+    refresh_stream(spark, arrivals, base, str(tmp_path / "progress"), "new", traits, 1).awaitTermination()
+    assert counts(spark, base)[FROGS[:2]] == ("ready", 3) and counts(spark, base)[heavy[:2]] == ("ready", 1)
+    assert made == [1]
+    # Monitors that come between two batches are part of the next.
+    base, known = str(tmp_path / "later"), refresh.KnownMonitors(traits)
+    generate.register_monitors(selectors_frame(spark, [FROGS]), base)
+    add_batch(records.filter("id <> 'b1'"), base, "batch-0", monitors=known)
+    generate.register_monitors(selectors_frame(spark, [heavy]), base)
+    add_batch(records.filter("id = 'b1'"), base, "batch-1", monitors=known)
+    assert counts(spark, base) == {FROGS[:2]: ("ready", 3), heavy[:2]: ("ready", 1)} and made == [1] * 3
+
+
+def test_arrivals_are_few_files_of_many_row_groups(spark, tmp_path):
+    path, setting = str(tmp_path / "arrivals"), "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    rows = spark.range(1000000).selectExpr("uuid() AS id", "id % 2 AS year")
+    spark.conf.set(setting, "1MB")
+    try:
+        registry._arrive(spark, rows, path)
+        assert spark.conf.get(setting) == "1MB"
+    finally:
+        spark.conf.unset(setting)
+    files = [pq.ParquetFile(f) for f in Path(path).glob("year=*/*.parquet")]
+    assert len(files) == 2 and sum(f.metadata.num_rows for f in files) == 1000000
+    assert min(f.metadata.num_row_groups for f in files) > 1
+
+
 def test_tsv_files_are_verbatim(spark, tmp_path):
     rows = spark.createDataFrame([(' a "q" | b\tc ', 3), ("", 1), (None, 2)], "taxonPath string, recordCount bigint")
     sinks.write_checklist_tsv(rows.coalesce(1), str(tmp_path / "t"))

@@ -361,12 +361,33 @@ def refresh_all(spark, folder):
     return Q.monitors(spark, base)
 
 
+# Arriving files: a batch takes a number of files and has jobs of its own, so files grow before their number does.
+_ARRIVAL_BYTES = 256 * 1024 * 1024
+# Their row groups: a batch of few large files is still work for all cores.
+_ROW_GROUP_BYTES = 8 * 1024 * 1024
+_ADVISORY = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+
+
+def _arrive(spark, years, path):
+    """Write records as files that arrive, by year."""
+    before = spark.conf.get(_ADVISORY, None)
+    spark.conf.set(_ADVISORY, str(_ARRIVAL_BYTES))
+    try:
+        writer = years.hint("rebalance", "year").write.option("parquet.block.size", _ROW_GROUP_BYTES)
+        writer.partitionBy("year").parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_ADVISORY)
+        else:
+            spark.conf.set(_ADVISORY, before)
+
+
 @query
 def stream_refresh(spark, folder):
     base, traits = scratch_dir(spark, "stream"), derived.traits(spark, folder)
     records = derived.occurrences(spark, folder)
     years = records.withColumn("year", F.year(F.timestamp_millis("added")))
-    years.hint("rebalance", "year").write.partitionBy("year").parquet(f"{base}/arrivals")
+    _arrive(spark, years, f"{base}/arrivals")
     generate.register_monitors(selectors_frame(spark, derived.SAVED), base)
     running = refresh_stream(spark, f"{base}/arrivals", base, f"{base}/progress", "arrivals", traits, 4)
     running.awaitTermination()
@@ -378,7 +399,7 @@ def _streamed(spark, folder, **options):
     base, traits = scratch_dir(spark, "stream"), derived.traits(spark, folder)
     years = derived.occurrences(spark, folder).withColumn("year", F.year(F.timestamp_millis("added")))
     first = years.year == 1995
-    years.filter(~first).hint("rebalance", "year").write.partitionBy("year").parquet(f"{base}/arrivals")
+    _arrive(spark, years.filter(~first), f"{base}/arrivals")
     generate.save_all_occurrences(years.filter(first).drop("year"), selectors_frame(spark, derived.SAVED), base, traits)
     refresh_stream(spark, f"{base}/arrivals", base, f"{base}/progress", "arrivals", traits, 2, **options).awaitTermination()
     return base
