@@ -231,3 +231,31 @@ def test_counts_by_taxon(spark, records, traits, hot, monkeypatch):
     if hot:
         plan = counted._jdf.queryExecution().executedPlan().toString()
         assert "hashpartitioning(taxon" in plan and "hashpartitioning(uuid" not in plan
+
+
+def test_counts_in_blocks_of_selectors(spark, records, traits, monkeypatch):
+    """Selectors beyond one broadcast come to the records in blocks: neither points nor pairs are shuffled."""
+    monkeypatch.setattr(matching, "_MANY_KEYS", 1)
+    records = records.unionByName(records.withColumn("taxon", F.lit(None).cast("string")))
+    records = records.unionByName(records.withColumn("lng", F.col("lng") - 0.25))
+    hole = "POLYGON ((-73 41, -69 41.5, -69 44, -73 44, -73 41), (-71.3 42.05, -70.6 42.3, -70.7 42.7, -71.3 42.05))"
+    chosen = [
+        ("", "ENVELOPE(-180,180,90,-90)", ""),
+        ("Anura,Aves", AREA, "mass"),
+        ("Rana,Chordata,Anas,Amphibia,Unknown", AREA, ""),
+        ("Chordata,Rana", "ENVELOPE(-72,-70,43,42)", "mass > 100,winged"),
+        ("", "POLYGON ((-73 41, -69 41.5, -69 44, -73 41))", "unknown"),
+        ("", "POLYGON ((-73 41, -69 41.5, -69 44, -73 41))", ""),
+        ("Animalia,Insecta", hole, ""),
+    ]
+    rows = prepared(selectors_frame(spark, chosen))
+    index = selector_index(rows, 100 * selector_index(rows).keys.count())
+    counted = count_taxa(records, index, traits)
+    plan = counted._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(taxon" in plan and "hashpartitioning(uuid" not in plan
+    assert "keys=[taxon" in plan and ", lat" not in "".join(line for line in plan.splitlines() if "keys=[" in line)
+    assert not index.small and index.blocks > 1
+    matched = match_selectors(records, selectors_frame(spark, chosen), traits).groupBy("uuid", "taxon").count()
+    found = counted.collect()
+    assert {(r.uuid, r.taxon): r.n for r in found} == {(r.uuid, r.taxon): r["count"] for r in matched.collect()}
+    assert len({(r.uuid, r.taxon) for r in found}) == len(found) > 12 and len({r.uuid for r in found}) == 6

@@ -135,8 +135,19 @@ def supported_area(wkt: str) -> Column:
     return area(wkt)["supported"]
 
 
-def in_box(lat: str, lng: str, box: str) -> str:
-    return f"({lng} BETWEEN {box}.x0 AND {box}.x1 AND {lat} BETWEEN {box}.y0 AND {box}.y1)"
+def corners(box: str) -> str:
+    """A box as a list of its numbers, null for none."""
+    return f"CASE WHEN {box} IS NOT NULL THEN array({box}.x0, {box}.x1, {box}.y0, {box}.y1) END"
+
+
+def ends(edges: str) -> str:
+    """Edges as a list of their numbers, four for each; null for none."""
+    return f"flatten(transform({edges}, e -> array(e.x1, e.y1, e.x2, e.y2)))"
+
+
+def in_corners(lat: str, lng: str, numbers: str) -> str:
+    """Is the point in the box of these numbers, edges and all?"""
+    return f"({lng} BETWEEN get({numbers}, 0) AND get({numbers}, 1) AND {lat} BETWEEN get({numbers}, 2) AND get({numbers}, 3))"
 
 
 def crosses(lat: str, lng: str, x1, y1, x2, y2) -> str:
@@ -155,9 +166,9 @@ def inside_edges(lat: str, lng: str, edges: str) -> str:
     return f"aggregate({edges}, false, (odd, e) -> odd != {crossed})"
 
 
-def inside_few_edges(lat: str, lng: str, edges: str, most: int) -> str:
-    """The same for at most so many edges, written out: without a function of each edge it is compiled."""
-    at = [[f"get({edges}, {i}).{end}" for end in ("x1", "y1", "x2", "y2")] for i in range(most)]
+def inside_few_edges(lat: str, lng: str, numbers: str, most: int) -> str:
+    """The same for the numbers of at most so many edges, written out: without a function of each edge it is compiled."""
+    at = [[f"get({numbers}, {4 * i + j})" for j in range(4)] for i in range(most)]
     return reduce(lambda odd, ends: f"({odd} != coalesce({crosses(lat, lng, *ends)}, false))", at, "false")
 
 
